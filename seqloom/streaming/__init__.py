@@ -1,0 +1,5 @@
+"""Intentionally empty: the workload is batch only (no event-time windows, no state).
+
+Time order is a property of each user's rows and is handled by
+``seqloom.operators.sequences``.
+"""
