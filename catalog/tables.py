@@ -38,7 +38,7 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").cast("int").alias("user_idx"),
         F.get_json_object("props", "$.k").cast("int").alias("item_idx"),
-        F.unix_micros("ts").alias("ts"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"),
     )
 
 
