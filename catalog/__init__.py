@@ -1,0 +1,9 @@
+"""Queries over the given tables, each with its SQL twin where SQL can express it."""
+
+from __future__ import annotations
+
+
+def all_queries() -> list:
+    from catalog import behaviour
+
+    return [*behaviour.QUERIES]
