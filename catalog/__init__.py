@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_queries() -> list:
-    from catalog import behaviour
+    from catalog import behaviour, coding, retrieval, texts, vectors
 
-    return [*behaviour.QUERIES]
+    return [*behaviour.QUERIES, *texts.QUERIES, *vectors.QUERIES, *coding.QUERIES, *retrieval.QUERIES]

@@ -89,7 +89,7 @@ def categories_field(name: str = "categories") -> Column:
     nested = _get(name, "array<array<string>>")
     flat = _get(name, "array<string>")
     return (
-        F.when(F.size(F.coalesce(nested, F.array().cast("array<array<string>>"))) > 0, T.first_category_path(nested))
+        F.when(F.get(nested, F.lit(0)).isNotNull(), T.first_category_path(nested))
         .when(flat.isNotNull(), T.join_categories(flat))
         .otherwise(T.clean_text(_get(name, "string")))
     )
