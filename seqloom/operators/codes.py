@@ -65,13 +65,18 @@ def vocab_sizes(codes: DataFrame) -> DataFrame:
 
 def infer_layout(codes: DataFrame, **special: int) -> TokenLayout:
     """Layout of the used code values; raises when there are no codes or lengths differ."""
-    lengths = codes.agg(F.min(F.size("code")).alias("low"), F.max(F.size("code")).alias("high")).first()
-    if not lengths["low"]:
+    # One row per code position; a code without values shows up as position null.
+    rows = (
+        codes.select(F.posexplode_outer("code").alias("pos", "value"))
+        .groupBy("pos")
+        .agg((F.max("value") + 1).alias("size"), F.count(F.lit(1)).alias("n"))
+        .collect()
+    )
+    if not rows or any(r["pos"] is None for r in rows):
         raise ValueError("no codes to infer a layout from")
-    if lengths["low"] != lengths["high"]:
-        raise ValueError(f"codes differ in length: {lengths['low']} to {lengths['high']}")
-    rows = vocab_sizes(codes).collect()  # one row per code position
-    return TokenLayout(tuple(r["vocab_size"] for r in sorted(rows, key=lambda r: r["pos"])), **special)
+    if len({r["n"] for r in rows}) > 1:
+        raise ValueError("codes differ in length")
+    return TokenLayout(tuple(r["size"] for r in sorted(rows, key=lambda r: r["pos"])), **special)
 
 
 def encode_code(code: Column | str, layout: TokenLayout) -> Column:
@@ -115,16 +120,39 @@ def lookup_codes(wanted: DataFrame, groups: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- tokenized samples
 
 
-def _attach_codes(samples: DataFrame, codes: DataFrame, layout: TokenLayout, key: list[str], max_cells: int) -> DataFrame:
-    """Add ``history_semantic_ids`` and ``target_semantic_ids``.
+def _code_reader(samples: DataFrame, codes: DataFrame, layout: TokenLayout, key: list[str], max_cells: int):
+    """Rows to tokenize, and a function from an Arrow batch of them to history and target codes.
 
-    A code table of a checked small size travels with the tasks and is looked up per Arrow
-    batch; otherwise the history entries are joined by item and put back in order.
+    A code table of a checked small size travels with the tasks and is looked up per batch;
+    otherwise history entries are joined by item and put back in order before.
     """
     top = codes.agg(F.max("item_idx").alias("top")).first()["top"]
+    if (top + 1) * layout.code_len > max_cells:
+        return _join_codes(samples, codes, layout, key), _read_joined
+    held = codes.select("item_idx", "code").toArrow()
+    table = np.full((top + 2, layout.code_len), FILL, np.int32)  # the last row answers padding
+    table[held["item_idx"].to_numpy()] = as_matrix(held["code"], np.int32)
+    shared = samples.sparkSession.sparkContext.broadcast(table)
+
+    def look_up(batch):
+        matrix = shared.value
+        items, goal = as_matrix(batch.column("history"), np.int64), batch.column("target").to_numpy()
+        ok = as_matrix(batch.column("mask"), np.bool_) & (items >= 0) & (items < len(matrix) - 1)
+        goal = np.where((goal >= 0) & (goal < len(matrix) - 1), goal, len(matrix) - 1)
+        return matrix[np.where(ok, items, len(matrix) - 1)], matrix[goal]
+
+    return samples, look_up
+
+
+def _read_joined(batch):
+    history = batch.column("history_semantic_ids")
+    goal = as_matrix(batch.column("target_semantic_ids"), np.int32)
+    flat = as_matrix(history.flatten(), np.int32)
+    return flat.reshape(len(history), -1, goal.shape[1]), goal
+
+
+def _join_codes(samples: DataFrame, codes: DataFrame, layout: TokenLayout, key: list[str]) -> DataFrame:
     blank = F.array_repeat(F.lit(FILL), layout.code_len)
-    if (top + 1) * layout.code_len <= max_cells:
-        return _codes_in_batches(samples, codes, top + 1, layout.code_len)
     steps = F.arrays_zip(F.col("history").alias("item_idx"), F.col("mask").alias("ok"))
     found = (
         samples.select(*key, F.posexplode(steps).alias("step", "e"))
@@ -134,44 +162,33 @@ def _attach_codes(samples: DataFrame, codes: DataFrame, layout: TokenLayout, key
         .groupBy(*key)
         .agg(F.map_from_entries(F.collect_list(F.struct("step", "code"))).alias("_by_step"))
     )
-    goal = codes.select(F.col("item_idx").alias("target"), F.col("code").alias("target_semantic_ids"))
+    goal = codes.select(F.col("item_idx").alias("target"), F.col("code").alias("_goal"))
     slots = F.sequence(F.lit(0), F.size("history") - 1)
     history = F.transform(slots, lambda s: F.coalesce(F.try_element_at("_by_step", s), blank))
     return (
         samples.join(found, key, "left")
         .join(goal, "target", "left")
-        .select(*samples.columns, history.alias("history_semantic_ids"), "target_semantic_ids")
+        .select(
+            *samples.columns,
+            history.alias("history_semantic_ids"),
+            F.coalesce("_goal", blank).alias("target_semantic_ids"),
+        )
     )
 
 
-def _codes_in_batches(samples: DataFrame, codes: DataFrame, rows: int, code_len: int) -> DataFrame:
-    held = codes.select("item_idx", "code").toArrow()
-    table = np.full((rows + 1, code_len), FILL, np.int32)  # the last row answers padding
-    table[held["item_idx"].to_numpy()] = as_matrix(held["code"], np.int32)
-    shared = samples.sparkSession.sparkContext.broadcast(table)
-
-    def attach(batches):
-        matrix = shared.value
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            items = as_matrix(batch.column("history"), np.int64)
-            ok = as_matrix(batch.column("mask"), np.bool_) & (items >= 0) & (items < rows)
-            found = matrix[np.where(ok, items, rows)]
-            flat = as_lists(found.reshape(-1, code_len))
-            offsets = pa.array(np.arange(len(items) + 1, dtype=np.int32) * items.shape[1])
-            goal = batch.column("target").to_numpy()
-            goal = np.where((goal >= 0) & (goal < rows), goal, rows)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(offsets, flat), as_lists(matrix[goal])],
-                [*batch.schema.names, "history_semantic_ids", "target_semantic_ids"],
-            )
-
-    none = F.array().cast("array<int>")
-    schema = samples.select(
-        "*", F.array(none).alias("history_semantic_ids"), none.alias("target_semantic_ids")
-    ).schema
-    return samples.mapInArrow(attach, schema)
+_TOKEN_TYPES = {
+    "input_ids": "array<int>",
+    "attention_mask": "array<boolean>",
+    "labels": "array<int>",
+    "token_slot_ids": "array<int>",
+    "token_codebook_ids": "array<int>",
+    "seq_lengths": "int",
+    "history_item_ids": "array<int>",
+    "history_mask": "array<boolean>",
+    "target_item_ids": "int",
+    "history_semantic_ids": "array<array<int>>",
+    "target_semantic_ids": "array<int>",
+}
 
 
 def tokenize_samples(
@@ -186,61 +203,74 @@ def tokenize_samples(
 
     Padded history slots are skipped, so real tokens stand at the left. SEP carries the slot
     of its item and no code position; the target has slot ``history_len``. Labels hold the
-    target tokens at the MASK positions.
+    target tokens at the MASK positions. Samples are laid out a whole Arrow batch at a time.
     """
     key = key or [c for c in ("split", "user_idx", "pos") if c in samples.columns]
-    size, total = layout.code_len, layout.max_seq_len(history_len)
-    coded = _attach_codes(samples, codes, layout, key, max_lookup_cells)
-    kept = F.filter(
-        F.transform("history_semantic_ids", lambda c, s: F.struct(s.alias("slot"), c.alias("code"))),
-        lambda e: e["code"][0] >= 0,
-    )
-    staged = coded.withColumn("_kept", kept).withColumn(
-        "seq_lengths", F.lit(2 + size) + F.size("_kept") * F.lit(size + 1)
-    )
-    places = [F.lit(i) for i in range(size)]
-
-    def fill(value, count) -> Column:
-        return F.array_repeat(F.lit(value), count)
-
-    def per_item(piece: Callable[[Column], Column]) -> Column:
-        return F.flatten(F.transform("_kept", piece))
-
-    rest = F.lit(total) - F.col("seq_lengths")
-    return staged.select(
-        *[c for c in samples.columns if c not in ("history", "mask", "target", "seq_len")],
-        F.concat(
-            fill(layout.cls, 1),
-            per_item(lambda e: F.concat(encode_code(e["code"], layout), fill(layout.sep, 1))),
-            fill(layout.mask, size),
-            fill(layout.eos, 1),
-            fill(layout.pad, rest),
-        ).alias("input_ids"),
-        F.concat(fill(True, F.col("seq_lengths")), fill(False, rest)).alias("attention_mask"),
-        F.concat(
-            fill(IGNORE, F.col("seq_lengths") - (size + 1)),
-            encode_code("target_semantic_ids", layout),
-            fill(IGNORE, rest + 1),
-        ).alias("labels"),
-        F.concat(
-            fill(FILL, 1),
-            per_item(lambda e: F.array_repeat(e["slot"], size + 1)),
-            fill(history_len, size),
-            fill(FILL, rest + 1),
-        ).alias("token_slot_ids"),
-        F.concat(
-            fill(FILL, 1),
-            per_item(lambda e: F.array(*places, F.lit(FILL))),
-            F.array(*places),
-            fill(FILL, rest + 1),
-        ).alias("token_codebook_ids"),
-        "seq_lengths",
-        F.col("history").alias("history_item_ids"),
-        F.col("mask").alias("history_mask"),
-        F.col("target").alias("target_item_ids"),
-        "history_semantic_ids",
-        "target_semantic_ids",
+    rows, read = _code_reader(samples, codes, layout, key, max_lookup_cells)
+    kept = [c for c in samples.columns if c not in ("history", "mask", "target", "seq_len")]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                columns = {c: batch.column(c) for c in kept}
+                columns.update(_token_columns(batch, *read(batch), layout, history_len))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    types = {**{c: samples.schema[c].dataType.simpleString() for c in kept}, **_TOKEN_TYPES}
+    return rows.mapInArrow(run, ", ".join(f"`{name}` {kind}" for name, kind in types.items()))
+
+
+def _token_columns(batch, history, goal, layout: TokenLayout, history_len: int) -> dict:
+    """Columns of one batch from history codes (rows, slots, positions) and target codes."""
+    n, slots, size = history.shape
+    sizes, offsets = np.array(layout.vocab_sizes), np.array(layout.offsets)
+    valid = history[:, :, 0] >= 0
+    if (goal < 0).any() or (goal >= sizes).any() or (history[valid] < 0).any() or (history[valid] >= sizes).any():
+        raise ValueError("a sample uses an item without a code, or a code that does not fit the layout")
+    width, step = layout.max_seq_len(slots), size + 1
+    used = valid.sum(axis=1)
+    # Valid slots first, in order: the place of each kept item in its token row.
+    row, slot = np.nonzero(valid)
+    rank = np.arange(len(row)) - np.repeat(np.cumsum(used) - used, used)
+    item_at = (1 + rank * step)[:, None] + np.arange(step)
+    goal_at = (1 + used * step)[:, None] + np.arange(step)
+    every = np.arange(n)[:, None]
+
+    def place(fill, head, item, goal_values):
+        out = np.full((n, width), fill, np.int32)
+        out[:, 0] = head
+        out[row[:, None], item_at] = item
+        out[every, goal_at] = goal_values
+        return as_lists(out)
+
+    def beside(values, last):
+        return np.concatenate([values, np.full((len(values), 1), last, np.int32)], axis=1)
+
+    books = np.arange(size, dtype=np.int32)[None, :]
+    length = used * step + step + 1
+    codes = pa.ListArray.from_arrays(
+        pa.array(np.arange(n + 1, dtype=np.int32) * slots), as_lists(history.reshape(n * slots, size).astype(np.int32))
     )
+    return {
+        "input_ids": place(
+            layout.pad, layout.cls, beside(history[row, slot] + offsets, layout.sep),
+            beside(np.full((n, size), layout.mask), layout.eos),
+        ),
+        "attention_mask": as_lists(np.arange(width)[None, :] < length[:, None]),
+        "labels": place(IGNORE, IGNORE, IGNORE, beside(goal + offsets, IGNORE)),
+        "token_slot_ids": place(
+            FILL, FILL, slot[:, None], beside(np.full((n, size), history_len), FILL)
+        ),
+        "token_codebook_ids": place(
+            FILL, FILL, beside(np.repeat(books, len(row), 0), FILL), beside(np.repeat(books, n, 0), FILL)
+        ),
+        "seq_lengths": pa.array(length.astype(np.int32)),
+        "history_item_ids": batch.column("history"),
+        "history_mask": batch.column("mask"),
+        "target_item_ids": batch.column("target"),
+        "history_semantic_ids": codes,
+        "target_semantic_ids": as_lists(goal.astype(np.int32)),
+    }
 
 
 def target_positions(tokenized: DataFrame, code_len: int) -> DataFrame:

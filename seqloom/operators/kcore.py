@@ -16,7 +16,16 @@ ALIVE, FALLEN, OLD = 0, 1, 2  # never below k; fell in this round; fell earlier
 
 @dataclass(frozen=True)
 class KCoreResult:
+    """Surviving rows and ids, the rounds, and the rows of the longest surviving user.
+
+    ``source`` are the rows before filtering, as written; joining them with id tables made
+    from ``users`` and ``items`` drops the same rows as ``interactions`` does.
+    """
+
     interactions: DataFrame
+    source: DataFrame
+    users: DataFrame
+    items: DataFrame
     trace: list[tuple[int, int, int, int, int]] = field(default_factory=list)
     max_user_rows: int = 0
 
@@ -28,16 +37,15 @@ def _sides(rows: DataFrame) -> DataFrame:
     """Row counts of every user and every item, in one shuffle."""
     return (
         rows.select(
-            "n",
-            F.explode(
+            F.inline(
                 F.array(
                     F.struct(F.lit("u").alias("kind"), F.col("user_id").alias("id")),
                     F.struct(F.lit("i").alias("kind"), F.col("item_id").alias("id")),
                 )
-            ).alias("side"),
+            )
         )
-        .groupBy("side.kind", "side.id")
-        .agg(F.sum("n").alias("n"))
+        .groupBy("kind", "id")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -80,12 +88,11 @@ def k_core(interactions: DataFrame, k: int = 5, max_iterations: int = 1000) -> K
     are counted in full once; after that each round looks up only the rows lost with the ids
     that just fell below ``k`` and subtracts them from the counts. Such ids have fewer than
     ``k`` rows each, so they are never skewed, and they are broadcast while their known number
-    is small. The (user, item) pairs are rewritten once half of their rows are gone. Raises
-    when ``max_iterations`` rounds do not reach the fixpoint.
+    is small. The (user, item) rows are rewritten once half of them are gone. Raises when
+    ``max_iterations`` rounds do not reach the fixpoint.
     """
-    pairs = materialize(
-        interactions.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n")), "pairs"
-    )
+    source = materialize(interactions, "interactions")
+    pairs = source.select("user_id", "item_id")
     state, stats = _judge(_sides(pairs).withColumn("status", F.lit(ALIVE)), k)
     trace: list[tuple[int, int, int, int, int]] = []
     written_rows = stats["rows"]
@@ -95,7 +102,12 @@ def k_core(interactions: DataFrame, k: int = 5, max_iterations: int = 1000) -> K
             trace[-1] = (*trace[-1][:2], rows, *trace[-1][3:])
         trace.append((round_no, rows, rows, stats["users"], stats["items"]))
         if stats["fallen"] == 0:
-            return KCoreResult(_without(interactions, state, gone), trace, stats["longest"])
+            left = state.filter(F.col("n") > 0)
+            users = left.filter(F.col("kind") == "u").select(F.col("id").alias("user_id"))
+            items = left.filter(F.col("kind") == "i").select(F.col("id").alias("item_id"))
+            return KCoreResult(
+                _without(source, state, gone), source, users, items, trace, stats["longest"]
+            )
         if rows * 2 <= written_rows:
             # Rows of ids that fell in this round must stay: they are subtracted below.
             older = state.filter(F.col("status") == OLD)

@@ -6,6 +6,8 @@ must not be drawn twice); per-partition totals, one row per partition, give the
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seqloom.session import materialize
@@ -45,15 +47,30 @@ def _with_offsets(df: DataFrame, part: str, totals: dict[str, Column]) -> DataFr
 
 
 def number_rows(df: DataFrame, keys: list[str], out: str, dtype: str = "bigint") -> DataFrame:
-    """Number all rows 0, 1, 2, … in the order of ``keys``."""
-    placed = _with_offsets(range_sorted(df, keys, "numbered"), PART, {"rows": F.count(F.lit(1))})
-    index = F.col("_before_rows") + F.col(ROW)
-    return placed.select(*df.columns, index.cast(dtype).alias(out))
+    """Number all rows 0, 1, 2, … in the order of ``keys``.
 
+    The row counts of the ranges, one number per range, are summed up here and enter the plan
+    as one array value, so that reading the result is a plain scan.
+    """
+    placed = range_sorted(df, keys, "numbered")
+    counts = dict(placed.groupBy(PART).agg(F.count(F.lit(1))).collect())
+    starts, total = [], 0
+    for part in range(max(counts, default=-1) + 1):
+        starts.append(total)
+        total += counts.get(part, 0)
+    start = F.get(F.from_json(F.lit(json.dumps(starts)), "array<bigint>"), F.col(PART))
+    return placed.select(*df.columns, (start + F.col(ROW)).cast(dtype).alias(out))
+
+
+def dense_index(
+    df: DataFrame, key: str, out: str, dtype: str = "int", distinct: bool = False
+) -> DataFrame:
+    """Contiguous 0-based ids of the values of ``key``, in ascending order.
 
-def dense_index(df: DataFrame, key: str, out: str, dtype: str = "int") -> DataFrame:
-    """Contiguous 0-based ids of the distinct values of ``key``, in ascending order."""
-    return number_rows(df.select(key).distinct(), [key], out, dtype)
+    ``distinct`` tells that the values are known to occur once.
+    """
+    values = df.select(key)
+    return number_rows(values if distinct else values.distinct(), [key], out, dtype)
 
 
 def running_totals(

@@ -58,6 +58,7 @@ def rank_catalogue(
     decimals: int | None = 10,
     query_bucket_rows: int = QUERY_BUCKET_ROWS,
     item_block_rows: int = ITEM_BLOCK_ROWS,
+    n_queries: int | None = None,
 ) -> DataFrame:
     """Rank every catalogue item for every query.
 
@@ -68,12 +69,12 @@ def rank_catalogue(
     the target), ``top`` = best ``k`` as (score, item_idx), ties by item index, and with a
     ``temperature`` also ``log_sum_exp`` of the unpenalised scores / temperature over all
     items. Excluded history items take no part; the target always does.
-    Scores are rounded to ``decimals`` so that equal vectors tie in every block.
+    Scores are rounded to ``decimals`` so that equal vectors tie in every block. Callers who
+    know the number of queries pass it and spare a count.
     """
     kernel = SCORES[score]
-    n_queries, n_items = queries.count(), items.count()
-    q_buckets = _bucket_count(n_queries, query_bucket_rows)
-    i_blocks = _bucket_count(n_items, item_block_rows)
+    q_buckets = _bucket_count(queries.count() if n_queries is None else n_queries, query_bucket_rows)
+    i_blocks = _bucket_count(items.count(), item_block_rows)
     with_penalty = penalty_weight != 0.0
     penalty = F.col("penalty").cast("double") if with_penalty else F.lit(0.0)
     table = items.select("item_idx", F.col("vec").cast("array<double>").alias("vec"), penalty.alias("penalty"))

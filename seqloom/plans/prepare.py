@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from seqloom.operators.checks import require_rows
 from seqloom.operators.kcore import KCoreResult, k_core
 from seqloom.operators.ordering import dense_index
 from seqloom.operators.samples import assign_chunks, user_sizes
@@ -34,13 +33,13 @@ class Prepared:
 
 def prepare(interactions: DataFrame, k: int = 5) -> Prepared:
     """k-core, dense ids and positions of (user_id, item_id, ts) rows."""
-    raw = require_rows(materialize(interactions.select("user_id", "item_id", "ts"), "interactions"), "interactions")
-    core = k_core(raw, k)
+    core = k_core(interactions.select("user_id", "item_id", "ts"), k)
+    if core.trace[0][1] == 0:
+        raise ValueError("no interactions")
     if core.trace[-1][2] == 0:
         raise ValueError(f"the {k}-core is empty")
-    kept = materialize(core.interactions, "core")
-    user_map = dense_index(kept, "user_id", "user_idx")
-    item_map = dense_index(kept, "item_id", "item_idx")
-    indexed = materialize(index_interactions(kept, user_map, item_map), "indexed")
+    user_map = dense_index(core.users, "user_id", "user_idx", distinct=True)
+    item_map = dense_index(core.items, "item_id", "item_idx", distinct=True)
+    indexed = materialize(index_interactions(core.source, user_map, item_map), "indexed")
     positions = number_positions(indexed, longest=core.max_user_rows)
     return Prepared(core, user_map, item_map, indexed, positions, user_sizes(indexed))

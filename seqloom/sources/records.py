@@ -7,6 +7,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from seqloom.functions import text as T
 
@@ -37,7 +38,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _literal_to_json(lines: pd.Series) -> pd.Series:
     """Python-literal records as JSON text; null for everything else."""
 
