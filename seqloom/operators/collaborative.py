@@ -39,6 +39,7 @@ def project_sparse(cells: DataFrame, item_map: DataFrame, dim: int, seed: int =
     small square matrices reach the driver.
     """
     n_items = item_map.count()
+    cells = cells.filter(F.col("sppmi") > 0)
     if n_items <= dim:
         rows = cells.groupBy("item_i").agg(F.map_from_entries(F.collect_list(F.struct("item_j", "sppmi"))).alias("m"))
         places = F.sequence(F.lit(0), F.lit(dim - 1))
@@ -222,7 +223,7 @@ def bpr_vectors(
         q = items.select(F.col("item_idx").alias("negative"), F.col("vec").alias("q"), F.col("bias").alias("qb"))
         met = triples.join(u, "user_idx").join(p, "item_idx").join(q, "negative")
         gap = V.dot("u", "p") - V.dot("u", "q") + F.col("pb") - F.col("qb")
-        pull = F.col("n") / (1.0 + F.exp(gap))
+        pull = F.col("n") / (1.0 + F.exp(F.least(gap, F.lit(50.0))))
         stepped = materialize(met.withColumn("g", pull), "bpr-triples")
         scaled = lambda c, w: V.scale(c, w)
         user_grad = stepped.select("user_idx", F.zip_with("p", "q", lambda a, b: a - b).alias("v"), "g", "n")

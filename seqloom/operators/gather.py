@@ -138,14 +138,18 @@ def masked_mean(tokens: DataFrame, key: list[str], vec: str = "vec", mask: str =
     from pyspark.ml.stat import Summarizer
 
     weight = F.col(mask).cast("double")
-    summed = tokens.groupBy(*key).agg(
-        vector_to_array(
-            Summarizer.sum(array_to_vector(F.col(vec).cast("array<double>")), weight)
-        ).alias("_sum"),
-        F.sum(weight).alias("_n"),
-        F.max(F.size(vec)).alias("_dim"),
+    keys = tokens.groupBy(*key).agg(F.max(F.size(vec)).alias("_dim"))
+    summed = (
+        tokens.filter(weight > 0)
+        .groupBy(*key)
+        .agg(
+            vector_to_array(
+                Summarizer.sum(array_to_vector(F.col(vec).cast("array<double>")), weight)
+            ).alias("_sum"),
+            F.sum(weight).alias("_n"),
+        )
     )
-    mean = F.when(F.col("_n") > 0, V.scale("_sum", 1.0 / F.greatest("_n", F.lit(1.0)))).otherwise(
-        F.array_repeat(F.lit(0.0), F.col("_dim"))
+    mean = F.coalesce(
+        V.scale("_sum", 1.0 / F.greatest("_n", F.lit(1.0))), F.array_repeat(F.lit(0.0), F.col("_dim"))
     )
-    return summed.select(*key, mean.alias("pooled"))
+    return keys.join(summed, key, "left").select(*key, mean.alias("pooled"))

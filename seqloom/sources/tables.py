@@ -47,20 +47,33 @@ def read_code_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _json_entries(spark: SparkSession, path: str, separator: str, value: str, kind: str) -> DataFrame:
+    """(k, v) of one big JSON object that was written with an indent of two.
+
+    The object is never read whole: records end at ``separator``, which such a file holds
+    only between entries (line breaks inside ids are escaped), so the file can be split.
+    """
+    entry = r'(?s)^[,{\s]*("(?:[^"\\]|\\.)*")\s*:\s*' + value
+    text = spark.read.option("lineSep", separator).text(path).filter(F.col("value").rlike(entry))
+    key, rest = F.regexp_extract("value", entry, 1), F.regexp_extract("value", entry, 2)
+    opening, closing = ("[", "]") if kind.startswith("array") else ("", "")
+    record = F.concat(F.lit('{"k":'), key, F.lit(f',"v":{opening}'), rest, F.lit(closing + "}"))
+    return text.select(F.from_json(record, f"k string, v {kind}").alias("e")).select("e.k", "e.v")
+
+
 def read_code_json(spark: SparkSession, path: str) -> DataFrame:
-    """{"item id": [1, 2, 3], …} text as (item_id, code); one JSON object per file."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.explode(F.from_json("value", "map<string,array<int>>")).alias("item_id", "code"))
+    """{"item id": [1, 2, 3], …} text as (item_id, code)."""
+    entries = _json_entries(spark, path, "\n  ]", r"\[(.*)$", "array<int>")
+    return entries.select(F.col("k").alias("item_id"), F.col("v").alias("code"))
 
 
 def read_code_groups_json(spark: SparkSession, path: str) -> DataFrame:
     """{"1-2-3": ["item id", …], …} text as (code_key, code, items)."""
-    text = spark.read.option("wholetext", True).text(path)
-    pairs = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("code_key", "items"))
-    return pairs.select("code_key", parse_code_key("code_key").alias("code"), "items")
+    entries = _json_entries(spark, path, "\n  ]", r"\[(.*)$", "array<string>")
+    return entries.select(F.col("k").alias("code_key"), parse_code_key("k").alias("code"), F.col("v").alias("items"))
 
 
 def read_id_map_json(spark: SparkSession, path: str, id_name: str = "item_id", index_name: str = "item_idx") -> DataFrame:
     """{"id": 0, …} text as (id, index)."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.explode(F.from_json("value", "map<string,int>")).alias(id_name, index_name))
+    entries = _json_entries(spark, path, "\n", r"(\d+),?\s*$", "int")
+    return entries.select(F.col("k").alias(id_name), F.col("v").alias(index_name))
