@@ -182,9 +182,9 @@ QUERIES = [
     ),
     Query(
         "user_sequences",
-        "user_idx:i items:l",
-        lambda s, d: sequence_arrays(prepared(s, d).positions),
-        "SELECT user_idx, list(item_idx ORDER BY pos) AS items FROM positions GROUP BY user_idx",
+        "user_idx:i block:i items:l",
+        lambda s, d: sequence_arrays(prepared(s, d).positions, block_rows=64),
+        "SELECT user_idx, pos // 64 AS block, list(item_idx ORDER BY pos) AS items FROM positions GROUP BY user_idx, pos // 64",
         indexed_sql(5),
     ),
     Query(

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seqloom.functions.text import code_key
 from seqloom.operators.gather import as_lists, as_matrix
 from seqloom.operators.losses import IGNORE
+from seqloom.operators.ordering import number_rows
 
 RESERVED_TOKENS = 5  # fixed value: token ids below this are special
 BLOCKED_LOGIT = -1e9  # fixed value: logit of tokens that are not allowed
 MAX_LOOKUP_CELLS = 1 << 21
+MAX_LIST = 1 << 16
 FILL = -1
 
 
@@ -101,16 +103,37 @@ def candidate_tokens(codes: DataFrame, layout: TokenLayout) -> DataFrame:
     return codes.select("item_idx", F.posexplode(encode_code("code", layout)).alias("codebook", "token"))
 
 
-def code_groups(codes: DataFrame) -> DataFrame:
-    """(code_key, items, n_items): items sharing a code, in index order."""
+def code_groups(codes: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
+    """(code_key, part, items, n_items): items sharing a code, in index order.
+
+    Lists hold at most ``max_list`` items. Codes shared by more go on in further parts, whose
+    items are placed by a global sort instead of being gathered per code.
+    """
+    keyed = codes.select(code_key("code").alias("code_key"), "item_idx", "item_id")
+    sizes = keyed.groupBy("code_key").agg(F.count(F.lit(1)).alias("_n"))
+    crowded = sizes.filter(F.col("_n") > max_list)
+    if crowded.isEmpty():
+        return _listed(keyed.withColumn("part", F.lit(0)))
+    numbered = number_rows(keyed.join(crowded, "code_key"), ["code_key", "item_idx"], "_place")
+    starts = numbered.groupBy("code_key").agg(F.min("_place").alias("_start"))
+    part = F.floor((F.col("_place") - F.col("_start")) / max_list).cast("int")
+    crowd = numbered.join(starts, "code_key").select("code_key", "item_idx", "item_id", part.alias("part"))
+    rest = keyed.join(crowded, "code_key", "left_anti").withColumn("part", F.lit(0))
+    return _listed(rest.unionByName(crowd))
+
+
+def _listed(keyed: DataFrame) -> DataFrame:
     rows = F.sort_array(F.collect_list(F.struct("item_idx", "item_id")))
-    return codes.groupBy(code_key("code").alias("code_key")).agg(
+    return keyed.groupBy("code_key", "part").agg(
         F.transform(rows, lambda r: r["item_id"]).alias("items"), F.count(F.lit(1)).alias("n_items")
     )
 
 
 def lookup_codes(wanted: DataFrame, groups: DataFrame) -> DataFrame:
-    """Add ``items`` for each ``code``; an unknown code gives an empty array."""
+    """Add ``items`` for each ``code``; an unknown code gives an empty array.
+
+    A code with several parts gives one row per part.
+    """
     keyed = wanted.withColumn("code_key", code_key("code"))
     return keyed.join(groups.select("code_key", "items"), "code_key", "left").select(
         *wanted.columns, F.coalesce("items", F.array().cast("array<string>")).alias("items")

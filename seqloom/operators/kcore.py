@@ -33,19 +33,14 @@ class KCoreResult:
         return spark.createDataFrame(self.trace, TRACE_SCHEMA)
 
 
-def _sides(rows: DataFrame) -> DataFrame:
-    """Row counts of every user and every item, in one shuffle."""
-    return (
-        rows.select(
-            F.inline(
-                F.array(
-                    F.struct(F.lit("u").alias("kind"), F.col("user_id").alias("id")),
-                    F.struct(F.lit("i").alias("kind"), F.col("item_id").alias("id")),
-                )
-            )
-        )
-        .groupBy("kind", "id")
-        .agg(F.count(F.lit(1)).alias("n"))
+def _sides(rows: DataFrame, n: int, status: int | None) -> DataFrame:
+    """Each row once for its user and once for its item, counting ``n``."""
+    both = F.array(
+        F.struct(F.lit("u").alias("kind"), F.col("user_id").alias("id")),
+        F.struct(F.lit("i").alias("kind"), F.col("item_id").alias("id")),
+    )
+    return rows.select(F.inline(both)).select(
+        "kind", "id", F.lit(n).cast("bigint").alias("n"), F.lit(status).cast("int").alias("status")
     )
 
 
@@ -62,8 +57,12 @@ def _without(rows: DataFrame, state: DataFrame, n_gone: int) -> DataFrame:
     return rows
 
 
-def _judge(counts: DataFrame, k: int) -> tuple[DataFrame, dict]:
-    """Mark the ids that fall in this round; write the state and summarise it in one job."""
+def _judge(changes: DataFrame, k: int) -> tuple[DataFrame, dict]:
+    """Add up the counts of every id and mark those that fall in this round.
+
+    The new state is written and summarised by the same job.
+    """
+    counts = changes.groupBy("kind", "id").agg(F.sum("n").alias("n"), F.max("status").alias("status"))
     falls = (F.col("n") > 0) & (F.col("n") < k)
     status = F.when(F.col("status") > ALIVE, OLD).when(falls, FALLEN).otherwise(ALIVE)
     is_user, present = F.col("kind") == "u", F.col("n") > 0
@@ -93,7 +92,7 @@ def k_core(interactions: DataFrame, k: int = 5, max_iterations: int = 1000) -> K
     """
     source = materialize(interactions, "interactions")
     pairs = source.select("user_id", "item_id")
-    state, stats = _judge(_sides(pairs).withColumn("status", F.lit(ALIVE)), k)
+    state, stats = _judge(_sides(pairs, 1, ALIVE), k)
     trace: list[tuple[int, int, int, int, int]] = []
     written_rows = stats["rows"]
     for round_no in range(1, max_iterations + 1):
@@ -117,9 +116,5 @@ def k_core(interactions: DataFrame, k: int = 5, max_iterations: int = 1000) -> K
             .join(_gone(state, "i", "item_id", gone), "item_id", "left")
             .filter(F.greatest("u_status", "i_status") == FALLEN)
         )
-        losses = _sides(lost).withColumnRenamed("n", "lost")
-        counts = state.join(losses, ["kind", "id"], "left").select(
-            "kind", "id", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"), "status"
-        )
-        state, stats = _judge(counts, k)
+        state, stats = _judge(state.unionByName(_sides(lost, -1, None)), k)
     raise RuntimeError(f"k-core did not converge within {max_iterations} iterations")

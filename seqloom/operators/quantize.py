@@ -228,6 +228,7 @@ class CodeTree:
 
 
 LOCAL_BUCKET_ROWS = 50_000
+MAX_CENTER_BYTES = 256 << 20
 
 
 def fit_tree(
@@ -259,7 +260,11 @@ def fit_tree(
         small_rows = state if big == 0 else state.join(large.select("code"), "code", "left_anti")
         labelled.append(_split_local(small_rows, branching, iterations, seed + level))
         if big:
-            labelled.append(_split_jointly(state.join(large, "code"), branching, iterations, seed + level))
+            # The centers of all buckets clustered together must fit the driver and the tasks.
+            waves = -(-big * branching * dim * 8 // MAX_CENTER_BYTES)
+            for wave in range(waves):
+                chosen = large.filter(F.pmod(F.xxhash64("code"), F.lit(waves)) == wave)
+                labelled.append(_split_jointly(state.join(chosen, "code"), branching, iterations, seed + level))
         parts = labelled[0]
         for other in labelled[1:]:
             parts = parts.unionByName(other)

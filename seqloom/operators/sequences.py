@@ -67,10 +67,13 @@ def _positions_by_window(df: DataFrame, user: str, item: str) -> DataFrame:
     )
 
 
-def sequence_arrays(positions: DataFrame, user: str = "user_idx", item: str = "item_idx") -> DataFrame:
-    """One row per user with the ordered item array; only for users known to be short."""
+def sequence_arrays(
+    positions: DataFrame, user: str = "user_idx", item: str = "item_idx", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """(user, block, items): the ordered items of a user, in blocks of at most ``block_rows``."""
     pairs = F.sort_array(F.collect_list(F.struct("pos", item)))
-    return positions.groupBy(user).agg(pairs.getField(item).alias("items"))
+    blocked = positions.select(user, F.expr(f"pos div {block_rows}").alias("block"), "pos", item)
+    return blocked.groupBy(user, "block").agg(pairs.getField(item).alias("items"))
 
 
 def _blocks(

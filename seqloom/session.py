@@ -69,3 +69,11 @@ def materialize_with(df: DataFrame, label: str, metrics: dict[str, Column]) -> t
     seen = Observation()
     table = materialize(df.observe(seen, *[col.alias(name) for name, col in metrics.items()]), label)
     return table, seen.get
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; call it when results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_root(spark)}/seqloom-{spark.sparkContext.applicationId}"
+    )
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -69,6 +69,8 @@ def test_prefixes_groups_and_lookups(spark):
     assert table == {(): ([0, 1], False), (0,): ([1, 2], False), (1,): ([0], False), (0, 1): ([], True), (0, 2): ([], True), (1, 0): ([], True)}
     groups = {r["code_key"]: r["items"] for r in K.code_groups(codes).collect()}
     assert groups == {"0-1": ["a", "c"], "0-2": ["b"], "1-0": ["d"]}
+    parts = K.code_groups(codes, max_list=1).orderBy("code_key", "part").collect()
+    assert [(r["code_key"], r["part"], r["items"]) for r in parts] == [("0-1", 0, ["a"]), ("0-1", 1, ["c"]), ("0-2", 0, ["b"]), ("1-0", 0, ["d"])]
     wanted = spark.createDataFrame([([0, 1],), ([5, 5],), ([1],)], "code array<int>")
     assert sorted((r["code"], r["items"]) for r in K.lookup_codes(wanted, K.code_groups(codes)).collect()) == [([0, 1], ["a", "c"]), ([1], []), ([5, 5], [])]
     asked = wanted.withColumnRenamed("code", "prefix")
