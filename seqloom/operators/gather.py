@@ -39,6 +39,14 @@ def _valid_steps(samples: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def item_names(samples: DataFrame, item_map: DataFrame, key: list[str], column: str = "history_items") -> DataFrame:
+    """Add the item ids of the valid history entries, in order."""
+    named = _valid_steps(samples, key).join(item_map.select("item_idx", "item_id"), "item_idx")
+    listed = named.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("step", "item_id"))).alias("_n"))
+    names = F.coalesce(F.col("_n.item_id"), F.array().cast("array<string>"))
+    return samples.join(listed, key, "left").select(*samples.columns, names.alias(column))
+
+
 def gather_history(samples: DataFrame, vectors: DataFrame, key: list[str]) -> DataFrame:
     """Add ``history_vecs``: one vector per history slot, zeros for padding and missing items.
 
