@@ -200,8 +200,8 @@ def bpr_vectors(
     n_items = item_map.count()
     owned = materialize(indexed.select("user_idx", "item_idx").distinct(), "owned")
     rows = materialize(
-        indexed.select("user_idx", "item_idx", "ts")
-        .groupBy("user_idx", "item_idx").agg(F.count(F.lit(1)).alias("n"))
+        indexed.groupBy("user_idx", "item_idx")
+        .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("row_id", F.xxhash64("user_idx", "item_idx")),
         "bpr-rows",
     )
@@ -225,17 +225,15 @@ def bpr_vectors(
         gap = V.dot("u", "p") - V.dot("u", "q") + F.col("pb") - F.col("qb")
         pull = F.col("n") / (1.0 + F.exp(F.least(gap, F.lit(50.0))))
         stepped = materialize(met.withColumn("g", pull), "bpr-triples")
-        scaled = lambda c, w: V.scale(c, w)
         user_grad = stepped.select("user_idx", F.zip_with("p", "q", lambda a, b: a - b).alias("v"), "g", "n")
         item_grad = stepped.select(F.col("item_idx"), F.col("u").alias("v"), "g", "n").unionByName(
-            stepped.select(F.col("negative").alias("item_idx"), scaled("u", F.lit(-1.0)).alias("v"), "g", "n")
+            stepped.select(F.col("negative").alias("item_idx"), V.scale("u", F.lit(-1.0)).alias("v"), "g", "n")
         )
-        signed = item_grad.withColumn("sign", F.lit(1.0))
         users = materialize(_step(users, user_grad, "user_idx", learning_rate, reg), "bpr-users")
         bias_grad = stepped.select("item_idx", F.col("g").alias("b")).unionByName(
             stepped.select(F.col("negative").alias("item_idx"), (-F.col("g")).alias("b"))
         )
-        items = materialize(_step(items, signed, "item_idx", learning_rate, reg, bias_grad), "bpr-items")
+        items = materialize(_step(items, item_grad, "item_idx", learning_rate, reg, bias_grad), "bpr-items")
     return _whole_catalogue(items.select("item_idx", "vec"), item_map, dim)
 
 

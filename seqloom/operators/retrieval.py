@@ -62,7 +62,7 @@ def rank_catalogue(
 ) -> DataFrame:
     """Rank every catalogue item for every query.
 
-    ``queries``: ``key`` columns, ``vec``, ``target``, and ``history``/``mask`` when histories
+    ``queries``: ``key`` columns (unique), ``vec``, ``target``, and ``history``/``mask`` when histories
     are excluded. ``items``: ``item_idx``, ``vec`` and, with a penalty weight, ``penalty``.
 
     Returns key, target, ``target_score``, ``rank`` = 1 + number of better items (ties favour
