@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -21,6 +23,7 @@ RECOMMENDED_CONF = {
 }
 
 _local_roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app_name: str = "seqloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -77,3 +80,27 @@ def release(spark: SparkSession) -> None:
         f"{shared_root(spark)}/seqloom-{spark.sparkContext.applicationId}"
     )
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors the library's modules, once per application, wherever Python was started.
+
+    The archive is built on the driver; Spark hands it to every executor.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="seqloom-"), "seqloom-modules.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for package in ("seqloom", "catalog"):
+            for folder, _, names in os.walk(os.path.join(top, package)):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, top))
+        pipeline = os.path.join(top, "corpus_pipeline.py")
+        if os.path.exists(pipeline):
+            out.write(pipeline, "corpus_pipeline.py")
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
