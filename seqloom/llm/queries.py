@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm import exact, html, langid, packing, quality, records, toxicity
+from seqloom.llm import exact, html, langid, minhash, packing, quality, records, toxicity
 from seqloom.llm.common import id_remainder, table
 from seqloom.llm.tokens import tokenizer_path
 
@@ -52,6 +52,10 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(shingle=4))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs)).select(
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op2_token_records,
             op3_quality_discriminant,
             op4_exact_dedup,
+            op5_minhash_near_dedup,
             op6_language_id,
             op7_toxicity,
             op9_best_fit_packing,
