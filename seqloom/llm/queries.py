@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm import exact, html, langid, minhash, packing, quality, records, toxicity
+from seqloom.llm import decontaminate, exact, html, langid, minhash, packing, quality, records, toxicity
 from seqloom.llm.common import id_remainder, table
 from seqloom.llm.tokens import tokenizer_path
 
@@ -69,6 +69,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_prediction(toxicity.score(docs, model, ["doc_id"]), 0.5)
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "place")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.token_pieces(docs, tokenizer_path(BYTE_TOKENIZER), True, BYTE_END, CAPACITY)
@@ -86,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op5_minhash_near_dedup,
             op6_language_id,
             op7_toxicity,
+            op8_benchmark_decontamination,
             op9_best_fit_packing,
         )
     }
