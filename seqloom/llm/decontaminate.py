@@ -3,7 +3,9 @@
 Words are runs of letters and digits, lower-cased. An item of L words is given windows of W words,
 W being the largest power-of-two multiple of a stride g with W + g - 1 <= L, so that wherever a
 text holds the item, one of the text's windows of W words that begin at multiples of g lies wholly
-inside. All W-word windows of the items are indexed, so an unchanged passage has distance 0.
+inside. All W-word windows of the items are indexed, so an unchanged passage has distance 0. Windows of
+texts are sums of packed counters over exploded words, compiled by Spark and without a shuffle
+other than the one that deals out the texts.
 
 A 64-bit fingerprint has the majority of its words' hash bits. Of two fingerprints that differ in
 at most 7 bits, one of four 16-bit blocks differs in at most 1 bit: each item window is entered
@@ -55,75 +57,65 @@ def _shape_columns(n: Column) -> tuple[Column, Column]:
     return stride.cast("int"), width.cast("int")
 
 
-def _counters(hashes: Column, first: Column, n: int) -> Column:
-    """Packed counts of each hash bit over ``n`` words."""
-    parts = [F.get(hashes, first + i) for i in range(n)]
-    return F.struct(
-        *[
-            reduce(lambda a, b: a + b, [F.shiftright(p, f).bitwiseAND(F.lit(_ONES)) for p in parts]).alias(f"f{f}")
-            for f in range(_FIELDS)
-        ]
+def _hashed(rows: DataFrame) -> DataFrame:
+    """``words`` exploded: place ``_at`` and the eight groups of hash bits ``_f0`` to ``_f7``."""
+    kept = [c for c in rows.columns if c != "words"]
+    h = F.xxhash64("_word")
+    return rows.select(*kept, F.posexplode("words").alias("_at", "_word")).select(
+        *kept, "_at", *[F.shiftright(h, f).bitwiseAND(F.lit(_ONES)).alias(f"_f{f}") for f in range(_FIELDS)]
     )
 
 
-def _fingerprint(counts: Column, width: int) -> Column:
-    """A bit is set where more than half of the words have it."""
-    lift = F.lit(_ONES * (63 - width // 2))
+def _added(*more: Column) -> list[Column]:
+    return [*[F.sum(f"_f{f}").alias(f"_f{f}") for f in range(_FIELDS)], *more]
+
+
+def _fingerprint(width: Column) -> Column:
+    """A bit is set where more than half of a window's words have it."""
+    lift = F.lit(_ONES) * (63 - F.floor(width / 2))
     bits = [
-        F.shiftleft(F.shiftright(counts[f"f{f}"] + lift, 6).bitwiseAND(F.lit(_ONES)), f) for f in range(_FIELDS)
+        F.shiftleft(F.shiftright(F.col(f"_f{f}") + lift, 6).bitwiseAND(F.lit(_ONES)), f) for f in range(_FIELDS)
     ]
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
-def _each(count: Column, make) -> Column:
-    """Array of ``make(i)`` for i from 0 to ``count`` - 1."""
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), make)).otherwise(F.array())
-
-
-def _windows(df: DataFrame, shapes: list[tuple[int, int]], stride_of: dict[int, int]) -> DataFrame:
-    """Add ``w``: one row per window, a struct of width class, first word and fingerprint.
-
-    Needs ``words``; ``stride_of`` gives the step between windows for each stride class.
-    """
-    df = df.withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
-    found, spent = [], []
+def _text_windows(rows: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+    """doc_id, cls, at, fp of all windows of the texts; ``rows`` has _row, doc_id and words, and is
+    partitioned by _row, so nothing is shuffled here: words add up to blocks of one stride, and
+    blocks to the windows they are in."""
+    out = []
     for stride in sorted({g for g, _ in shapes}):
         widths = sorted({w for g, w in shapes if g == stride})
-        step = stride_of[stride]
-        gap = stride // step  # counters of neighbouring blocks are so far apart
-        name, width = f"_s{stride}_{stride}", stride
-        n = F.floor((F.size("_h") - F.lit(stride)) / F.lit(step)).cast("int") + 1
-        df = df.withColumn(name, _each(n, _first_counters(step, stride)))
-        spent.append(name)
-        while True:
-            if width in widths:
-                found.append(F.transform(name, _window(step, stride, width)))
-            if width >= widths[-1]:
-                break
-            ahead = gap * (width // stride)
-            wider = f"_s{stride}_{2 * width}"
-            df = df.withColumn(wider, _each(F.size(name) - ahead, _sums(name, ahead)))
-            spent.append(wider)
-            name, width = wider, 2 * width
-    return df.withColumn("w", F.explode(F.concat(*found))).drop("_h", *spent)
-
-
-def _first_counters(step: int, width: int):
-    return lambda b: _counters(F.col("_h"), b * step, width)
-
-
-def _sums(name: str, ahead: int):
-    def make(b: Column) -> Column:
-        one, two = F.get(name, b), F.get(name, b + ahead)
-        return F.struct(*[(one[f"f{f}"] + two[f"f{f}"]).alias(f"f{f}") for f in range(_FIELDS)])
-
-    return make
-
-
-def _window(step: int, stride: int, width: int):
-    return lambda c, i: F.struct(
-        F.lit(_class_no(stride, width)).alias("cls"), (i * step).cast("int").alias("at"), _fingerprint(c, width).alias("fp")
+        blocks = _hashed(rows).groupBy("_row", "doc_id", F.expr(f"_at div {stride}").alias("_block")).agg(*_added(F.count(F.lit(1)).alias("_n")))
+        where = [
+            F.struct(F.lit(_class_no(stride, w)).alias("cls"), F.lit(w).alias("width"), F.lit(back).alias("back"))
+            for w in widths
+            for back in range(w // stride)
+        ]
+        spread = blocks.withColumn("_in", F.explode(F.array(*where))).withColumn("_first", F.col("_block") - F.col("_in.back"))
+        windows = (
+            spread.filter("_first >= 0")
+            .groupBy("_row", "doc_id", F.col("_in.cls").alias("cls"), F.col("_in.width").alias("width"), "_first")
+            .agg(*_added(F.sum("_n").alias("_n")))
+            .filter("_n = width")
+        )
+        out.append(windows.select("doc_id", "cls", (F.col("_first") * stride).cast("int").alias("at"), _fingerprint(F.col("width")).alias("fp")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    """item_no, length, cls, at, fp of the windows at every word of the items, in their own shape."""
+    keys = ["item_no", "length", "stride", "width"]
+    spread = _hashed(items.select(*keys, "words")).withColumn(
+        "_first", F.explode(F.sequence(F.col("_at") - F.col("width") + 1, F.col("_at")))
     )
+    windows = spread.filter("_first >= 0 and _first + width <= length").groupBy(*keys, "_first").agg(*_added())
+    cls = reduce(
+        lambda c, s: F.when((F.col("stride") == s[0]) & (F.col("width") == s[1]), F.lit(_class_no(*s))).otherwise(c),
+        [(1 << a, 1 << b) for a in range(4) for b in range(a, 7)],
+        F.lit(None).cast("int"),
+    )
+    return windows.select("item_no", "length", cls.alias("cls"), F.col("_first").alias("at"), _fingerprint(F.col("width")).alias("fp"))
 
 
 def _class_no(stride: int, width: int) -> int:
@@ -138,6 +130,11 @@ def _key(cls: Column, k: int, bits: Column) -> Column:
     return F.shiftleft(cls * 4 + k, 16) + bits
 
 
+def _each(count: Column, make) -> Column:
+    """Array of ``make(i)`` for i from 0 to ``count`` - 1."""
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), make)).otherwise(F.array())
+
+
 def _shingles(words: Column, size: int) -> Column:
     """Distinct runs of ``size`` words as text; of fewer words, all of them as one."""
     n = F.size(words)
@@ -177,59 +174,53 @@ def leaks(
     n_items = items.count()
     weighed = items.select("item_no", F.explode("shingles").alias("shingle")).join(spread, "shingle")
     weight = F.log1p(F.lit(float(n_items)) / F.col("in_items"))
-    weights = weighed.groupBy("item_no").agg(F.collect_list(F.struct("shingle", weight.alias("weight"))).alias("parts"))
-    profile = items.select("item_no", "item_id", F.size("words").alias("length")).join(weights, "item_no")
-    profile = materialize(profile, "profiles")
-
-    own = items.select("item_no", "words", F.size("words").alias("length"), "stride", "width")
-    indexed = _windows(own, shapes, {g: 1 for g, _ in shapes}).filter(
-        reduce(
-            lambda a, b: a | b,
-            [(F.col("stride") == g) & (F.col("width") == w) & (F.col("w.cls") == _class_no(g, w)) for g, w in shapes],
-        )
-    )
+    weights = materialize(weighed.select("item_no", "shingle", weight.alias("weight")), "item-weights")
+    totals = weights.groupBy("item_no").agg(F.sum("weight").alias("total"))
+    profile = materialize(items.select("item_no", "item_id", F.size("words").alias("length")).join(totals, "item_no"), "profiles")
+
     flips = [0, *(1 << i for i in range(16))]
-    keys = F.explode(
-        F.array(*[_key(F.col("w.cls"), k, _block(F.col("w.fp"), k).bitwiseXOR(F.lit(f))) for k in range(4) for f in flips])
-    )
+    keys = F.explode(F.array(*[_key(F.col("cls"), k, _block(F.col("fp"), k).bitwiseXOR(F.lit(f))) for k in range(4) for f in flips]))
+    index = _item_windows(items.withColumn("length", F.size("words")))
     index = materialize(
-        indexed.select(keys.alias("key"), F.col("w.fp").alias("item_fp"), F.col("w.at").alias("item_at"), "item_no", "length"), "item-index"
+        index.select(keys.alias("key"), F.col("fp").alias("item_fp"), F.col("at").alias("item_at"), "item_no"), "item-index"
     )
     # The index is sent to the tasks in parts of bounded size; a larger benchmark takes more passes.
     parts = -(-index.count() // _INDEX_ROWS)
-    probes = _windows(rows, shapes, {g: g for g, _ in shapes}).withColumn(
-        "key", F.explode(F.array(*[_key(F.col("w.cls"), k, _block(F.col("w.fp"), k)) for k in range(4)]))
-    )
-    margin = F.greatest(F.lit(shingle), (F.col("length") / 8).cast("int"))
-    first = F.col("w.at") - F.col("item_at") - margin
+    texts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), text_of(text).alias("_text"))
+    texts = texts.repartition("_row").select("_row", "doc_id", words_of(F.col("_text")).alias("words"))
+    probes = _text_windows(texts, shapes).withColumn("key", F.explode(F.array(*[_key(F.col("cls"), k, _block(F.col("fp"), k)) for k in range(4)])))
     found = []
     for part in range(parts):
         chosen = index if parts == 1 else index.filter(F.pmod(F.xxhash64("key", "item_no"), F.lit(parts)) == part)
-        near = F.bit_count(F.col("w.fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
+        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
         hits = probes.join(F.broadcast(chosen), (probes["key"] == chosen["key"]) & near)
-        found.append(
-            hits.select(
-                "doc_id",
-                "item_no",
-                F.greatest(first + margin, F.lit(0)).cast("int").alias("place"),
-                F.slice("words", F.greatest(first + 1, F.lit(1)), F.col("length") + 2 * margin).alias("passage"),
-            )
-        )
-    passages = reduce(DataFrame.unionByName, found).distinct()
-    held = F.aggregate(
-        "parts",
-        F.struct(F.lit(0.0).alias("held"), F.lit(0.0).alias("all")),
-        lambda a, p: F.struct(
-            (a["held"] + F.when(F.array_contains("doc_shingles", p["shingle"]), p["weight"]).otherwise(0.0)).alias("held"),
-            (a["all"] + p["weight"]).alias("all"),
-        ),
-        lambda a: a["held"] / a["all"],
+        found.append(hits.select("doc_id", "item_no", (F.col("at") - F.col("item_at")).alias("first")))
+    places = materialize(reduce(DataFrame.unionByName, found).distinct(), "leak-places")
+    margin = F.greatest(F.lit(shingle), F.floor(F.col("length") / 8)).cast("int")
+    by_doc = places.join(profile.select("item_no", "length"), "item_no").groupBy("doc_id").agg(
+        F.collect_list(F.struct("item_no", "first", (F.col("first") - margin).alias("begin"), (F.col("length") + 2 * margin).alias("n"))).alias("_found")
+    )
+    by_doc = by_doc.withColumnRenamed("doc_id", "_id")
+    suspects = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("_text")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")))
+    # Exploding between the two steps keeps the words of a text from being found once per place.
+    placed = suspects.select("doc_id", words_of(F.col("_text")).alias("words"), F.explode("_found").alias("f"))
+    begin = F.greatest(F.col("f.begin"), F.lit(0))
+    passages = placed.select(
+        "doc_id",
+        F.col("f.item_no").alias("item_no"),
+        F.greatest(F.col("f.first"), F.lit(0)).alias("place"),
+        F.slice("words", begin + 1, F.col("f.n") + F.least(F.col("f.begin"), F.lit(0))).alias("passage"),
+    ).distinct()
+    held = (
+        passages.select("doc_id", "item_no", "place", F.explode(_shingles(F.col("passage"), shingle)).alias("shingle"))
+        .join(weights, ["item_no", "shingle"])
+        .groupBy("doc_id", "item_no", "place")
+        .agg(F.sum("weight").alias("held"))
     )
     compared = (
-        passages.join(profile, "item_no")
-        .withColumn("doc_shingles", _shingles(F.col("passage"), shingle))
-        .select("doc_id", "item_id", "place", held.alias("similarity"))
-        .filter(F.col("similarity") >= threshold)
+        held.join(profile, "item_no")
+        .select("doc_id", "item_id", "place", (F.col("held") / F.col("total")).alias("similarity"))
+        .filter(F.col("similarity") >= threshold - 1e-9)
     )
     return compared.groupBy("doc_id", "item_id").agg(
         F.max("similarity").alias("similarity"), F.min_by("place", F.struct(-F.col("similarity"), F.col("place"))).alias("place")
