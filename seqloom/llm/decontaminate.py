@@ -1,13 +1,13 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming blocks, in SQL functions only.
 
-Words are runs of letters and digits, lower-cased. An item of L words is given windows of W words,
-W being the largest power-of-two multiple of a stride g with W + g - 1 <= L, so that wherever a
-text holds the item, one of the text's windows of W words that begin at multiples of g lies wholly
-inside. All W-word windows of the items are indexed, so an unchanged passage has distance 0. Windows of
+Words are runs of letters and digits, lower-cased. An item of L words is given windows of W pairs
+of neighbouring words, W being the largest power-of-two multiple of a stride g with W + g <= L, so
+that wherever a text holds the item, one of the text's windows that begin at multiples of g lies
+wholly inside. All W-pair windows of the items are indexed, so an unchanged passage has distance 0. Windows of
 texts are sums of packed counters over exploded words, compiled by Spark and without a shuffle
 other than the one that deals out the texts.
 
-A 64-bit fingerprint has the majority of its words' hash bits. Of two fingerprints that differ in
+A 64-bit fingerprint has the majority of its word pairs' hash bits. Of two fingerprints that differ in
 at most 7 bits, one of four 16-bit blocks differs in at most 1 bit: each item window is entered
 under every block and every block with one bit flipped, each text window looks its four blocks up,
 and all pairs within 7 bits are found. The passage around a found pair, as long as the item plus a
@@ -38,10 +38,10 @@ def words_of(text: Column) -> Column:
 def _shape(n_words: int) -> tuple[int, int]:
     """Stride and window length for an item of so many words."""
     stride = 8
-    while 2 * stride - 1 > n_words:
+    while 2 * stride > n_words and stride > 1:
         stride //= 2
     width = stride
-    while 2 * width + stride - 1 <= n_words and width < _LARGEST:
+    while 2 * width + stride <= n_words and width < _LARGEST:
         width *= 2
     return stride, width
 
@@ -49,20 +49,21 @@ def _shape(n_words: int) -> tuple[int, int]:
 def _shape_columns(n: Column) -> tuple[Column, Column]:
     """``_shape`` of a column of word counts."""
     sizes = [1, 2, 4, 8]
-    stride = reduce(lambda c, g: F.when(n >= 2 * g - 1, F.lit(g)).otherwise(c), sizes, F.lit(1))
+    stride = reduce(lambda c, g: F.when(n >= 2 * g, F.lit(g)).otherwise(c), sizes, F.lit(1))
     width = stride
     for power in range(1, 8):
         w = stride * (1 << power)
-        width = F.when((w + stride - 1 <= n) & (w <= _LARGEST), w).otherwise(width)
+        width = F.when((w + stride <= n) & (w <= _LARGEST), w).otherwise(width)
     return stride.cast("int"), width.cast("int")
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
-    """``words`` exploded: place ``_at`` and the eight groups of hash bits ``_f0`` to ``_f7``."""
+    """Word pairs of ``words`` exploded: place ``_at`` and the groups of hash bits ``_f0`` to ``_f7``."""
     kept = [c for c in rows.columns if c != "words"]
-    h = F.xxhash64("_word")
-    return rows.select(*kept, F.posexplode("words").alias("_at", "_word")).select(
-        *kept, "_at", *[F.shiftright(h, f).bitwiseAND(F.lit(_ONES)).alias(f"_f{f}") for f in range(_FIELDS)]
+    pairs = F.zip_with("_h", F.slice("_h", 2, F.greatest(F.size("_h"), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    hashed = rows.select(*kept, F.transform("words", lambda w: F.xxhash64(w)).alias("_h"))
+    return hashed.select(*kept, F.posexplode(pairs).alias("_at", "_pair")).select(
+        *kept, "_at", *[F.shiftright("_pair", f).bitwiseAND(F.lit(_ONES)).alias(f"_f{f}") for f in range(_FIELDS)]
     )
 
 
@@ -71,7 +72,7 @@ def _added(*more: Column) -> list[Column]:
 
 
 def _fingerprint(width: Column) -> Column:
-    """A bit is set where more than half of a window's words have it."""
+    """A bit is set where more than half of a window's word pairs have it."""
     lift = F.lit(_ONES) * (63 - F.floor(width / 2))
     bits = [
         F.shiftleft(F.shiftright(F.col(f"_f{f}") + lift, 6).bitwiseAND(F.lit(_ONES)), f) for f in range(_FIELDS)
@@ -109,7 +110,7 @@ def _item_windows(items: DataFrame) -> DataFrame:
     spread = _hashed(items.select(*keys, "words")).withColumn(
         "_first", F.explode(F.sequence(F.col("_at") - F.col("width") + 1, F.col("_at")))
     )
-    windows = spread.filter("_first >= 0 and _first + width <= length").groupBy(*keys, "_first").agg(*_added())
+    windows = spread.filter("_first >= 0 and _first + width < length").groupBy(*keys, "_first").agg(*_added())
     cls = reduce(
         lambda c, s: F.when((F.col("stride") == s[0]) & (F.col("width") == s[1]), F.lit(_class_no(*s))).otherwise(c),
         [(1 << a, 1 << b) for a in range(4) for b in range(a, 7)],
@@ -155,11 +156,11 @@ def leaks(
 ) -> DataFrame:
     """doc_id, item_id, similarity and place (first word of the best passage) of every leak.
 
-    Every whole text is compared with every item that has a word; items that share an id count as
+    Every whole text is compared with every item of two words or more; items that share an id count as
     one with the best similarity, and so do rows that share a document id (null is an id of its
-    own). Null or empty texts, and items without a word, leak nothing.
+    own). Null or empty texts, and items of fewer than two words, leak nothing.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), words_of(text_of(item_text)).alias("words")).filter("size(words) > 0")
+    items = benchmark.select(F.col(item_id).alias("item_id"), words_of(text_of(item_text)).alias("words")).filter("size(words) > 1")
     stride, width = _shape_columns(F.size("words"))
     items = items.withColumn("item_no", F.monotonically_increasing_id()).withColumn("stride", stride).withColumn("width", width)
     items = materialize(items.withColumn("shingles", _shingles(F.col("words"), shingle)), "items")
