@@ -3,7 +3,8 @@
 Texts with the same words are one class, and only classes are compared. Classes that agree in a
 band of their signatures are candidates:
 
-1. In every bucket each class is paired with the bucket's smallest class.
+1. In every bucket each class is paired with the bucket's smallest class; then, in buckets that
+   still hold several components, with one drawn by a hash of bucket and class.
 2. Pairs are compared in batches of signature values; a pair goes as soon as the posterior
    probability that its similarity reaches the threshold is below ``miss``. Survivors are verified
    on their full sets of shingles, and verified links give components.
@@ -267,16 +268,34 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     buckets = _bucket_rows(classes, settings)
     shared = buckets.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(buckets.join(shared, "key"), "buckets")
+    root_of = F.coalesce("root", "node")
+
+    def several(rooted: DataFrame) -> DataFrame:
+        """key, node, n, root of the members of buckets with several components."""
+        placed = members.join(rooted, "node", "left").select("key", "node", "n", root_of.alias("root"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+        return placed.join(mixed.select("key"), "key", "left_semi")
+
+    def linked(pairs: DataFrame, rooted: DataFrame | None) -> DataFrame:
+        edges = materialize(_verified(pairs, classes, rows, settings, enough), "links")
+        if rooted is not None:
+            edges = edges.unionByName(rooted.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        return components(edges)
+
     stars = members.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     stars = materialize(stars, "star-pairs")
-    edges = materialize(_verified(stars, classes, rows, settings, enough), "links")
-    rooted = components(edges)
+    rooted = linked(stars, None)
 
-    root_of = F.coalesce("root", "node")
-    placed = members.join(rooted, "node", "left").select("key", "node", "n", root_of.alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    # Two members were compared with each other as the star already.
-    mixed = placed.filter("n > 2").join(mixed, "key", "left_semi")
+    centers = several(rooted).groupBy("key").agg(
+        F.min_by(F.struct(F.col("node").alias("center"), F.col("root").alias("its")), F.xxhash64("node", "key")).alias("c")
+    )
+    apart = several(rooted).join(centers.select("key", "c.*"), "key").filter("root != its")
+    again = apart.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+    again = materialize(again.join(stars, ["a", "b"], "left_anti"), "center-pairs")
+    rooted = linked(again, rooted)
+
+    # In a bucket of two, both were compared as the star already.
+    mixed = several(rooted).filter("n > 2")
     n_blocks = F.ceil(F.col("n") / F.lit(_BLOCK)).cast("int")
     dealt = mixed.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -288,9 +307,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
         dealt.mapInArrow(_cross_pairs(settings, enough), "a bigint, b bigint").distinct(), "cross-pairs", {"n": F.count(F.lit(1))}
     )
     if seen["n"]:
-        untried = more.join(stars, ["a", "b"], "left_anti")
-        extra = materialize(_verified(untried, classes, rows, settings, enough), "links")
-        rooted = components(rooted.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(extra))
+        untried = more.join(stars.unionByName(again), ["a", "b"], "left_anti")
+        rooted = linked(untried, rooted)
 
     named = classes.join(rooted, "node", "left").select("mark", "rep", root_of.alias("root"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
