@@ -97,7 +97,7 @@ class LanguageFilter:
         places = len(self.masks)
         out = None
         for k in range(self.probes):
-            at = (mix(grams + np.uint64(k) * _FACTORS[7]) % np.uint64(places)).astype(np.int64)
+            at = (mix(grams + np.uint64(k * int(_FACTORS[7]) % (1 << 64))) % np.uint64(places)).astype(np.int64)
             out = self.masks[at] if out is None else out & self.masks[at]
         return out
 
@@ -139,7 +139,7 @@ def fit(
     for i, lang in enumerate(languages):
         grams = np.array([r[1] for r in kept if r[0] == lang], np.int64).view(np.uint64)
         for k in range(probes):
-            at = (mix(grams + np.uint64(k) * _FACTORS[7]) % np.uint64(places)).astype(np.int64)
+            at = (mix(grams + np.uint64(k * int(_FACTORS[7]) % (1 << 64))) % np.uint64(places)).astype(np.int64)
             masks[at, i // 64] |= np.uint64(1) << np.uint64(i % 64)
         load = ((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()
         model.false_rate[i] = min(load**probes, 0.99)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm import decontaminate, exact, html, langid, minhash, packing, quality, records, toxicity
+from seqloom.llm import decontaminate, exact, html, langid, lm, minhash, packing, quality, records, toxicity
 from seqloom.llm.common import id_remainder, table
 from seqloom.llm.tokens import tokenizer_path
 
@@ -80,6 +80,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(pieces, CAPACITY)
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = lm.language_model_scores(docs, id_remainder(7) != 2)
+    return scores.select(
+        "doc_id", (id_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -93,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op7_toxicity,
             op8_benchmark_decontamination,
             op9_best_fit_packing,
+            op10_language_model,
         )
     }
 
