@@ -170,15 +170,15 @@ def surviving(a: np.ndarray, b: np.ndarray, enough: np.ndarray) -> np.ndarray:
 
 
 def _bucket_rows(classes: DataFrame, settings: Settings) -> DataFrame:
-    """key, node: one row per band; the band's number is part of the key's hash."""
+    """band, key, node: one row per band; the band's number is part of the key's hash."""
     size = 4 * settings.rows
-    bands = F.explode(
+    bands = F.posexplode(
         F.transform(
             F.sequence(F.lit(0), F.lit(settings.bands - 1)),
             lambda k: F.xxhash64(k, F.col("sig").substr(k * size + 1, F.lit(size))),
         )
     )
-    return classes.filter("sig is not null").select(bands.alias("key"), "node")
+    return classes.filter("sig is not null").select(bands.alias("band", "key"), "node")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: Settings, enough: np.ndarray) -> DataFrame:
@@ -202,12 +202,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: S
 
 
 def _cross_pairs(settings: Settings, enough: np.ndarray):
-    """Sorted rows key, lo, hi, block, node, root, n_shingles, sig -> surviving pairs across components."""
+    """Sorted rows key, lo, hi, block, band, node, root, n_shingles, sig -> surviving pairs across
+    components; of the buckets that two nodes share, the first band's one reports them."""
 
     def compare(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
-        block, node, root, n = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6))
-        sig = _matrix(rows.column(7), settings)
+        band = rows.column(4)[0].as_py()
+        block, node, root, n = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 5, 6, 7))
+        sig = _matrix(rows.column(8), settings)
         left = np.flatnonzero(block == lo)
         right = left if lo == hi else np.flatnonzero(block == hi)
         found = []
@@ -217,6 +219,8 @@ def _cross_pairs(settings: Settings, enough: np.ndarray):
             other = other[(root[other] != root[i]) & (node[other] != node[i]) & (100 * small >= settings.percent * large)]
             if len(other):
                 other = other[surviving(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], enough)]
+                earlier = (sig[other, : band * settings.rows] == sig[i, : band * settings.rows]).reshape(len(other), band, settings.rows)
+                other = other[~earlier.all(2).any(1)]
                 found.append(np.stack([np.full(len(other), node[i]), node[other]]))
         pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
         return pairs.min(0), pairs.max(0)
@@ -271,8 +275,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     root_of = F.coalesce("root", "node")
 
     def several(rooted: DataFrame) -> DataFrame:
-        """key, node, n, root of the members of buckets with several components."""
-        placed = members.join(rooted, "node", "left").select("key", "node", "n", root_of.alias("root"))
+        """band, key, node, n, root of the members of buckets with several components."""
+        placed = members.join(rooted, "node", "left").select("band", "key", "node", "n", root_of.alias("root"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
         return placed.join(mixed.select("key"), "key", "left_semi")
 
@@ -300,7 +304,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     dealt = mixed.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.join(classes.select("node", "n_shingles", "sig"), "node").select(
-        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "n_shingles", "sig"
+        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "band", "node", "root", "n_shingles", "sig"
     )
     dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     more, seen = materialize_with(
