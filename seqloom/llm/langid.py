@@ -59,7 +59,7 @@ def text_grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.nda
     h = np.zeros(last, np.uint64)
     for j in range(n):
         h = h + symbols[j : j + last] * _FACTORS[j]
-    inside = symbols[:last] + symbols[n - 1 :] > 2
+    inside = np.ones(last, bool)
     for j in range(1, n - 1):
         inside &= symbols[j : j + last] > 1  # a mark only at either end
     inside &= text[:last] == text[n - 1 :]
