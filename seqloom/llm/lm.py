@@ -32,8 +32,8 @@ _END = np.uint64(0x9E3779B97F4A7C15)  # stands for the end of a text, as a token
 _LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A3564E27F88969)
 _KEY_SHIFT = np.uint64(16)  # pairs are told apart by 48 bits of their hash
 _STEP, _PROBE = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_RANGE_TOKENS = 8_000_000
-_BATCH_BYTES = 4 << 20
+_RANGE_TOKENS = 4_000_000
+_BATCH_BYTES = 2 << 20
 _BATCHES = "batch bigint, doc_ids array<bigint>, known array<boolean>, training array<boolean>, lengths array<int>, hashes binary, counts binary, tokens binary"
 _PROBES = 3
 _BITS_PER_ENTRY = 8
@@ -201,15 +201,16 @@ def _place(keys: np.ndarray, level: int, probe: int, n_bits) -> np.ndarray:
 class PairFilter:
     """Slices of some ranges; pairs of other ranges are taken as not entered."""
 
-    def __init__(self, slices: list[tuple[int, int, bytes]], bits: int):
+    def __init__(self, sizes: list[tuple[int, int]], data: bytes, bits: int):
+        """``sizes``: range and bits of each slice, in the order in which ``data`` holds them."""
         self._bits = bits
         self._n_bits = np.zeros(1 << bits, np.int64)
         self._begin = np.zeros(1 << bits, np.int64)
         at = 0
-        for r, n_bits, data in slices:
+        for r, n_bits in sizes:
             self._n_bits[r], self._begin[r] = n_bits, at
-            at += len(data)
-        self._data = np.frombuffer(b"".join(s[2] for s in slices), np.uint8)
+            at += n_bits // 8
+        self._data = np.frombuffer(data, np.uint8)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts recovered level by level, until a level is not found."""
@@ -229,7 +230,7 @@ class PairFilter:
 
 
 def language_model_scores(
-    docs: DataFrame, training: Column, smoothing: float = 1000.0, part_bytes: int = 96 << 20, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, training: Column, smoothing: float = 1000.0, part_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -257,7 +258,8 @@ def language_model_scores(
     passes = []
     for number, group in enumerate(groups):
         own = slices.filter(F.col("range").isin(group)).collect() if group else []  # part_bytes at most, or one slice
-        shared = spark.sparkContext.broadcast([tuple(x) for x in own])
+        shared = spark.sparkContext.broadcast(([(x[0], x[1]) for x in own], b"".join(x[2] for x in own)))
+        del own
         passes.append(asked.mapInArrow(_scorer(shared, bits, total, distinct, smoothing, number == 0), _SCORES))
     if len(passes) == 1:
         return passes[0].select("doc_id", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
@@ -273,7 +275,7 @@ _SCORES = "batch bigint, place int, doc_id bigint, n_tokens bigint, n_known bigi
 def _scorer(shared, bits: int, total: int, distinct: int, smoothing: float, first: bool):
     """``first``: the pass that also counts the word terms."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = PairFilter(shared.value, bits)
+        pairs = PairFilter(*shared.value, bits)
         for batch in rows:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
