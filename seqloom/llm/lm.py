@@ -230,7 +230,7 @@ class PairFilter:
 
 
 def language_model_scores(
-    docs: DataFrame, training: Column, smoothing: float = 1000.0, part_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, training: Column, smoothing: float = 1000.0, part_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
