@@ -47,7 +47,9 @@ def test_every_query_is_declared_with_its_twin():
     spec.loader.exec_module(entry)
     names, twins = entry.queries(), entry.oracle_sql()
     assert set(twins) <= set(names) and len(names) > 90
-    assert len(names) - len(twins) < 16
+    # The optional text operators, which SQL mostly cannot express, have their own tests.
+    own = [q.name for q in entry.all_queries()]
+    assert len([name for name in own if name not in twins]) < 16
 
 
 def test_release_removes_the_written_tables(spark):
