@@ -32,7 +32,7 @@ _END = np.uint64(0x9E3779B97F4A7C15)  # stands for the end of a text, as a token
 _LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A3564E27F88969)
 _KEY_SHIFT = np.uint64(16)  # pairs are told apart by 48 bits of their hash
 _STEP, _PROBE = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_RANGE_TOKENS = 4_000_000
+_RANGE_TOKENS = 1_000_000
 _BATCH_BYTES = 2 << 20
 _BATCHES = "batch bigint, doc_ids array<bigint>, known array<boolean>, training array<boolean>, lengths array<int>, hashes binary, counts binary, tokens binary"
 _PROBES = 3
@@ -92,6 +92,12 @@ def token_batches(docs: DataFrame, training: Column, doc_id: str = "doc_id", tex
     return materialize(rows.mapInArrow(run, _BATCHES), "token-batches")
 
 
+def _one_by_one(rows: pa.RecordBatch) -> Iterator[dict]:
+    """Rows as dicts; only one token batch at a time is copied out of Arrow memory."""
+    for i in range(rows.num_rows):
+        yield rows.slice(i, 1).to_pylist()[0]
+
+
 def _tokens(row: dict) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"]), "<u4").astype(np.int64)
 
@@ -140,7 +146,7 @@ def word_counts(batches: DataFrame, bits: int) -> DataFrame:
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 yield _emit(_unpack(row["hashes"]), np.frombuffer(row["counts"], "<u4").astype(np.uint64), bits, row["batch"])
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
@@ -163,7 +169,7 @@ def pair_slices(batches: DataFrame, bits: int) -> DataFrame:
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 lengths = np.array(row["lengths"], np.int64)
                 keys = _pair_keys(_unpack(row["hashes"]), _tokens(row), lengths)
                 keys = keys[np.repeat(np.array(row["training"], bool), lengths)]
@@ -173,9 +179,10 @@ def pair_slices(batches: DataFrame, bits: int) -> DataFrame:
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([_unpack(k) for k in group["keys"]])
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         counts = np.concatenate([_count(c) for c in group["counts"]])[order]
         keys = keys[order]
+        del order
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, counts = keys[first], np.add.reduceat(counts, first)
         levels = 1 + np.floor(np.log2(counts)).astype(np.int64)
@@ -277,8 +284,7 @@ def _scorer(shared, bits: int, total: int, distinct: int, smoothing: float, firs
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = PairFilter(*shared.value, bits)
         for batch in rows:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
+            for row in _one_by_one(batch):
                 tokens, lengths = _tokens(row), np.array(row["lengths"], np.int64)
                 counts = np.concatenate([np.frombuffer(zstandard.decompress(a["answer"]), "<i8") for a in row["answers"]])
                 c = counts[tokens]
