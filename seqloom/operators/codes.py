@@ -160,9 +160,13 @@ def _code_reader(samples: DataFrame, codes: DataFrame, layout: TokenLayout, key:
     def look_up(batch):
         matrix = shared.value
         items, goal = as_matrix(batch.column("history"), np.int64), batch.column("target").to_numpy()
-        ok = as_matrix(batch.column("mask"), np.bool_) & (items >= 0) & (items < len(matrix) - 1)
+        used = as_matrix(batch.column("mask"), np.bool_) & (items >= 0)
+        ok = used & (items < len(matrix) - 1)
         goal = np.where((goal >= 0) & (goal < len(matrix) - 1), goal, len(matrix) - 1)
-        return matrix[np.where(ok, items, len(matrix) - 1)], matrix[goal]
+        found = matrix[np.where(ok, items, len(matrix) - 1)]
+        if (found[used] < 0).any():
+            raise ValueError("a history item has no code")
+        return found, matrix[goal]
 
     return samples, look_up
 
@@ -181,7 +185,8 @@ def _join_codes(samples: DataFrame, codes: DataFrame, layout: TokenLayout, key:
         samples.select(*key, F.posexplode(steps).alias("step", "e"))
         .filter(F.col("e.ok") & (F.col("e.item_idx") >= 0))
         .select(*key, "step", F.col("e.item_idx").alias("item_idx"))
-        .join(codes.select("item_idx", "code"), "item_idx")
+        .join(codes.select("item_idx", "code"), "item_idx", "left")
+        .withColumn("code", F.coalesce("code", F.raise_error(F.lit("a history item has no code"))))
         .groupBy(*key)
         .agg(F.map_from_entries(F.collect_list(F.struct("step", "code"))).alias("_by_step"))
     )
@@ -227,6 +232,7 @@ def tokenize_samples(
     Padded history slots are skipped, so real tokens stand at the left. SEP carries the slot
     of its item and no code position; the target has slot ``history_len``. Labels hold the
     target tokens at the MASK positions. Samples are laid out a whole Arrow batch at a time.
+    A history item or target without a code raises an error.
     """
     key = key or [c for c in ("split", "user_idx", "pos") if c in samples.columns]
     rows, read = _code_reader(samples, codes, layout, key, max_lookup_cells)

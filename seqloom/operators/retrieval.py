@@ -68,7 +68,8 @@ def rank_catalogue(
     Returns key, target, ``target_score``, ``rank`` = 1 + number of better items (ties favour
     the target), ``top`` = best ``k`` as (score, item_idx), ties by item index, and with a
     ``temperature`` also ``log_sum_exp`` of the unpenalised scores / temperature over all
-    items. Excluded history items take no part; the target always does.
+    items. Excluded history items take no part; the target always does; a target that is not
+    in ``items`` raises an error.
     Scores are rounded to ``decimals`` so that equal vectors tie in every block. Callers who
     know the number of queries pass it and spare a count.
     """
@@ -88,7 +89,8 @@ def rank_catalogue(
     )
     asked = (
         queries.select(*key, F.col("vec").cast("array<double>").alias("vec"), "target", history.alias("seen"))
-        .join(goal, "target")
+        .join(goal, "target", "left")
+        .withColumn("target_vec", F.coalesce("target_vec", F.raise_error(F.lit("a target is not in the items"))))
         .withColumn("_q", F.pmod(F.xxhash64(*key), F.lit(q_buckets)).cast("int"))
         .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))))
     )

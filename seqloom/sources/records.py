@@ -151,14 +151,18 @@ def item_metadata(records: DataFrame, item_map: DataFrame) -> DataFrame:
     return _last_per_item(found, item_map)
 
 
-def item_texts(records: DataFrame, item_map: DataFrame, max_chars: int = 512) -> DataFrame:
-    """(item_idx, item_id, text, has_meta) for the whole catalogue; the id stands in for missing text."""
+def item_texts(records: DataFrame, item_map: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """(item_idx, item_id, text, has_meta) for the whole catalogue; the id stands in for missing text.
+
+    With ``max_chars`` description and feature are cut after so many characters.
+    """
+    cut = (lambda c: c) if max_chars is None else (lambda c: T.truncate_text(c, max_chars))
     fields = {
         "title": text_field("title"),
         "brand": text_field("brand"),
         "categories": categories_field(),
-        "description": T.truncate_text(text_field("description"), max_chars),
-        "feature": T.truncate_text(text_field("feature"), max_chars),
+        "description": cut(text_field("description")),
+        "feature": cut(text_field("feature")),
     }
     found = records.select(
         text_field("asin").alias("item_id"), ORDER, *[c.alias(name) for name, c in fields.items()]

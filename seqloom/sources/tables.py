@@ -52,13 +52,17 @@ def _json_entries(spark: SparkSession, path: str, separator: str, value: str, ki
 
     The object is never read whole: records end at ``separator``, which such a file holds
     only between entries (line breaks inside ids are escaped), so the file can be split.
+    A file laid out in another way raises an error.
     """
     entry = r'(?s)^[,{\s]*("(?:[^"\\]|\\.)*")\s*:\s*' + value
-    text = spark.read.option("lineSep", separator).text(path).filter(F.col("value").rlike(entry))
+    text = spark.read.option("lineSep", separator).text(path).filter(~F.col("value").rlike(r"^[{}\s]*$"))
     key, rest = F.regexp_extract("value", entry, 1), F.regexp_extract("value", entry, 2)
     opening, closing = ("[", "]") if kind.startswith("array") else ("", "")
+    unquoted = F.regexp_replace(rest, r'"(?:[^"\\]|\\.)*"', "")
+    whole = F.col("value").rlike(entry) & ~unquoted.contains("]")
     record = F.concat(F.lit('{"k":'), key, F.lit(f',"v":{opening}'), rest, F.lit(closing + "}"))
-    return text.select(F.from_json(record, f"k string, v {kind}").alias("e")).select("e.k", "e.v")
+    wrong = F.raise_error(F.lit("not one JSON entry per record: the object must have an indent of two"))
+    return text.select(F.from_json(F.when(whole, record).otherwise(wrong), f"k string, v {kind}").alias("e")).select("e.k", "e.v")
 
 
 def read_code_json(spark: SparkSession, path: str) -> DataFrame:

@@ -50,6 +50,22 @@ def test_tokenize_special_ids_gaps_and_masks(spark, two_codes):
     assert {"target_item_ids", "history_masks", "seq_lengths"} <= set(renamed.columns)
 
 
+@pytest.mark.parametrize("cells", [K.MAX_LOOKUP_CELLS, 0])
+@pytest.mark.parametrize("unknown", [1, 9])
+def test_tokenize_history_without_code_is_an_error(spark, cells, unknown):
+    codes = spark.createDataFrame([(0, "x", [2, 3]), (2, "y", [0, 1])], "item_idx int, item_id string, code array<int>")
+    samples = spark.createDataFrame([("train", 0, 1, [unknown, 0], [True, True], 2)], "split string, user_idx int, pos int, history array<int>, mask array<boolean>, target int")
+    with pytest.raises(Exception, match="history item has no code"):
+        K.tokenize_samples(samples, codes, K.infer_layout(codes), 2, max_lookup_cells=cells).collect()
+
+
+def test_rank_catalogue_unknown_target_is_an_error(spark):
+    items = spark.createDataFrame([(0, [1.0]), (1, [2.0])], VEC)
+    queries = spark.createDataFrame([(1, [1.0], 0), (2, [1.0], 7)], "id int, vec array<double>, target int")
+    with pytest.raises(Exception, match="target is not in the items"):
+        R.rank_catalogue(queries, items, ["id"], 1, exclude_history=False).collect()
+
+
 def test_layout_and_code_errors(spark, two_codes):
     for bad in ([], [(0, [1]), (1, [1, 2])], [(0, []), (1, [])]):
         with pytest.raises(ValueError):

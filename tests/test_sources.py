@@ -165,3 +165,16 @@ def test_tokenized_sink_and_records(spark, tmp_path):
 def test_materialize_uses_the_shared_folder(spark):
     out = materialize(spark.range(5), "x")
     assert out.count() == 5 and shared_root(spark) in out.inputFiles()[0]
+
+
+def test_json_maps_of_another_layout_are_an_error(spark, tmp_path):
+    for name, text, read in (
+        ("ids", '{"a": 0, "b": 1}', Tb.read_id_map_json),
+        ("codes", '{"a": [1, 2], "b": [3, 4]}', Tb.read_code_json),
+        ("groups", '{"1-2": ["x]", "y"], "3-4": ["z"]}', Tb.read_code_groups_json),
+    ):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match="indent of two"):
+            read(spark, str(tmp_path / name)).collect()
+    (tmp_path / "right").write_text('{\n  "1-2": [\n    "x]",\n    "y"\n  ]\n}\n')
+    assert Tb.read_code_groups_json(spark, str(tmp_path / "right")).first()["items"] == ["x]", "y"]
