@@ -10,16 +10,23 @@ other than the one that deals out the texts.
 A 64-bit fingerprint has the majority of its word pairs' hash bits. Of two fingerprints that differ in
 at most 7 bits, one of four 16-bit blocks differs in at most 1 bit: each item window is entered
 under every block and every block with one bit flipped, each text window looks its four blocks up,
-and all pairs within 7 bits are found. The passage around a found pair, as long as the item plus a
-margin, is then compared exactly: the share of the item's weight in 5-word shingles (rarer among
-items: heavier) that the passage holds must reach the threshold.
+and all pairs within 7 bits are found.
+
+Edits can move every wide window too far. So shortest windows of one shingle (5 words, or the whole
+of a shorter item) at every word of the texts are looked up as well, at distance 0. Of each item the
+heaviest shingles enter, until those left out weigh less than the threshold: a text that holds none
+of them cannot reach it.
+
+The passage around a found pair, as long as the item plus a margin, is then compared exactly: the
+share of the item's weight in shingles (rarer among items: heavier) that the passage holds must
+reach the threshold.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.llm.common import text_of
 from seqloom.session import materialize
@@ -119,6 +126,39 @@ def _item_windows(items: DataFrame) -> DataFrame:
     return windows.select("item_no", "length", cls.alias("cls"), F.col("_first").alias("at"), _fingerprint(F.col("width")).alias("fp"))
 
 
+def _short_windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """The columns of ``rows`` but ``words``, with at, size and key of every run of so many words."""
+    kept = [c for c in rows.columns if c != "words"]
+    longest = max(sizes)
+    hashed = rows.select(*kept, F.transform("words", lambda w: F.xxhash64(w)).alias("_h"))
+    # Shifted copies side by side: the keys are then computed by compiled code.
+    beside = F.arrays_zip(*[F.slice("_h", k + 1, F.greatest(F.size("_h"), F.lit(1))).alias(f"_h{k}") for k in range(longest)])
+    runs = hashed.select(*kept, F.posexplode(beside).alias("at", "_run"))
+    keys = [
+        F.struct(F.lit(n).alias("size"), F.when(F.col(f"_run._h{n - 1}").isNotNull(), F.xxhash64(F.lit(n), *[f"_run._h{k}" for k in range(n)])).alias("key"))
+        for n in sizes
+    ]
+    each = keys[0] if len(keys) == 1 else F.explode(F.array(*keys))
+    return runs.select(*kept, "at", each.alias("_w")).select(*kept, "at", "_w.size", "_w.key").filter("key is not null")
+
+
+def _short_index(items: DataFrame, weights: DataFrame, totals: DataFrame, sizes: list[int], threshold: float) -> DataFrame:
+    """key, item_at and item_no of each item's heaviest shingles; those left out stay below the threshold."""
+    heaviest = Window.partitionBy("item_no").orderBy(F.col("weight").desc(), F.xxhash64("shingle"), "shingle")
+    before = F.sum("weight").over(heaviest.rowsBetween(Window.unboundedPreceding, -1))
+    chosen = weights.withColumn("_before", F.coalesce(before, F.lit(0.0))).join(totals, "item_no")
+    chosen = chosen.filter(F.col("_before") <= F.col("total") * (1 - threshold + 1e-6)).select("item_no", "shingle")
+    runs = _short_windows(items.select("item_no", "shortest", F.col("words").alias("_words"), "words"), sizes).filter("size = shortest")
+    runs = runs.select("item_no", "key", F.col("at").alias("item_at"), F.array_join(F.slice("_words", F.col("at") + 1, F.col("size")), " ").alias("shingle"))
+    return runs.join(chosen, ["item_no", "shingle"]).select("key", "item_at", "item_no")
+
+
+def _in_parts(index: DataFrame) -> list[DataFrame]:
+    """The index is sent to the tasks in parts of bounded size; a larger benchmark takes more passes."""
+    parts = -(-index.count() // _INDEX_ROWS)
+    return [index if parts == 1 else index.filter(F.pmod(F.xxhash64("key", "item_no"), F.lit(parts)) == part) for part in range(parts)]
+
+
 def _class_no(stride: int, width: int) -> int:
     return stride.bit_length() * 16 + width.bit_length()
 
@@ -136,7 +176,7 @@ def _each(count: Column, make) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), make)).otherwise(F.array())
 
 
-def _shingles(words: Column, size: int) -> Column:
+def _shingles(words: Column, size: int | Column) -> Column:
     """Distinct runs of ``size`` words as text; of fewer words, all of them as one."""
     n = F.size(words)
     runs = _each(n - size + 1, lambda i: F.array_join(F.slice(words, i + 1, size), " "))
@@ -163,10 +203,14 @@ def leaks(
     items = benchmark.select(F.col(item_id).alias("item_id"), words_of(text_of(item_text)).alias("words")).filter("size(words) > 1")
     stride, width = _shape_columns(F.size("words"))
     items = items.withColumn("item_no", F.monotonically_increasing_id()).withColumn("stride", stride).withColumn("width", width)
+    items = items.withColumn("shortest", F.least(F.lit(shingle), F.size("words")))
     items = materialize(items.withColumn("shingles", _shingles(F.col("words"), shingle)), "items")
-    shapes = [tuple(r) for r in items.select("stride", "width").distinct().collect()]  # 4 strides, 8 widths at most
+    # Items of a single shingle have no wide windows: the shortest ones find them all.
+    wide = items.withColumn("length", F.size("words")).filter(F.col("length") > shingle)
+    shapes = [tuple(r) for r in wide.select("stride", "width").distinct().collect()]  # 4 strides, 8 widths at most
+    sizes = sorted(r[0] for r in items.select("shortest").distinct().collect())
     rows = docs.select(F.col(doc_id).alias("doc_id"), words_of(text_of(text)).alias("words"))
-    if not shapes:
+    if not sizes:
         return rows.limit(0).select(
             "doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("place")
         )
@@ -179,23 +223,24 @@ def leaks(
     totals = weights.groupBy("item_no").agg(F.sum("weight").alias("total"))
     profile = materialize(items.select("item_no", "item_id", F.size("words").alias("length")).join(totals, "item_no"), "profiles")
 
-    flips = [0, *(1 << i for i in range(16))]
-    keys = F.explode(F.array(*[_key(F.col("cls"), k, _block(F.col("fp"), k).bitwiseXOR(F.lit(f))) for k in range(4) for f in flips]))
-    index = _item_windows(items.withColumn("length", F.size("words")))
-    index = materialize(
-        index.select(keys.alias("key"), F.col("fp").alias("item_fp"), F.col("at").alias("item_at"), "item_no"), "item-index"
-    )
-    # The index is sent to the tasks in parts of bounded size; a larger benchmark takes more passes.
-    parts = -(-index.count() // _INDEX_ROWS)
     texts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), text_of(text).alias("_text"))
-    texts = texts.repartition("_row").select("_row", "doc_id", words_of(F.col("_text")).alias("words"))
-    probes = _text_windows(texts, shapes).withColumn("key", F.explode(F.array(*[_key(F.col("cls"), k, _block(F.col("fp"), k)) for k in range(4)])))
+    shortest = _short_windows(texts.select("doc_id", words_of(F.col("_text")).alias("words")), sizes)
     found = []
-    for part in range(parts):
-        chosen = index if parts == 1 else index.filter(F.pmod(F.xxhash64("key", "item_no"), F.lit(parts)) == part)
-        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
-        hits = probes.join(F.broadcast(chosen), (probes["key"] == chosen["key"]) & near)
+    for chosen in _in_parts(materialize(_short_index(items, weights, totals, sizes, threshold), "item-shingles")):
+        hits = shortest.join(F.broadcast(chosen), "key")
         found.append(hits.select("doc_id", "item_no", (F.col("at") - F.col("item_at")).alias("first")))
+    if shapes:
+        flips = [0, *(1 << i for i in range(16))]
+        keys = F.explode(F.array(*[_key(F.col("cls"), k, _block(F.col("fp"), k).bitwiseXOR(F.lit(f))) for k in range(4) for f in flips]))
+        index = materialize(
+            _item_windows(wide).select(keys.alias("key"), F.col("fp").alias("item_fp"), F.col("at").alias("item_at"), "item_no"), "item-index"
+        )
+        texts = texts.repartition("_row").select("_row", "doc_id", words_of(F.col("_text")).alias("words"))
+        probes = _text_windows(texts, shapes).withColumn("key", F.explode(F.array(*[_key(F.col("cls"), k, _block(F.col("fp"), k)) for k in range(4)])))
+        for chosen in _in_parts(index):
+            near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
+            hits = probes.join(F.broadcast(chosen), (probes["key"] == chosen["key"]) & near)
+            found.append(hits.select("doc_id", "item_no", (F.col("at") - F.col("item_at")).alias("first")))
     places = materialize(reduce(DataFrame.unionByName, found).distinct(), "leak-places")
     margin = F.greatest(F.lit(shingle), F.floor(F.col("length") / 8)).cast("int")
     by_doc = places.join(profile.select("item_no", "length"), "item_no").groupBy("doc_id").agg(

@@ -256,6 +256,47 @@ def test_op8_matches_brute_force(spark):
     assert kept.columns == make(spark, texts).columns and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in found}
 
 
+def brute_leaks(texts, items):
+    """(text, item) -> similarity of all pairs that reach 0.8, over whole texts and items of any length."""
+    import regex
+
+    split = lambda t: [w for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w]
+    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    own = {i: runs(split(t), min(5, len(split(t)))) for i, t in enumerate(items) if split(t)}
+    spread = Counter(s for have in own.values() for s in have)
+    weight = {s: math.log1p(len(own) / n) for s, n in spread.items()}
+    expected = {}
+    for d, t in enumerate(texts):
+        have = {n: runs(split(t), n) for n in range(1, 6)}
+        for i, mine in own.items():
+            got = sum(weight[s] for s in mine & have[len(next(iter(mine)))]) / sum(weight[s] for s in mine)
+            if got >= 0.8 - 1e-9:
+                expected[d, i] = round(got, 6)
+    return expected
+
+
+def edited_leaks(seed, n_items, copies):
+    """Items of 15 to 59 words, and texts that hold them with 1 to 4 random edits at every alignment."""
+    rng = np.random.default_rng(seed)
+    items = [prose(1000 * seed + i, int(rng.integers(15, 60)), 5000) for i in range(n_items)]
+    texts = []
+    for i in range(n_items * copies):
+        own = items[i % n_items].split()
+        for _ in range(1 + i % 4):
+            at, kind = rng.integers(len(own)), rng.integers(4)
+            own[at : at + (kind < 3)] = [f"n{rng.integers(99)}"] if kind != 1 else []
+        texts.append(" ".join([prose(10**6 + i, 30 + i // 4 % 8, 5000), *own, prose(2 * 10**6 + i, 20, 5000)]))
+    return items, texts
+
+
+def test_op8_finds_every_edited_leak(spark):
+    items, texts = edited_leaks(3, 24, 16)
+    expected = brute_leaks(texts, items)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rows = decontaminate.leaks(make(spark, texts), bench).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 6) for r in rows} == expected and len(expected) > 100
+
+
 def test_op9_packs_without_gaps(spark):
     docs = make(spark, [*ODD, *[prose(i, 20 + 7 * i) for i in range(80)]])
     pieces = packing.token_pieces(docs, tokens.tokenizer_path(queries.BYTE_TOKENIZER), True, 0, 64)
