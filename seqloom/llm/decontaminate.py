@@ -193,14 +193,16 @@ def leaks(
     item_text: str = "text",
     shingle: int = 5,
     threshold: float = 0.8,
+    least_words: int = 2,
 ) -> DataFrame:
     """doc_id, item_id, similarity and place (first word of the best passage) of every leak.
 
-    Every whole text is compared with every item of two words or more; items that share an id count as
-    one with the best similarity, and so do rows that share a document id (null is an id of its
-    own). Null or empty texts, and items of fewer than two words, leak nothing.
+    Every whole text is compared with every item of ``least_words`` words or more; items that share an id
+    count as one with the best similarity, and so do rows that share a document id (null is an id of
+    its own). Null or empty texts, and items of fewer words, leak nothing. An item shorter than a
+    shingle leaks where all its words stand in a row.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), words_of(text_of(item_text)).alias("words")).filter("size(words) > 1")
+    items = benchmark.select(F.col(item_id).alias("item_id"), words_of(text_of(item_text)).alias("words")).filter(F.size("words") >= max(1, least_words))
     stride, width = _shape_columns(F.size("words"))
     items = items.withColumn("item_no", F.monotonically_increasing_id()).withColumn("stride", stride).withColumn("width", width)
     items = items.withColumn("shortest", F.least(F.lit(shingle), F.size("words")))
@@ -244,7 +246,7 @@ def leaks(
     places = materialize(reduce(DataFrame.unionByName, found).distinct(), "leak-places")
     margin = F.greatest(F.lit(shingle), F.floor(F.col("length") / 8)).cast("int")
     by_doc = places.join(profile.select("item_no", "length"), "item_no").groupBy("doc_id").agg(
-        F.collect_list(F.struct("item_no", "first", (F.col("first") - margin).alias("begin"), (F.col("length") + 2 * margin).alias("n"))).alias("_found")
+        F.collect_list(F.struct("item_no", "first", (F.col("first") - margin).alias("begin"), (F.col("length") + 2 * margin).alias("n"), F.least(F.lit(shingle), F.col("length")).alias("size"))).alias("_found")
     )
     by_doc = by_doc.withColumnRenamed("doc_id", "_id")
     suspects = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("_text")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")))
@@ -256,9 +258,10 @@ def leaks(
         F.col("f.item_no").alias("item_no"),
         F.greatest(F.col("f.first"), F.lit(0)).alias("place"),
         F.slice("words", begin + 1, F.col("f.n") + F.least(F.col("f.begin"), F.lit(0))).alias("passage"),
+        F.col("f.size").alias("size"),
     ).distinct()
     held = (
-        passages.select("doc_id", "item_no", "place", F.explode(_shingles(F.col("passage"), shingle)).alias("shingle"))
+        passages.select("doc_id", "item_no", "place", F.explode(_shingles(F.col("passage"), F.col("size"))).alias("shingle"))
         .join(weights, ["item_no", "shingle"])
         .groupBy("doc_id", "item_no", "place")
         .agg(F.sum("weight").alias("held"))

@@ -297,6 +297,28 @@ def test_op8_finds_every_edited_leak(spark):
     assert {(r.doc_id, r.item_id): round(r.similarity, 6) for r in rows} == expected and len(expected) > 100
 
 
+def test_op8_finds_short_items_inside_longer_texts(spark):
+    items = [*[prose(200 + i, n, 5000) for i, n in enumerate([1, 2, 3, 4, 5, 6, 30])], "", None]
+    texts = [*ODD, *[f"{prose(i, 40)} {t}, {prose(i + 50, 13)}" for i, t in enumerate(items[:7])], items[0], items[2], " ".join(items[3].split()[:3])]
+    expected = brute_leaks(texts, items)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rows = decontaminate.leaks(make(spark, texts), bench, least_words=1).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 6) for r in rows} == expected and len(expected) >= 9
+    rows = decontaminate.leaks(make(spark, texts), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {k for k in expected if k[1] != 0}
+
+
+def test_pipeline_drops_the_leaks_that_brute_force_finds(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").collect()
+    leaked = {rows[d].doc_id for d, _ in brute_leaks([r.text for r in rows], [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])}
+    kept = {r.doc_id for r in corpus_pipeline.drop_benchmark_leaks(spark, docs, sf).collect()}
+    assert kept == {r.doc_id for r in rows} - leaked and leaked
+
+
 def test_op9_packs_without_gaps(spark):
     docs = make(spark, [*ODD, *[prose(i, 20 + 7 * i) for i in range(80)]])
     pieces = packing.token_pieces(docs, tokens.tokenizer_path(queries.BYTE_TOKENIZER), True, 0, 64)
