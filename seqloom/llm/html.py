@@ -3,7 +3,8 @@
 A page is parsed leniently into a tree. Paragraph-like blocks give points, for their length and
 their commas, to their parent and, in falling shares, to the ancestors above; a container's points
 are discounted by its link density. The best container is kept, with those siblings that score
-close to it or read like prose. Menus, headers and footers of the page, sidebars, notices, adverts,
+close to it or read like prose, with unlinked lists, tables, code, quotes and headings between them;
+inside an article or main, the siblings of its holders are treated alike. Menus, headers and footers of the page, sidebars, notices, adverts,
 forms, comments of readers, scripts and styles are dropped before.
 """
 
@@ -35,6 +36,9 @@ _SAME_CLOSES = {
     "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
     "td": ("td th", ("table", "tr")), "th": ("td th", ("table", "tr")), "option": ("option", ("select",)),
 }
+_PARTS = frozenset("article section div header hgroup".split())
+_HEADINGS = frozenset("h3 h4 h5 h6".split())
+_BETWEEN = frozenset("ul ol dl table pre blockquote figure".split())
 # Words of class, id and role that name what is not the article.
 _ODD = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|promo|promoted|sponsor|sponsored|sidebar|side-bar|menu|menus|"
@@ -235,23 +239,43 @@ def main_nodes(root: Node) -> list[Node]:
     # An article spread over several parts: its container holds most of the prose.
     while best.parent is not None and best.parent.tag in ("article", "main") and best.tag not in ("article", "main"):
         best = best.parent
-    if best.parent is None or best.tag in ("body", "article", "main"):
-        return [best]
-    limit = max(10.0, scored[best] * 0.2)
-    kept = []
-    for node in best.parent.children:
-        if isinstance(node, str):
-            continue
+    kept, here, limit = [best], best, max(10.0, scored[best] * 0.2)
+
+    def close_to_best(node: Node) -> bool:
         text = _inline_text(node)
         prose = node.tag == "p" and (
             (len(text) > 80 and density(node) < 0.25) or (0 < len(text) <= 80 and density(node) == 0 and re.search(r"[.!?]( |$)", text))
         )
         bonus = scored[best] * 0.2 if node.named and node.named == best.named else 0.0
-        if node is best or scored.get(node, 0.0) + bonus >= limit or prose or node.tag in ("h1", "h2"):
-            kept.append(node)
+        return bool(scored.get(node, 0.0) + bonus >= limit or prose or node.tag in ("h1", "h2"))
+
+    # The siblings of the best container and, inside an article or main, of what holds it.
+    while here.parent is not None and here.tag not in ("body", "html"):
+        inside = any(up.tag in ("article", "main") for up in _ancestors(here))
+        if here is not best and not inside:
+            break
+        row = [n for n in here.parent.children if not isinstance(n, str)]
+        at = row.index(here)
+        chosen = [
+            n is here or close_to_best(n) or (inside and n.tag in _PARTS and density(n) < 0.25 and (_prose(n) > 80 or _headed(n))) for n in row
+        ]
+        first, last = chosen.index(True), len(row) - 1 - chosen[::-1].index(True)
+        for i in range(len(row) - 1, -1, -1):
+            unlinked = sizes[row[i]][0] > 0 and density(row[i]) < 0.25
+            if unlinked and row[i].tag in _BETWEEN and first < i and (i < last or inside):
+                chosen[i] = True
+            elif unlinked and row[i].tag in _HEADINGS and i + 1 < len(row) and chosen[i + 1]:
+                chosen[i] = True  # a heading goes with what it heads
+        kept = [n for n, c in zip(row[:at], chosen) if c] + kept + [n for n, c in zip(row[at + 1 :], chosen[at + 1 :]) if c]
+        here = here.parent
     return kept
 
 
+def _headed(node: Node) -> bool:
+    """A header or group that holds a main heading."""
+    return node.tag in ("header", "hgroup") and any(not isinstance(c, str) and c.tag in ("h1", "h2") for c in node.children)
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     """The text of each block in page order, with single spaces."""
     out: list[str] = []

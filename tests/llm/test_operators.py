@@ -88,6 +88,18 @@ def test_op1_main_text():
     assert html.main_text("<div><p>" * 3000 + "deep") == "deep"
 
 
+def test_op1_keeps_all_parts_of_an_article():
+    one, two, three = (f"Part {n} has prose, with commas, and more of it, and then yet more of it, and an end." for n in ("one", "two", "three"))
+    text = lambda body: html.main_text(f"<body><nav><a href=x>Menu</a></nav>{body}</body>")
+    assert text(f"<main><h1>Title</h1><article><p>{one}<p>{two}</article></main>") == f"Title\n{one}\n{two}"
+    assert text(f"<main><header><h1>Title</h1></header><article><p>{one}</article></main>") == f"Title\n{one}"
+    assert text(f"<main><h1>Title</h1><article><p>{one}</article><article><p>{two}</article></main>") == f"Title\n{one}\n{two}"
+    assert text(f"<main><h1>Title</h1><div><article><p>{one}</article></div><section><p>{two}</section></main>") == f"Title\n{one}\n{two}"
+    between = "<h3>Head</h3><ul><li>first<li>second</ul><pre>code</pre><table><tr><td>cell</table><ul><li><a href=x>other pages</a></ul>"
+    page = f"<div><div><p>{one * 3}</div>{between}<blockquote>quoted</blockquote><p>{three}</div>"
+    assert text(page) == f"{one * 3}\nHead\nfirst\nsecond\ncode\ncell\nquoted\n{three}"
+
+
 def test_op1_rows(spark):
     rows = [(1, "u", "<article><p>Hi there</article>"), (2, None, None), (None, "u", "")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
