@@ -242,7 +242,7 @@ def fit_tree(
     """Split every bucket into at most ``branching`` clusters, level by level.
 
     Returns (item_idx, code) and the tree. Buckets of up to ``local_bucket_rows`` rows are
-    clustered one per task; larger ones together, over all tasks at once.
+    clustered one per task; larger ones together, over all tasks at once, with the same draws and codes.
     """
     if levels < 1:
         raise ValueError("levels must be positive")
@@ -280,15 +280,13 @@ def fit_tree(
 _SPLIT_SCHEMA = "item_idx int, vec array<double>, code array<int>, label int, center array<double>"
 
 
-def _seed_centers(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Spread seeding: each next center is drawn by squared distance to the ones before."""
-    chosen = [int(rng.integers(len(x)))]
-    dist = ((x - x[chosen[0]]) ** 2).sum(1)
+def _seed_centers(ids: np.ndarray, x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Spread seeding, with the draws of ``_split_jointly``."""
+    chosen = [int(_hash_unit(ids, seed).argmax())]
+    dist = nearest(x, x[chosen])[1]
     while len(chosen) < k:
-        total = dist.sum()
-        pick = rng.integers(len(x)) if total <= 1e-12 else rng.choice(len(x), p=dist / total)
-        chosen.append(int(pick))
-        dist = np.minimum(dist, ((x - x[chosen[-1]]) ** 2).sum(1))
+        chosen.append(int(_far_weight(ids, dist, _step_seed(seed, len(chosen))).argmax()))
+        dist = np.minimum(dist, nearest(x, x[chosen[-1:]])[1])
     return x[chosen].copy()
 
 
@@ -302,14 +300,12 @@ def _split_local(rows: DataFrame, branching: int, iterations: int, seed: int) ->
     def split(table: pa.Table) -> pa.Table:
         table = table.sort_by("item_idx")
         x = as_matrix(table["vec"])
-        rng = np.random.default_rng(seed)
-        centers = _seed_centers(x, min(branching, len(x)), rng)
+        centers = _seed_centers(table["item_idx"].to_numpy(), x, min(branching, len(x)), seed)
         for _ in range(max(1, iterations)):
             label, _ = nearest(x, centers)
             sums, counts = _means(x, label, centers)
-            centers = sums / np.maximum(counts, 1)[:, None]
-            for empty in np.nonzero(counts == 0)[0]:
-                centers[empty] = x[rng.integers(len(x))]
+            # An empty cluster keeps its center, as in _split_jointly.
+            centers = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers)
         label, _ = nearest(x, centers)
         return pa.table(
             {
@@ -333,14 +329,15 @@ def _split_jointly(rows: DataFrame, branching: int, iterations: int, seed: int)
     spark = rows.sparkSession
     names = F.array_join(F.col("code").cast("array<string>"), "-")
     keyed = materialize(rows.select("item_idx", "vec", "code", names.alias("bucket")), "tree-large")
-    unit = F.pmod(F.xxhash64(F.lit(seed), "item_idx"), F.lit(1 << 53)) / float(1 << 53)
-    firsts = keyed.groupBy("bucket").agg(F.max_by("vec", unit).alias("vec")).collect()
-    centers = {r["bucket"]: np.array([r["vec"]]) for r in firsts}
-    for step in range(1, branching):
-        picks = _reduce_batches(keyed, centers, _pick_far(seed + 7919 * step), "bucket string, weight double, vec array<double>")
+    rows_of = {r["bucket"]: r["count"] for r in keyed.groupBy("bucket").count().collect()}
+    centers: dict = dict.fromkeys(rows_of)
+    for step in range(min(branching, max(rows_of.values(), default=0))):
+        picks = _reduce_batches(keyed, centers, _pick_far(_step_seed(seed, step)), "bucket string, weight double, vec array<double>")
         best = picks.groupBy("bucket").agg(F.max_by("vec", "weight").alias("vec")).collect()
         for r in best:
-            centers[r["bucket"]] = np.vstack([centers[r["bucket"]], r["vec"]])
+            before = centers[r["bucket"]]
+            if step < rows_of[r["bucket"]]:
+                centers[r["bucket"]] = np.array([r["vec"]]) if before is None else np.vstack([before, r["vec"]])
     for _ in range(max(1, iterations)):
         sums = _reduce_batches(keyed, centers, _partial_sums, "bucket string, label int, n bigint, vec array<double>")
         merged = sums.groupBy("bucket", "label").applyInArrow(_add_sums, "bucket string, label int, n bigint, vec array<double>")
@@ -392,18 +389,27 @@ def _reduce_batches(keyed: DataFrame, centers: dict, fn, schema: str) -> DataFra
 def _hash_unit(ids: np.ndarray, seed: int) -> np.ndarray:
     """Uniforms in (0, 1) from item ids (64-bit mixing of splitmix64)."""
     with np.errstate(over="ignore"):
-        z = ids.astype(np.uint64) + np.uint64(seed + 1) * np.uint64(0x9E3779B97F4A7C15)
+        z = ids.astype(np.uint64) + np.uint64((seed + 1) % (1 << 64)) * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z = z ^ (z >> np.uint64(31))
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
+def _step_seed(seed: int, step: int) -> int:
+    return seed + 7919 * step
+
+
+def _far_weight(ids: np.ndarray, dist: np.ndarray, seed: int) -> np.ndarray:
+    # Rows on top of a center weigh almost nothing: they win only if all rows do.
+    return np.log(_hash_unit(ids, seed)) / np.maximum(dist, 1e-300)
+
+
 def _pick_far(seed: int):
+    """The row drawn by squared distance; while there are no centers, one drawn evenly."""
+
     def pick(ids, x, centers, before):
-        _, dist = nearest(x, centers)
-        # Rows on top of a center weigh almost nothing: they win only if all rows do.
-        weight = np.log(_hash_unit(ids, seed)) / np.maximum(dist, 1e-300)
+        weight = _hash_unit(ids, seed) if centers is None else _far_weight(ids, nearest(x, centers)[1], seed)
         at = int(weight.argmax())
         if before is not None and before[0][0][0] >= weight[at]:
             return before

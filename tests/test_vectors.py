@@ -158,6 +158,17 @@ def test_code_tree(spark, cloud, local_rows):
     assert len({c[0] for c in got.values()}) == 3
 
 
+def test_codes_do_not_depend_on_the_bucket_size_limit(spark):
+    rng = np.random.default_rng(6)
+    few = rng.normal(size=(6, 4)) * 3
+    points = np.vstack([rng.normal(size=(240, 4)), few[rng.integers(0, 6, 60)]])  # copies leave clusters empty
+    vectors = frame(spark, points).repartition(5)
+    got = [
+        {r["item_idx"]: tuple(r["code"]) for r in Q.fit_tree(vectors, 3, 5, 6, 2, limit)[0].collect()} for limit in (1000, 40, 0)
+    ]
+    assert len(got[0]) == 300 and got[0] == got[1] == got[2]
+
+
 def test_few_rows_make_few_clusters(spark):
     codes, _ = Q.fit_tree(frame(spark, [[0.0, 0.0], [5.0, 5.0]]), 2, 4, 3)
     assert len({tuple(r["code"]) for r in codes.collect()}) == 2
