@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SLICE_BYTES = 2 << 20
+_MOST_HOT = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,3 +48,47 @@ def utf8_slices(
         hi = min(hi, n)
         yield lo, hi, whole[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows: int = 65_536) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by ``keys`` anew, in batches of about ``least_rows`` that cut no group.
+
+    What is held grows with the largest group, so groups must be bounded.
+    """
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        if size >= least_rows:
+            last = [held[-1].column(k)[held[-1].num_rows - 1] for k in keys]
+            differs = np.zeros(batch.num_rows, bool)
+            for k, value in zip(keys, last):
+                differs |= batch.column(k).to_numpy(zero_copy_only=False) != value.as_py()
+            if differs.any():
+                cut = int(differs.argmax())
+                yield joined([*held, batch.slice(0, cut)] if cut else held)
+                held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield joined(held)
+
+
+def spread_join(rows: DataFrame, answers: DataFrame, keys: list[str], size: str, total: int, by: str) -> DataFrame:
+    """``rows`` with the answer of their key, where ``answers`` has one row a key and ``size`` says how
+    many of the ``total`` rows have it. Rows of a key with very many are dealt out to several tasks,
+    by a hash of the column ``by``.
+
+    A key counts as hot from a fixed share of all rows on, so the hot ones are few enough to broadcast.
+    """
+    bound = max(10_000, total // _MOST_HOT + 1)
+    hot = answers.filter(F.col(size) > bound).select(*keys, F.ceil(F.col(size) / F.lit(bound)).cast("int").alias("_parts"))
+    spread = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int"))
+    parts = F.when(F.col(size) > bound, F.ceil(F.col(size) / F.lit(bound)).cast("int")).otherwise(1)
+    copied = answers.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return spread.drop("_parts").join(copied, [*keys, "_part"]).drop("_part")

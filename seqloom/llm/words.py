@@ -54,13 +54,11 @@ class Words:
     starts: tuple[np.ndarray, ...] = ()
 
 
-def find_words(buf: np.ndarray, offsets: np.ndarray, solid_bytes: np.ndarray = _SOLID, starts: tuple[int, ...] = ()) -> Words:
-    """Words are runs of ``solid_bytes``. ``starts``: lengths of beginnings to hash as well; a word
-    that is not longer than such a beginning has no hash of it (0)."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, solid_bytes: np.ndarray = _SOLID) -> tuple[np.ndarray, ...]:
+    """Which bytes belong to words, each text's first word, and where words begin and end."""
     if len(buf) == 0:
         none = np.zeros(0, np.int64)
-        nothing = np.zeros(0, np.uint64)
-        return Words(nothing, np.zeros(len(offsets), np.int64), none, none, (nothing,) * len(starts))
+        return np.zeros(0, bool), np.zeros(len(offsets), np.int64), none, none
     solid = solid_bytes[buf]
     begin, end = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
@@ -70,6 +68,17 @@ def find_words(buf: np.ndarray, offsets: np.ndarray, solid_bytes: np.ndarray = _
     tails = offsets[1:][offsets[1:] > 0] - 1
     end[tails] = solid[tails]
     w0, w1 = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    return solid, np.searchsorted(w0, offsets), w0, w1
+
+
+def find_words(buf: np.ndarray, offsets: np.ndarray, solid_bytes: np.ndarray = _SOLID, starts: tuple[int, ...] = ()) -> Words:
+    """Words are runs of ``solid_bytes``. ``starts``: lengths of beginnings to hash as well; a word
+    that is not longer than such a beginning has no hash of it (0)."""
+    if len(buf) == 0:
+        none = np.zeros(0, np.int64)
+        nothing = np.zeros(0, np.uint64)
+        return Words(nothing, np.zeros(len(offsets), np.int64), none, none, (nothing,) * len(starts))
+    _, first, w0, w1 = word_spans(buf, offsets, solid_bytes)
     power, inverse = _power_tables(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
@@ -79,7 +88,7 @@ def find_words(buf: np.ndarray, offsets: np.ndarray, solid_bytes: np.ndarray = _
         longer = w1 - w0 > size
         at = np.where(longer, w0 + size, w1)
         heads.append(np.where(longer, mix((total[at] - total[w0]) * inverse[w0] + _STEPS[size]), np.uint64(0)))
-    return Words(hashes, np.searchsorted(w0, offsets), w0, w1, tuple(heads))
+    return Words(hashes, first, w0, w1, tuple(heads))
 
 
 def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
