@@ -1,10 +1,12 @@
 """Spelling variants: words one edit apart, found by asymmetric q-chunks.
 
-One edit leaves one of two disjoint chunks of a word as it is and moves it by one place at most. So
-the shorter word of a pair (of equal length: the smaller one) contributes its two halves, and the
-other one its positional grams of these lengths; grams further than one place from a chunk's own
-place could not join and are not written. Halves and grams meet by an equality join, and the join's
-condition verifies the edit distance, so only true pairs leave it.
+One edit leaves one of two disjoint chunks of a word as it is. So the shorter word of a pair (of equal
+length: the smaller one) contributes its two halves, and the other one positional grams of these
+lengths. A half moves by no place if the edit comes after it, and by the difference of the lengths, one
+at most, if it comes before; of all positional grams those at other places cannot join and are not
+written. Halves and grams meet by an equality join whose condition verifies the pair: of the other
+half one of two pieces must be equal too (their hashes are compared first), and the edit distance
+must be one. So only true pairs leave the join.
 
 A chunk that very many words share is cut into blocks on both sides, so that no task gets them all.
 """
@@ -34,35 +36,28 @@ def count_words(words: DataFrame, least_length: int = 7, least_count: int = 2) -
     return words.filter(F.length("word") >= least_length).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_count)
 
 
+def _pieces(place: str) -> list[str]:
+    """Hashes of two pieces of the other half; ``place`` moves what comes after the edit."""
+    head = "if(half = 0, hash(substring(word, size div 2 + 1, (size - size div 2) div 2)), hash(substring(word, 1, size div 2 div 2))) as head"
+    tail = f"""if(half = 0, hash(substring(word, size div 2 + (size - size div 2) div 2 + 1 + {place})),
+               hash(substring(word, size div 2 div 2 + 1 + {place}, size div 2 - size div 2 div 2))) as tail"""
+    return [head, tail]
+
+
 def _chunks(words: DataFrame) -> DataFrame:
-    """size, half, gram, a, n_a, shorter: both halves of every word."""
-    size, half = F.length("word"), F.expr("length(word) div 2")
-    parts = F.array(
-        F.struct(F.lit(0).alias("half"), F.expr("substring(word, 1, length(word) div 2)").alias("gram")),
-        F.struct(F.lit(1).alias("half"), F.expr("substring(word, length(word) div 2 + 1)").alias("gram")),
-    )
-    return words.filter(half > 0).select(size.alias("size"), F.inline(parts), F.col("word").alias("a"), F.col("n").alias("n_a"))
+    """size, half, gram, head, tail, a, n_a: both halves of every word."""
+    halves = words.select("word", "n", F.length("word").alias("size"), F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+    gram = "if(half = 0, substring(word, 1, size div 2), substring(word, size div 2 + 1)) as gram"
+    return halves.selectExpr("size", "half", gram, *_pieces("0"), "word as a", "n as n_a")
 
 
 def _grams(words: DataFrame, least_length: int) -> DataFrame:
-    """size, half, gram, b, n_b: the grams of a word that a half of a word of ``size`` letters can equal."""
-    sized = words.withColumn("size", F.explode(F.expr("array(length(word), length(word) - 1)"))).filter(F.col("size") >= least_length)
-    placed = sized.withColumn(
-        "place",
-        F.explode(
-            F.expr(
-                """array_distinct(filter(
-                     flatten(transform(array(0, 1), half ->
-                       transform(array(-1, 0, 1), shift -> struct(
-                         half as half,
-                         half * (size div 2) + shift as at,
-                         if(half = 0, size div 2, size - size div 2) as long)))),
-                     x -> x.at >= 0 and x.at + x.long <= length(word)))"""
-            )
-        ),
-    )
-    gram = F.expr("substring(word, place.at + 1, place.long)")
-    return placed.select("size", F.col("place.half").alias("half"), gram.alias("gram"), F.col("word").alias("b"), F.col("n").alias("n_b")).distinct()
+    """size, half, gram, head, tail, b, n_b: the grams of a word that a half of a word of ``size``
+    letters, ``size`` being its length or one less, can equal after one edit in the other half."""
+    sized = words.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("size", F.length("word") - F.col("shift"))
+    halves = sized.filter(F.col("size") >= least_length).withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+    gram = "if(half = 0, substring(word, 1, size div 2), substring(word, size div 2 + 1 + shift)) as gram"
+    return halves.selectExpr("size", "half", gram, *_pieces("shift"), "word as b", "n as n_b")
 
 
 def near_pairs(words: DataFrame, least_length: int = 7) -> DataFrame:
@@ -91,7 +86,8 @@ def near_pairs(words: DataFrame, least_length: int = 7) -> DataFrame:
 
     left, right = dealt(chunks, "a", "as", "bs"), dealt(grams, "b", "bs", "as")
     longer = (F.length("b") > F.length("a")) | (F.col("a") < F.col("b"))
-    both = left.join(right, [*key, "as", "bs"]).filter(longer & (F.levenshtein("a", "b", 1) == 1))
+    piece = (left["head"] == right["head"]) | (left["tail"] == right["tail"])
+    both = left.join(right, [*key, "as", "bs"]).filter(piece & longer & (F.levenshtein("a", "b", 1) == 1))
     return materialize(both.select("a", "n_a", "b", "n_b").distinct(), "near-words")
 
 
