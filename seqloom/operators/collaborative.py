@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from seqloom.functions import vector as V
-from seqloom.operators.cooccurrence import cooccurrence, sppmi
-from seqloom.operators.sampling import gaussian, uniform_negatives
-from seqloom.operators.sequences import _blocks
+from seqloom.operators.cooccurrence import cooccurrence, skipgram_pairs, sppmi
+from seqloom.operators.gridtrain import Training, train_factors
+from seqloom.operators.sampling import gaussian
 from seqloom.session import materialize
 
+# Method names.
 METHODS = ("item_item_sppmi", "item2vec", "mf_bpr")
 OVERSAMPLE, POWER_STEPS = 8, 2  # fixed values of the randomized projection
-MAX_DRIVER_BYTES = 512 << 20
 
 
 def sppmi_vectors(
@@ -141,28 +140,29 @@ def item2vec_vectors(
     epochs: int = 5,
     negatives: int = 10,
     seed: int = 0,
-    sentence_len: int = 1000,
-    max_driver_bytes: int = MAX_DRIVER_BYTES,
+    rate: float = 0.1,
+    batch: int = 256,
+    blocks: int | None = None,
 ) -> DataFrame:
-    """(item_idx, vec): skip-gram vectors of item sequences, normalised.
+    """(item_idx, vec): skip-gram vectors of all items, normalised.
 
-    Sequences are cut into sentences of bounded length. Spark's skip-gram keeps all vectors
-    on the driver; for catalogues beyond a checked size the same objective is solved in its
-    matrix form, the PMI shifted by ln(negatives), factorized over the cluster.
+    All pairs up to ``window`` positions apart train; contexts are told from ``negatives`` items drawn
+    by their counts to the power 3/4. Items without a pair keep their initial direction.
     """
-    n_items = item_map.count()
-    if n_items * dim * 8 > max_driver_bytes:
-        return sppmi_vectors(positions, item_map, dim, window, float(max(1, negatives)), seed)
-    words = F.transform(F.sort_array(F.collect_list(F.struct("pos", "item_idx"))), lambda r: r["item_idx"].cast("string"))
-    sentences = _blocks(positions, "user_idx", "item_idx", 0, 0, sentence_len).groupBy("user_idx", "block").agg(
-        words.alias("words")
-    )
-    model = Word2Vec(
-        vectorSize=dim, windowSize=window, minCount=0, maxIter=epochs, seed=seed, inputCol="words", outputCol="out",
-        maxSentenceLength=sentence_len,
-    ).fit(sentences)
-    found = model.getVectors().select(F.col("word").cast("int").alias("item_idx"), vector_to_array("vector").alias("vec"))
-    return _whole_catalogue(found, item_map, dim)
+    pairs = skipgram_pairs(positions, window).groupBy(F.col("center").alias("left"), F.col("context").alias("right"))
+    pairs = materialize(pairs.agg(F.count(F.lit(1)).alias("n")), "skipgram-pairs")
+    if pairs.isEmpty():
+        raise ValueError("no item pairs within the window")
+    counts = pairs.groupBy(F.col("right").alias("item_idx")).agg(F.sum("n").alias("n"))
+    mass = F.pow(F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)).cast("double"), 0.75)
+    ids = item_map.select("item_idx").join(counts, "item_idx", "left").select(F.col("item_idx").alias("id"), mass.alias("mass"))
+    training = Training("skipgram", dim, epochs, max(1, negatives), rate, 0.0, batch, seed, blocks)
+    found, _ = train_factors(pairs, ids.select("id"), ids, training)
+    return _unit_rows(found)
+
+
+def _unit_rows(factors: DataFrame) -> DataFrame:
+    return factors.select(F.col("id").cast("int").alias("item_idx"), V.l2_normalize("vec").alias("vec"))
 
 
 def _whole_catalogue(found: DataFrame, item_map: DataFrame, dim: int) -> DataFrame:
@@ -185,74 +185,27 @@ def als_vectors(indexed: DataFrame, item_map: DataFrame, dim: int = 128, epochs:
 def bpr_vectors(
     indexed: DataFrame,
     item_map: DataFrame,
-    dim: int = 32,
+    dim: int = 128,
     epochs: int = 5,
     negatives: int = 1,
-    learning_rate: float = 0.5,
+    rate: float = 0.1,
     reg: float = 1e-4,
     seed: int = 0,
+    batch: int = 256,
+    blocks: int | None = None,
 ) -> DataFrame:
     """(item_idx, vec): item factors trained on the pairwise ranking loss, normalised.
 
-    Every epoch draws fresh negatives and takes one synchronous step: triples meet the current
-    factors by joins, gradients are summed per user and per item, and the factors are written.
+    Every interaction is visited once an epoch, repeated ones as often as they occur, each time with
+    ``negatives`` items that the user lacks. Users who own a whole block of items have none in it.
     """
-    n_items = item_map.count()
-    owned = materialize(indexed.select("user_idx", "item_idx").distinct(), "owned")
-    rows = materialize(
-        indexed.groupBy("user_idx", "item_idx")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("row_id", F.xxhash64("user_idx", "item_idx")),
-        "bpr-rows",
-    )
-    places = F.sequence(F.lit(0), F.lit(dim - 1))
-
-    def initial(ids: DataFrame, name: str, salt: int) -> DataFrame:
-        vec = F.transform(places, lambda d: gaussian(seed + salt, F.col(name), d) * 0.02)
-        return ids.select(name, vec.alias("vec"), F.lit(0.0).alias("bias"))
-
-    users = initial(rows.select("user_idx").distinct(), "user_idx", 1)
-    items = initial(item_map.select("item_idx"), "item_idx", 2)
-    for epoch in range(epochs):
-        triples = None
-        for n in range(max(1, negatives)):
-            drawn = uniform_negatives(rows, owned, n_items, seed + 1000 * epoch + n, "row_id")
-            triples = drawn if triples is None else triples.unionByName(drawn)
-        u = users.select("user_idx", F.col("vec").alias("u"))
-        p = items.select("item_idx", F.col("vec").alias("p"), F.col("bias").alias("pb"))
-        q = items.select(F.col("item_idx").alias("negative"), F.col("vec").alias("q"), F.col("bias").alias("qb"))
-        met = triples.join(u, "user_idx").join(p, "item_idx").join(q, "negative")
-        gap = V.dot("u", "p") - V.dot("u", "q") + F.col("pb") - F.col("qb")
-        pull = F.col("n") / (1.0 + F.exp(F.least(gap, F.lit(50.0))))
-        stepped = materialize(met.withColumn("g", pull), "bpr-triples")
-        user_grad = stepped.select("user_idx", F.zip_with("p", "q", lambda a, b: a - b).alias("v"), "g", "n")
-        item_grad = stepped.select(F.col("item_idx"), F.col("u").alias("v"), "g", "n").unionByName(
-            stepped.select(F.col("negative").alias("item_idx"), V.scale("u", F.lit(-1.0)).alias("v"), "g", "n")
-        )
-        users = materialize(_step(users, user_grad, "user_idx", learning_rate, reg), "bpr-users")
-        bias_grad = stepped.select("item_idx", F.col("g").alias("b")).unionByName(
-            stepped.select(F.col("negative").alias("item_idx"), (-F.col("g")).alias("b"))
-        )
-        items = materialize(_step(items, item_grad, "item_idx", learning_rate, reg, bias_grad), "bpr-items")
-    return _whole_catalogue(items.select("item_idx", "vec"), item_map, dim)
-
-
-def _step(factors, grads, key, rate, reg, bias_grads=None) -> DataFrame:
-    """Move each factor along its mean gradient."""
-    summed = grads.groupBy(key).agg(
-        vector_to_array(Summarizer.sum(array_to_vector("v"), F.col("g"))).alias("_g"), F.sum("n").alias("_n")
-    )
-    moved = factors.join(summed, key, "left")
-    if bias_grads is not None:
-        moved = moved.join(bias_grads.groupBy(key).agg(F.sum("b").alias("_b")), key, "left")
-    else:
-        moved = moved.withColumn("_b", F.lit(0.0))
-    vec = F.when(
-        F.col("_g").isNotNull(),
-        F.zip_with("vec", "_g", lambda v, g: v * (1 - rate * reg) + g * (F.lit(rate) / F.col("_n"))),
-    ).otherwise(F.col("vec"))
-    bias = F.col("bias") + F.coalesce(F.col("_b") * rate / F.col("_n"), F.lit(0.0))
-    return moved.select(key, vec.alias("vec"), bias.alias("bias"))
+    pairs = indexed.groupBy(F.col("user_idx").alias("left"), F.col("item_idx").alias("right")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = materialize(pairs, "owned-pairs")
+    users = pairs.select(F.col("left").alias("id")).distinct()
+    items = item_map.select(F.col("item_idx").alias("id"), F.lit(1.0).alias("mass"))
+    training = Training("ranking", dim, epochs, max(1, negatives), rate, reg, batch, seed, blocks)
+    _, found = train_factors(pairs, users, items, training)
+    return _unit_rows(found)
 
 
 def collaborative_vectors(method: str, positions: DataFrame, item_map: DataFrame, dim: int = 128, **options) -> DataFrame:

@@ -51,15 +51,17 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later plans start from the files.
 
+    ``partition_by`` names columns whose values get folders of their own, for filters to skip.
+
     Unlike executor-held blocks, the written table survives the loss of any executor and
     keeps column pruning and size statistics for the plans built on it.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/seqloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -244,9 +244,10 @@ def cliques(spark):
 
 @pytest.mark.parametrize("method,options", [
     ("item_item_sppmi", {"dim": 4}),
-    ("item2vec", {"dim": 6, "epochs": 3}),
-    ("item2vec", {"dim": 4, "max_driver_bytes": 0, "negatives": 1}),
-    ("mf_bpr", {"dim": 6, "epochs": 12, "learning_rate": 2.0}),
+    ("item2vec", {}),
+    ("item2vec", {"dim": 6, "negatives": 1, "blocks": 2}),
+    ("mf_bpr", {}),
+    ("mf_bpr", {"dim": 6, "negatives": 3, "blocks": 1}),
 ])
 def test_collaborative_vectors_separate_groups(spark, cliques, method, options):
     items = spark.range(10).select(F.col("id").cast("int").alias("item_idx"))
@@ -255,7 +256,7 @@ def test_collaborative_vectors_separate_groups(spark, cliques, method, options):
     sim = got @ got.T
     inside = np.mean([sim[i, j] for i in range(10) for j in range(10) if i != j and i // 5 == j // 5])
     across = np.mean([sim[i, j] for i in range(10) for j in range(10) if i // 5 != j // 5])
-    assert inside > across
+    assert inside > across + 0.5
     with pytest.raises(ValueError):
         C.collaborative_vectors("nope", cliques, items)
 
