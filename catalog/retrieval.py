@@ -67,12 +67,12 @@ def _run(spark, d, penalty: float = 0.0, strategy: str = "equal_items"):
     samples, items = click_samples(spark, d), vectors(spark, d)
     queries = pooled_queries(samples, items, KEY)
     train = samples.filter("split = 'train'")
-    return evaluate(queries, items, train, KEY, "5,10,20", strategy, penalty, n_queries=samples.count())
+    return evaluate(queries, items, train, KEY, "5,10,20", strategy, penalty)
 
 
 def _ranked(spark, d, **kw):
     samples, items = click_samples(spark, d), vectors(spark, d)
-    return R.rank_catalogue(pooled_queries(samples, items, KEY), items, KEY, n_queries=samples.count(), **kw)
+    return R.rank_catalogue(pooled_queries(samples, items, KEY), items, KEY, **kw)
 
 
 def _predictions(spark, d):

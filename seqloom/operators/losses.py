@@ -83,12 +83,16 @@ def masked_accuracy(samples: DataFrame, labels: str = "labels", predicted: str =
 def ranking_cross_entropy(ranked: DataFrame, temperature: float, weights: DataFrame | None = None) -> DataFrame:
     """Weighted mean of log_sum_exp - target_score / temperature from ``rank_catalogue``.
 
-    ``weights``: (item_idx, weight) of the targets; all ones when absent.
+    ``weights``: (item_idx, weight) of the targets; all ones when absent. A target without a weight
+    is an error.
     """
     loss = F.col("log_sum_exp") - F.col("target_score") / F.lit(max(temperature, 1e-6))
     if weights is None:
         return ranked.agg(F.avg(loss).alias("ranking_loss"))
-    joined = ranked.join(weights.withColumnRenamed("item_idx", "target"), "target")
+    found = weights.select(F.col("item_idx").alias("target"), F.col("weight").alias("_w"))
+    joined = ranked.join(found, "target", "left").withColumn(
+        "weight", F.coalesce("_w", F.raise_error(F.lit("a target has no weight")).cast("double"))
+    )
     total = F.greatest(F.sum("weight"), F.lit(1e-6))
     return joined.agg((F.sum(loss * F.col("weight")) / total).alias("ranking_loss"))
 

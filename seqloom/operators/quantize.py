@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.functions import vector as V
@@ -141,7 +142,7 @@ def _encode_in_blocks(vectors: DataFrame, codebooks: DataFrame) -> DataFrame:
         asked = vectors.select(
             F.col("item_idx").alias("_id"),
             V.subvector("vec", part, parts, dim).alias("vec"),
-            F.lit(0).alias("target"),
+            F.lit(None).cast("int").alias("target"),
         )
         best = rank_catalogue(asked, book, ["_id"], k=1, score="neg_l2", exclude_history=False)
         one = best.select(
@@ -204,8 +205,6 @@ def _map_vectors(vectors: DataFrame, fn) -> DataFrame:
 
 
 def fit_rotation(vectors: DataFrame) -> Rotation:
-    from pyspark.ml.stat import Summarizer
-
     shape = vector_shape(vectors)
     if shape.rows < shape.dim:
         raise ValueError(f"a rotation of dimension {shape.dim} needs as many rows, got {shape.rows}")
@@ -227,8 +226,7 @@ class CodeTree:
     dim: int
 
 
-LOCAL_BUCKET_ROWS = 50_000
-MAX_CENTER_BYTES = 256 << 20
+MAX_CENTER_BYTES = 64 << 20
 
 
 def fit_tree(
@@ -237,12 +235,14 @@ def fit_tree(
     branching: int = 16,
     iterations: int = 25,
     seed: int = 0,
-    local_bucket_rows: int = LOCAL_BUCKET_ROWS,
+    max_center_bytes: int = MAX_CENTER_BYTES,
 ) -> tuple[DataFrame, CodeTree]:
     """Split every bucket into at most ``branching`` clusters, level by level.
 
-    Returns (item_idx, code) and the tree. Buckets of up to ``local_bucket_rows`` rows are
-    clustered one per task; larger ones together, over all tasks at once, with the same draws and codes.
+    Returns (item_idx, code) and the tree. All buckets of a level are clustered together over all
+    tasks, whatever their sizes: rows are dealt out by ranges of (bucket, item), so a large bucket is
+    cut over many tasks and a task holds neighbouring small ones; what leaves a task is one summary a
+    bucket. Levels of very many buckets go in waves whose centers stay below ``max_center_bytes``.
     """
     if levels < 1:
         raise ValueError("levels must be positive")
@@ -252,22 +252,15 @@ def fit_tree(
     )
     nodes = None
     for level in range(levels):
-        state = materialize(state, f"tree-level-{level}")
-        sizes = state.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-        large = sizes.filter(F.col("n") > local_bucket_rows)
-        labelled = []
-        big = large.count()
-        small_rows = state if big == 0 else state.join(large.select("code"), "code", "left_anti")
-        labelled.append(_split_local(small_rows, branching, iterations, seed + level))
-        if big:
-            # The centers of all buckets clustered together must fit the driver and the tasks.
-            waves = -(-big * branching * dim * 8 // MAX_CENTER_BYTES)
-            for wave in range(waves):
-                chosen = large.filter(F.pmod(F.xxhash64("code"), F.lit(waves)) == wave)
-                labelled.append(_split_jointly(state.join(chosen, "code"), branching, iterations, seed + level))
-        parts = labelled[0]
-        for other in labelled[1:]:
-            parts = parts.unionByName(other)
+        named = state.withColumn("bucket", F.array_join(F.col("code").cast("array<string>"), "-"))
+        dealt = materialize(named.repartitionByRange("bucket", "item_idx").sortWithinPartitions("bucket"), f"tree-level-{level}")
+        buckets = dealt.select("bucket").distinct().count()
+        waves = max(1, -(-buckets * branching * dim * 8 // max_center_bytes))
+        parts = None
+        for wave in range(waves):
+            chosen = dealt if waves == 1 else dealt.filter(F.pmod(F.xxhash64("bucket"), F.lit(waves)) == wave)
+            split = _split_buckets(chosen, branching, iterations, seed + level)
+            parts = split if parts is None else parts.unionByName(split)
         parts = materialize(parts, f"tree-split-{level}")
         state = parts.select("item_idx", "vec", F.concat("code", F.array("label")).alias("code"))
         centers = parts.groupBy(F.concat("code", F.array("label")).alias("prefix")).agg(
@@ -280,67 +273,34 @@ def fit_tree(
 _SPLIT_SCHEMA = "item_idx int, vec array<double>, code array<int>, label int, center array<double>"
 
 
-def _seed_centers(ids: np.ndarray, x: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Spread seeding, with the draws of ``_split_jointly``."""
-    chosen = [int(_hash_unit(ids, seed).argmax())]
-    dist = nearest(x, x[chosen])[1]
-    while len(chosen) < k:
-        chosen.append(int(_far_weight(ids, dist, _step_seed(seed, len(chosen))).argmax()))
-        dist = np.minimum(dist, nearest(x, x[chosen[-1:]])[1])
-    return x[chosen].copy()
-
-
 def _means(x: np.ndarray, label: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros_like(centers)
     np.add.at(sums, label, x)
     return sums, np.bincount(label, minlength=len(centers))
 
 
-def _split_local(rows: DataFrame, branching: int, iterations: int, seed: int) -> DataFrame:
-    def split(table: pa.Table) -> pa.Table:
-        table = table.sort_by("item_idx")
-        x = as_matrix(table["vec"])
-        centers = _seed_centers(table["item_idx"].to_numpy(), x, min(branching, len(x)), seed)
-        for _ in range(max(1, iterations)):
-            label, _ = nearest(x, centers)
-            sums, counts = _means(x, label, centers)
-            # An empty cluster keeps its center, as in _split_jointly.
-            centers = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers)
-        label, _ = nearest(x, centers)
-        return pa.table(
-            {
-                "item_idx": table["item_idx"],
-                "vec": table["vec"],
-                "code": table["code"],
-                "label": pa.array(label, pa.int32()),
-                "center": as_lists(centers[label]),
-            }
-        )
-
-    return rows.select("item_idx", "vec", "code").groupBy("code").applyInArrow(split, _SPLIT_SCHEMA)
-
-
-def _split_jointly(rows: DataFrame, branching: int, iterations: int, seed: int) -> DataFrame:
-    """k-means of many large buckets at once; only centers and per-task sums leave the tasks.
+def _split_buckets(rows: DataFrame, branching: int, iterations: int, seed: int) -> DataFrame:
+    """k-means of many buckets at once; only centers and per-task sums leave the tasks.
 
     Seeding draws by squared distance: the row with the largest ln(u)/d² of a hash uniform u
-    is exactly such a draw, and finding it is one aggregate over all buckets.
+    is exactly such a draw, and finding it is one aggregate over all buckets. An empty cluster keeps
+    its center.
     """
     spark = rows.sparkSession
-    names = F.array_join(F.col("code").cast("array<string>"), "-")
-    keyed = materialize(rows.select("item_idx", "vec", "code", names.alias("bucket")), "tree-large")
-    rows_of = {r["bucket"]: r["count"] for r in keyed.groupBy("bucket").count().collect()}
+    rows_of = {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}
     centers: dict = dict.fromkeys(rows_of)
     for step in range(min(branching, max(rows_of.values(), default=0))):
-        picks = _reduce_batches(keyed, centers, _pick_far(_step_seed(seed, step)), "bucket string, weight double, vec array<double>")
+        picks = _reduce_batches(rows, centers, _pick_far(_step_seed(seed, step)), "bucket string, weight double, vec array<double>")
         best = picks.groupBy("bucket").agg(F.max_by("vec", "weight").alias("vec")).collect()
         for r in best:
             before = centers[r["bucket"]]
             if step < rows_of[r["bucket"]]:
                 centers[r["bucket"]] = np.array([r["vec"]]) if before is None else np.vstack([before, r["vec"]])
     for _ in range(max(1, iterations)):
-        sums = _reduce_batches(keyed, centers, _partial_sums, "bucket string, label int, n bigint, vec array<double>")
-        merged = sums.groupBy("bucket", "label").applyInArrow(_add_sums, "bucket string, label int, n bigint, vec array<double>")
+        sums = _reduce_batches(rows, centers, _partial_sums, "bucket string, label int, n bigint, vec array<double>")
+        merged = sums.groupBy("bucket", "label").agg(
+            F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("vec"))).alias("vec")
+        )
         for r in merged.filter("n > 0").collect():
             centers[r["bucket"]][r["label"]] = np.array(r["vec"]) / r["n"]
     shared = spark.sparkContext.broadcast(centers)
@@ -349,10 +309,9 @@ def _split_jointly(rows: DataFrame, branching: int, iterations: int, seed: int)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x, buckets = as_matrix(batch.column("vec")), batch.column("bucket").to_numpy(zero_copy_only=False)
+            x = as_matrix(batch.column("vec"))
             label, center_of = np.zeros(len(x), np.int32), np.zeros_like(x)
-            for name in np.unique(buckets.astype(str)):
-                at = np.nonzero(buckets == name)[0]
+            for name, at in _by_bucket(batch):
                 label[at], _ = nearest(x[at], shared.value[name])
                 center_of[at] = shared.value[name][label[at]]
             yield pa.RecordBatch.from_arrays(
@@ -360,7 +319,16 @@ def _split_jointly(rows: DataFrame, branching: int, iterations: int, seed: int)
                 ["item_idx", "vec", "code", "label", "center"],
             )
 
-    return keyed.mapInArrow(label_rows, _SPLIT_SCHEMA)
+    return rows.select("item_idx", "vec", "code", "bucket").mapInArrow(label_rows, _SPLIT_SCHEMA)
+
+
+def _by_bucket(batch: pa.RecordBatch):
+    """(bucket, its rows of the batch); batches come sorted by bucket."""
+    names = batch.column("bucket").dictionary_encode()
+    index = names.indices.to_numpy()
+    cuts = [0, *(np.flatnonzero(index[1:] != index[:-1]) + 1).tolist(), len(index)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield names.dictionary[int(index[a])].as_py(), slice(a, b)
 
 
 def _reduce_batches(keyed: DataFrame, centers: dict, fn, schema: str) -> DataFrame:
@@ -375,9 +343,7 @@ def _reduce_batches(keyed: DataFrame, centers: dict, fn, schema: str) -> DataFra
                 continue
             x = as_matrix(batch.column("vec"))
             ids = batch.column("item_idx").to_numpy()
-            buckets = batch.column("bucket").to_numpy(zero_copy_only=False)
-            for name in np.unique(buckets.astype(str)):
-                at = np.nonzero(buckets == name)[0]
+            for name, at in _by_bucket(batch):
                 folded[name] = fn(ids[at], x[at], shared.value[name], folded.get(name))
         for name, (columns, vecs) in folded.items():
             head = pa.array([name] * len(vecs))
@@ -426,18 +392,6 @@ def _partial_sums(ids, x, centers, before):
     return [np.arange(len(centers), dtype=np.int32), counts], sums
 
 
-def _add_sums(table: pa.Table) -> pa.Table:
-    total = as_matrix(table["vec"]).sum(axis=0, keepdims=True)
-    return pa.table(
-        {
-            "bucket": table["bucket"].slice(0, 1),
-            "label": table["label"].slice(0, 1),
-            "n": pa.array([int(np.sum(table["n"].to_numpy()))]),
-            "vec": as_lists(total),
-        }
-    )
-
-
 def encode_tree(vectors: DataFrame, tree: CodeTree) -> DataFrame:
     """(item_idx, code): walk from the root to the nearest child at every level."""
     children = tree.nodes.select(

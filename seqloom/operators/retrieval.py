@@ -1,12 +1,14 @@
 """Full-catalogue scoring, ranking and retrieval metrics.
 
-Scores never leave a task: queries and items are cut into buckets of bounded size, every
-query bucket meets every item block once, and only per-query results are merged.
+Neither queries nor items are shuffled. The catalogue is cut into blocks of checked size; each block
+in turn is sent to the executors, which score their queries against it where they are and carry a
+running state per query: the number of better items, the best ones so far, and the log-sum of scores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +16,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from seqloom.operators.checks import parse_topk
 from seqloom.operators.gather import as_matrix
-from seqloom.operators.losses import log_sum_exp
 from seqloom.operators.popularity import group_names
+from seqloom.session import materialize
 
-QUERY_BUCKET_ROWS = 4096
-ITEM_BLOCK_ROWS = 65536
+ITEM_BLOCK_BYTES = 64 << 20  # of item vectors sent at once
 _CELLS = 1 << 22  # scores held at once inside a task
 
 
@@ -39,11 +40,59 @@ def _code_scores(queries: np.ndarray, items: np.ndarray) -> np.ndarray:
     return total
 
 
-SCORES: dict[str, Callable] = {"dot": _dot_scores, "neg_l2": _neg_sq_l2, "code": _code_scores}
+def _dot_rows(queries: np.ndarray, items: np.ndarray) -> np.ndarray:
+    return (queries * items).sum(axis=1)
 
 
-def _bucket_count(rows: int, size: int) -> int:
-    return max(1, -(-rows // size))
+def _neg_sq_l2_rows(queries: np.ndarray, items: np.ndarray) -> np.ndarray:
+    return 2.0 * (queries * items).sum(axis=1) - (queries**2).sum(axis=1) - (items**2).sum(axis=1)
+
+
+def _code_rows(queries: np.ndarray, items: np.ndarray) -> np.ndarray:
+    return np.take_along_axis(queries, items.astype(np.int64), axis=1).sum(axis=1)
+
+
+# Scores of every query with every item, and of query i with item i.
+SCORES: dict[str, tuple[Callable, Callable]] = {
+    "dot": (_dot_scores, _dot_rows),
+    "neg_l2": (_neg_sq_l2, _neg_sq_l2_rows),
+    "code": (_code_scores, _code_rows),
+}
+_TOP = "array<struct<score:double,item_idx:int>>"
+
+
+@dataclass(frozen=True)
+class _Rules:
+    score: str
+    k: int
+    penalty_weight: float
+    temperature: float | None
+    decimals: int | None
+    key: tuple[str, ...]
+
+    def rounded(self, scores: np.ndarray) -> np.ndarray:
+        return scores if self.decimals is None else np.round(scores, self.decimals)
+
+
+@dataclass(frozen=True)
+class _Block:
+    """Items in ascending order."""
+
+    index: np.ndarray
+    vecs: np.ndarray
+    penalties: np.ndarray
+
+    @staticmethod
+    def of(items: DataFrame) -> "_Block":
+        rows = items.toArrow().sort_by("item_idx")
+        return _Block(rows["item_idx"].to_numpy().astype(np.int64), as_matrix(rows["vec"]), rows["penalty"].to_numpy())
+
+    def places(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where items are in this block, and which of them are."""
+        if len(self.index) == 0:
+            return np.zeros(len(items), np.int64), np.zeros(len(items), bool)
+        at = np.minimum(np.searchsorted(self.index, items), len(self.index) - 1)
+        return at, self.index[at] == items
 
 
 def rank_catalogue(
@@ -56,145 +105,126 @@ def rank_catalogue(
     penalty_weight: float = 0.0,
     temperature: float | None = None,
     decimals: int | None = 10,
-    query_bucket_rows: int = QUERY_BUCKET_ROWS,
-    item_block_rows: int = ITEM_BLOCK_ROWS,
-    n_queries: int | None = None,
+    block_bytes: int = ITEM_BLOCK_BYTES,
 ) -> DataFrame:
     """Rank every catalogue item for every query.
 
-    ``queries``: ``key`` columns (unique), ``vec``, ``target``, and ``history``/``mask`` when histories
-    are excluded. ``items``: ``item_idx``, ``vec`` and, with a penalty weight, ``penalty``.
+    ``queries``: ``key`` columns, ``vec``, ``target``, and ``history``/``mask`` when histories are
+    excluded. ``items``: ``item_idx``, ``vec`` and, with a penalty weight, ``penalty``.
 
     Returns key, target, ``target_score``, ``rank`` = 1 + number of better items (ties favour
     the target), ``top`` = best ``k`` as (score, item_idx), ties by item index, and with a
     ``temperature`` also ``log_sum_exp`` of the unpenalised scores / temperature over all
     items. Excluded history items take no part; the target always does; a target that is not
-    in ``items`` raises an error.
-    Scores are rounded to ``decimals`` so that equal vectors tie in every block. Callers who
-    know the number of queries pass it and spare a count.
+    in ``items`` raises an error. A null target has a null score and rank.
+    Scores are rounded to ``decimals`` so that equal vectors tie in every block.
     """
-    kernel = SCORES[score]
-    q_buckets = _bucket_count(queries.count() if n_queries is None else n_queries, query_bucket_rows)
-    i_blocks = _bucket_count(items.count(), item_block_rows)
-    with_penalty = penalty_weight != 0.0
-    penalty = F.col("penalty").cast("double") if with_penalty else F.lit(0.0)
+    spark = queries.sparkSession
+    rules = _Rules(score, k, penalty_weight, temperature, decimals, tuple(key))
+    penalty = F.col("penalty").cast("double") if penalty_weight != 0.0 else F.lit(0.0)
     table = items.select("item_idx", F.col("vec").cast("array<double>").alias("vec"), penalty.alias("penalty"))
-    goal = table.select(
-        F.col("item_idx").alias("target"), F.col("vec").alias("target_vec"), F.col("penalty").alias("target_penalty")
-    )
+    size = table.agg(F.coalesce(F.sum(F.size("vec") + 2), F.lit(0))).first()[0] * 8
+    blocks = max(1, -(-size // block_bytes))
     history = (
         F.transform(F.arrays_zip("history", "mask"), lambda e: F.when(e["mask"], e["history"]).otherwise(-1))
         if exclude_history
         else F.array().cast("array<int>")
     )
-    asked = (
-        queries.select(*key, F.col("vec").cast("array<double>").alias("vec"), "target", history.alias("seen"))
-        .join(goal, "target", "left")
-        .withColumn("target_vec", F.coalesce("target_vec", F.raise_error(F.lit("a target is not in the items"))))
-        .withColumn("_q", F.pmod(F.xxhash64(*key), F.lit(q_buckets)).cast("int"))
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))))
-    )
-    offered = table.withColumn("_i", F.pmod(F.xxhash64("item_idx"), F.lit(i_blocks)).cast("int")).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), F.lit(q_buckets - 1)))
-    )
-    key_types = ", ".join(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in key)
-    out_schema = (
-        f"{key_types}, target int, target_score double, better bigint, "
-        "top array<struct<score:double,item_idx:int>>, lse double"
-    )
-
-    def match(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return _empty(left, key)
-        right = right.sort_by("item_idx")
-        index = right["item_idx"].to_numpy().astype(np.int64)
-        vecs, pens = as_matrix(right["vec"]), penalty_weight * right["penalty"].to_numpy()
-        parts = []
-        step = max(1, _CELLS // max(1, len(index)))
-        for start in range(0, left.num_rows, step):
-            parts.append(
-                _rank_rows(left.slice(start, step), index, vecs, pens, kernel, k, penalty_weight, temperature, decimals, key)
-            )
-        return pa.concat_tables(parts)
-
-    partial = asked.groupBy("_q", "_i").cogroup(offered.groupBy("_q", "_i")).applyInArrow(match, out_schema)
-    # One row per query and item block: at most ``i_blocks`` lists of ``k`` entries meet here.
-    best = F.flatten(F.collect_list("top"))
-    ordered = F.array_sort(
-        best,
-        lambda a, b: F.when(a["score"] > b["score"], -1)
-        .when(a["score"] < b["score"], 1)
-        .otherwise(F.sign(a["item_idx"] - b["item_idx"]).cast("int")),
-    )
-    merges = [
-        F.max("target_score").alias("target_score"),
-        (F.sum("better") + 1).alias("rank"),
-        F.slice(ordered, 1, k).alias("top"),
-    ]
-    if temperature is None:
-        return partial.groupBy(*key, "target").agg(*merges)
-    merged = partial.groupBy(*key, "target").agg(*merges, F.collect_list("lse").alias("_lses"))
-    return merged.withColumn("log_sum_exp", log_sum_exp("_lses")).drop("_lses")
-
-
-def _empty(left: pa.Table, key: list[str]) -> pa.Table:
-    return _result(left.slice(0, 0), key, np.zeros(0), np.zeros(0, np.int64), [], np.zeros(0))
-
-
-def _result(rows, key, target_score, better, top, lse) -> pa.Table:
-    entry = pa.struct([("score", pa.float64()), ("item_idx", pa.int32())])
-    columns = {c: rows[c] for c in key}
-    columns["target"] = rows["target"].cast(pa.int32())
-    columns["target_score"] = pa.array(target_score, pa.float64())
-    columns["better"] = pa.array(better, pa.int64())
-    columns["top"] = top if isinstance(top, pa.Array) else pa.array(top, pa.list_(entry))
-    columns["lse"] = pa.array(lse, pa.float64())
-    return pa.table(columns)
-
-
-def _rank_rows(rows, index, vecs, pens, kernel, k, penalty_weight, temperature, decimals, key):
-    queries = as_matrix(rows["vec"])
-    n = len(queries)
-    raw = kernel(queries, vecs)
-    target = rows["target"].to_numpy().astype(np.int64)
-    target_vecs = as_matrix(rows["target_vec"])
-    own = np.array([kernel(queries[i : i + 1], target_vecs[i : i + 1])[0, 0] for i in range(n)])
-    lse = np.zeros(n)
-    if temperature is not None:
-        scaled = raw / max(temperature, 1e-6)
-        high = scaled.max(axis=1)
-        lse = high + np.log(np.exp(scaled - high[:, None]).sum(axis=1))
-    scores = raw - pens[None, :]
-    own = own - penalty_weight * rows["target_penalty"].to_numpy()
-    if decimals is not None:
-        scores, own = np.round(scores, decimals), np.round(own, decimals)
-    seen = rows["seen"].combine_chunks()
-    lengths = np.diff(seen.offsets.to_numpy())
-    flat = seen.flatten().to_numpy().astype(np.int64)
+    state = queries.select(
+        *key, F.col("target").cast("int").alias("target"), F.col("vec").cast("array<double>").alias("vec"), history.alias("seen"),
+        F.lit(None).cast("double").alias("target_score"), F.lit(0).cast("bigint").alias("better"),
+        F.array().cast(_TOP).alias("top"), F.lit(float("-inf")).alias("lse"),
+    )
+    schema = state.schema
+
+    def passed(rows: DataFrame, block: DataFrame, step: Callable) -> DataFrame:
+        shared = spark.sparkContext.broadcast(_Block.of(block))
+
+        def run(batches):
+            for batch in batches:
+                width = max(1, _CELLS // max(1, len(shared.value.index)))
+                for start in range(0, batch.num_rows, width):
+                    yield step(batch.slice(start, width), shared.value, rules)
+
+        return rows.mapInArrow(run, schema)
+
+    if blocks == 1:
+        state = passed(state, table, lambda rows, block, r: _rank_rows(_score_targets(rows, block, r), block, r))
+    else:
+        table = materialize(table.withColumn("_block", F.pmod(F.xxhash64("item_idx"), F.lit(blocks)).cast("int")), "item-blocks", ["_block"])
+        # A query's own score must be known before better ones are counted, so the blocks come twice.
+        for step in (_score_targets, _rank_rows):
+            for b in range(blocks):
+                state = materialize(passed(state, table.filter(F.col("_block") == b), step), "ranking")
+    known = F.col("target").isNotNull() & F.col("target_score").isNull()
+    told = F.when(known, F.raise_error(F.lit("a target is not in the items")).cast("double")).otherwise(F.col("target_score"))
+    rank = F.when(F.col("target").isNotNull(), F.col("better") + 1)
+    out = state.select(*key, "target", told.alias("target_score"), rank.alias("rank"), "top", F.col("lse").alias("log_sum_exp"))
+    return out if temperature is not None else out.drop("log_sum_exp")
+
+
+def _with_column(rows: pa.RecordBatch, **columns) -> pa.RecordBatch:
+    arrays = [columns.get(name, rows.column(name)) for name in rows.schema.names]
+    return pa.RecordBatch.from_arrays(arrays, rows.schema.names)
+
+
+def _targets(rows: pa.RecordBatch) -> np.ndarray:
+    return rows.column("target").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _score_targets(rows: pa.RecordBatch, block: _Block, rules: _Rules) -> pa.RecordBatch:
+    """Fill in the scores of the targets that this block holds."""
+    place, here = block.places(_targets(rows))
+    known = rows.column("target_score").is_valid().to_numpy(zero_copy_only=False)
+    own = rows.column("target_score").fill_null(0.0).to_numpy(zero_copy_only=False).copy()
+    if here.any():
+        at = place[here]
+        raw = SCORES[rules.score][1](as_matrix(rows.column("vec"))[here], block.vecs[at])
+        own[here] = rules.rounded(raw - rules.penalty_weight * block.penalties[at])
+    return _with_column(rows, target_score=pa.array(own, mask=~(known | here)))
+
+
+def _rank_rows(rows: pa.RecordBatch, block: _Block, rules: _Rules) -> pa.RecordBatch:
+    """Add this block to the running state of every query."""
+    n, index = rows.num_rows, block.index
+    if n == 0 or len(index) == 0:
+        return rows
+    raw = SCORES[rules.score][0](as_matrix(rows.column("vec")), block.vecs)
+    lse = rows.column("lse").to_numpy()
+    if rules.temperature is not None:
+        scaled = raw / max(rules.temperature, 1e-6)
+        high = np.maximum(scaled.max(axis=1), lse)
+        lse = high + np.log(np.exp(scaled - high[:, None]).sum(axis=1) + np.exp(lse - high))
+    scores = rules.rounded(raw - rules.penalty_weight * block.penalties[None, :])
+    seen = rows.column("seen")
+    flat = seen.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     if len(flat):
-        row_of = np.repeat(np.arange(n), lengths)
-        place = np.minimum(np.searchsorted(index, flat), len(index) - 1)
-        hit = (flat >= 0) & (index[place] == flat)
+        row_of = np.repeat(np.arange(n), np.diff(seen.offsets.to_numpy()))
+        place, hit = block.places(flat)
+        hit &= flat >= 0
         scores[row_of[hit], place[hit]] = -np.inf
-    place = np.minimum(np.searchsorted(index, target), len(index) - 1)
-    here = np.nonzero(index[place] == target)[0]
-    scores[here, place[here]] = own[here]
-    better = (scores > own[:, None]).sum(axis=1)
-    width = min(k, scores.shape[1])
-    limit = np.partition(scores, scores.shape[1] - width, axis=1)[:, scores.shape[1] - width]
+    own = rows.column("target_score").fill_null(np.inf).to_numpy(zero_copy_only=False)
+    place, here = block.places(_targets(rows))
+    at = np.flatnonzero(here)
+    scores[at, place[at]] = own[at]
+    better = rows.column("better").to_numpy() + (scores > own[:, None]).sum(axis=1)
+
+    width = min(rules.k, len(index))
+    limit = np.partition(scores, len(index) - width, axis=1)[:, len(index) - width]
     r, c = np.nonzero((scores >= limit[:, None]) & np.isfinite(scores))
-    value = scores[r, c]
-    order = np.lexsort((c, -value, r))  # columns are in item order
-    r, c, value = r[order], c[order], value[order]
-    first = np.searchsorted(r, np.arange(n))
-    keep = np.arange(len(r)) - first[r] < width
-    r, c, value = r[keep], c[keep], value[keep]
-    offsets = np.searchsorted(r, np.arange(n + 1)).astype(np.int32)
-    entries = pa.StructArray.from_arrays(
-        [pa.array(value, pa.float64()), pa.array(index[c].astype(np.int32))], ["score", "item_idx"]
-    )
-    top = pa.ListArray.from_arrays(pa.array(offsets), entries)
-    return _result(rows, key, own, better, top, lse)
+    value, item = scores[r, c], index[c]
+    before = rows.column("top")
+    held = before.flatten()
+    r = np.concatenate([r, np.repeat(np.arange(n), np.diff(before.offsets.to_numpy()))])
+    value = np.concatenate([value, held.field(0).to_numpy(zero_copy_only=False)])
+    item = np.concatenate([item, held.field(1).to_numpy(zero_copy_only=False)])
+    order = np.lexsort((item, -value, r))
+    r, value, item = r[order], value[order], item[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, np.arange(n))[r] < rules.k
+    r, value, item = r[keep], value[keep], item[keep]
+    entries = pa.StructArray.from_arrays([pa.array(value, pa.float64()), pa.array(item.astype(np.int32))], ["score", "item_idx"])
+    offsets = pa.array(np.searchsorted(r, np.arange(n + 1)).astype(np.int32))
+    return _with_column(rows, better=pa.array(better), top=pa.ListArray.from_arrays(offsets, entries), lse=pa.array(lse))
 
 
 def ranks_from_scores(scores: DataFrame, key: list[str], targets: DataFrame) -> DataFrame:
@@ -278,7 +308,8 @@ def predictions(
                 F.transform("top", lambda x, i: F.struct(F.lit("t").alias("part"), i.alias("n"), x["item_idx"].alias("item_idx"), x["score"].alias("score"))),
             )
         ),
-    ).join(names, "item_idx")
+    ).join(names.withColumnRenamed("item_id", "_name"), "item_idx", "left")
+    parts = parts.withColumn("item_id", F.coalesce("_name", F.raise_error(F.lit("an item has no item id")).cast("string")))
 
     def listed(part: str, *fields) -> object:
         rows = F.sort_array(F.collect_list(F.when(F.col("part") == part, F.struct("n", *fields))))
@@ -292,8 +323,9 @@ def predictions(
         ).alias("retrieved_topk"),
     )
     return (
-        records.join(lists, key)
-        .join(names.select(F.col("item_idx").alias("target"), F.col("item_id").alias("target_item_id")), "target")
+        records.join(lists, key, "left")
+        .join(names.select(F.col("item_idx").alias("target"), F.col("item_id").alias("_name")), "target", "left")
+        .withColumn("target_item_id", F.coalesce("_name", F.raise_error(F.lit("a target has no item id")).cast("string")))
         .join(groups.select(F.col("item_idx").alias("target"), "group"), "target", "left")
         .select(
             "split",
@@ -301,8 +333,8 @@ def predictions(
             F.col("target").alias("target_item_idx"),
             "target_item_id",
             F.col("rank").alias("target_rank"),
-            "history_items",
-            "retrieved_topk",
+            F.coalesce("history_items", F.array().cast("array<string>")).alias("history_items"),
+            F.coalesce("retrieved_topk", F.array().cast(lists.schema["retrieved_topk"].dataType)).alias("retrieved_topk"),
             "group",
         )
     )

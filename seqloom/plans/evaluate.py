@@ -49,7 +49,6 @@ def evaluate(
     penalty_weight: float = 0.0,
     exclude_history: bool = True,
     score: str = "dot",
-    n_queries: int | None = None,
 ) -> Evaluation:
     """Rank the catalogue for every query and measure overall and by target popularity.
 
@@ -60,9 +59,7 @@ def evaluate(
         items = items.join(popularity_penalty(frequency), "item_idx")
     k = max(int(p) for p in topk.split(","))
     ranked = materialize(
-        rank_catalogue(
-            queries, items, key, k, score, exclude_history, penalty_weight, n_queries=n_queries
-        ),
+        rank_catalogue(queries, items, key, k, score, exclude_history, penalty_weight),
         "ranked",
     )
     groups = popularity_groups(frequency, strategy)

@@ -131,8 +131,8 @@ def brute(queries, items, history, target, penalty=None, weight=0.0):
     return ranks, tops
 
 
-@pytest.mark.parametrize("bucket,block,weight", [(4096, 65536, 0.0), (7, 5, 0.0), (16, 9, 0.3)])
-def test_rank_catalogue_equals_brute_force(spark, bucket, block, weight):
+@pytest.mark.parametrize("block,weight", [(R.ITEM_BLOCK_BYTES, 0.0), (R.ITEM_BLOCK_BYTES, 0.3), (300, 0.0), (500, 0.3)])
+def test_rank_catalogue_equals_brute_force(spark, block, weight):
     rng = np.random.default_rng(8)
     items = np.round(rng.normal(size=(31, 4)), 2)
     items[7] = items[3]  # equal vectors tie
@@ -143,7 +143,7 @@ def test_rank_catalogue_equals_brute_force(spark, bucket, block, weight):
     penalty = rng.random(31)
     queries = spark.createDataFrame([(i, q[i].tolist(), target[i], history[i], [True] * 3) for i in range(40)], "id int, vec array<double>, target int, history array<int>, mask array<boolean>")
     table = spark.createDataFrame([(i, items[i].tolist(), float(penalty[i])) for i in range(31)], "item_idx int, vec array<double>, penalty double")
-    out = R.rank_catalogue(queries, table, ["id"], 4, penalty_weight=weight, temperature=0.5, query_bucket_rows=bucket, item_block_rows=block)
+    out = R.rank_catalogue(queries, table, ["id"], 4, penalty_weight=weight, temperature=0.5, block_bytes=block)
     got = sorted(out.collect(), key=lambda r: r["id"])
     ranks, tops = brute(q, items, history, target, penalty, weight)
     assert [r["rank"] for r in got] == ranks

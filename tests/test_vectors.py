@@ -139,10 +139,10 @@ def test_rotation_is_reversible(spark, cloud):
         Q.fit_rotation(frame(spark, cloud[:4]))
 
 
-@pytest.mark.parametrize("local_rows", [1000, 50, 0])
-def test_code_tree(spark, cloud, local_rows):
+@pytest.mark.parametrize("center_bytes", [Q.MAX_CENTER_BYTES, 200])
+def test_code_tree(spark, cloud, center_bytes):
     vectors = frame(spark, cloud)
-    codes, tree = Q.fit_tree(vectors, 2, 3, 5, 1, local_rows)
+    codes, tree = Q.fit_tree(vectors, 2, 3, 5, 1, center_bytes)
     got = {r["item_idx"]: tuple(r["code"]) for r in codes.collect()}
     nodes = {tuple(r["prefix"]): np.array(r["vec"]) for r in tree.nodes.collect()}
     for i, code in got.items():
@@ -158,15 +158,34 @@ def test_code_tree(spark, cloud, local_rows):
     assert len({c[0] for c in got.values()}) == 3
 
 
-def test_codes_do_not_depend_on_the_bucket_size_limit(spark):
+def plain_split(ids, x, k, iterations, seed):
+    """The same draws and steps for one bucket, in plain numpy."""
+    chosen = [int(Q._hash_unit(ids, seed).argmax())]
+    while len(chosen) < min(k, len(x)):
+        dist = Q.nearest(x, x[chosen])[1]
+        chosen.append(int(Q._far_weight(ids, dist, Q._step_seed(seed, len(chosen))).argmax()))
+    centers = x[chosen].copy()
+    for _ in range(iterations):
+        label = Q.nearest(x, centers)[0]
+        for c in set(label):
+            centers[c] = x[label == c].mean(0)
+    return Q.nearest(x, centers)[0]
+
+
+@pytest.mark.parametrize("center_bytes", [Q.MAX_CENTER_BYTES, 900])
+def test_codes_of_all_buckets_equal_those_of_each_alone(spark, center_bytes):
     rng = np.random.default_rng(6)
     few = rng.normal(size=(6, 4)) * 3
     points = np.vstack([rng.normal(size=(240, 4)), few[rng.integers(0, 6, 60)]])  # copies leave clusters empty
+    want = [()] * len(points)
+    for level in range(3):
+        groups = {c: np.array([i for i in range(len(points)) if want[i] == c]) for c in set(want)}
+        for code, ids in groups.items():
+            for i, label in zip(ids, plain_split(ids, points[ids], 5, 6, 2 + level)):
+                want[i] = (*code, int(label))
     vectors = frame(spark, points).repartition(5)
-    got = [
-        {r["item_idx"]: tuple(r["code"]) for r in Q.fit_tree(vectors, 3, 5, 6, 2, limit)[0].collect()} for limit in (1000, 40, 0)
-    ]
-    assert len(got[0]) == 300 and got[0] == got[1] == got[2]
+    got = {r["item_idx"]: tuple(r["code"]) for r in Q.fit_tree(vectors, 3, 5, 6, 2, center_bytes)[0].collect()}
+    assert got == dict(enumerate(want))
 
 
 def test_few_rows_make_few_clusters(spark):
