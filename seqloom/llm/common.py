@@ -8,8 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SLICE_BYTES = 2 << 20
+from seqloom.session import materialize
+
+SLICE_BYTES = 512 << 10
 _MOST_HOT = 50_000
+_SENT_ROWS = 250_000
+_ROW_WISE = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +30,35 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, longer where a column is called so already."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_keys(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two numbers that tell every row from all others, and these columns' names.
+
+    They are a row's file and its place there, which no retry and no lost executor changes. What is
+    not a plain scan of files is written first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in _ROW_WISE and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation":
+        docs = materialize(docs, "rows")
+    names = [fresh(docs.columns, name) for name in ("_file", "_index")]
+    place = docs.metadataColumn("_metadata")
+    return docs.select("*", F.xxhash64(place["file_path"]).alias(names[0]), place["row_index"].alias(names[1])), names
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """A written table of keys to be joined: sent to all tasks while its rows are few, else shuffled."""
+    return F.broadcast(keys) if keys.limit(_SENT_ROWS + 1).count() <= _SENT_ROWS else keys
+
+
 def utf8_slices(
     column: pa.Array, most: int = SLICE_BYTES
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -10,8 +10,12 @@ band of their signatures are candidates:
    on their full sets of shingles, and verified links give components.
 3. In buckets that still hold several components, all pairs across components are compared, in
    blocks of bounded size, on their signatures; survivors are verified too. Pairs inside a
-   component need no look: they cannot change it. So no candidate link is lost, and a large group
-   of near copies costs a few rows a member.
+   component need no look: they cannot change it. So no candidate link is lost.
+
+Pairs never travel as rows. Survivors are packed by groups: a center with a bounded number of its
+partners, or two tiles of classes that are close to each other. A group's task gets every class in
+it once, leaves out pairs that links found before connect already, and returns the links of a
+spanning forest. So a large group of near copies costs a few rows a member.
 """
 
 from __future__ import annotations
@@ -24,13 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seqloom.llm.common import text_of, utf8_slices
+from seqloom.llm.common import bounded, spread_join, text_of, utf8_slices, with_row_keys
 from seqloom.llm.components import components
 from seqloom.llm.words import find_words, mix, shingle_hashes
 from seqloom.session import materialize, materialize_with
 
 _BLOCK = 512
 _BATCH = 16
+_PARTNERS = 64  # of a center, in one group
+_TILE_SHINGLES = 100_000
+_GROUPED = "ga bigint, gb bigint, nodes array<bigint>, pairs binary"
 
 
 @dataclass(frozen=True)
@@ -83,7 +90,7 @@ def signatures(hashes: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
 def _sketcher(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in utf8_slices(batch.column(1), 1 << 20):
+            for lo, hi, buf, offsets in utf8_slices(batch.column(1)):
                 words = find_words(buf, offsets)
                 hashes, where = shingle_hashes(words, settings.shingle)
                 text = np.repeat(np.arange(hi - lo), np.diff(where))
@@ -98,12 +105,12 @@ def _sketcher(settings: Settings):
                 marks = [class_mark(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo),
+                        *(batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3)),
                         pa.array(marks, pa.binary()),
                         pa.array(counts.astype(np.int64)),
                         pa.array([s.tobytes() if c else None for s, c in zip(sigs, counts)], pa.binary()),
                     ],
-                    names=["doc_id", "mark", "n_shingles", "sig"],
+                    names=["doc_id", "file", "place", "mark", "n_shingles", "sig"],
                 )
 
     return run
@@ -122,38 +129,82 @@ def shingle_set(text: bytes, size: int) -> frozenset:
     return frozenset(zip(*(words[j:] for j in range(size))))
 
 
-def _verifier(settings: Settings, enough: np.ndarray):
-    """a, b, sig_a, sig_b, text_a, text_b -> the linked pairs."""
-
-    def linked(batch: pa.RecordBatch) -> np.ndarray:
-        keep = surviving(_matrix(batch.column(2), settings), _matrix(batch.column(3), settings), enough)
-        sets: dict[int, frozenset] = {}
-        ids = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
-        for i in np.flatnonzero(keep):
-            pair = []
-            for side in (0, 1):
-                key = int(ids[side][i])
-                if key not in sets:
-                    if len(sets) > 64:
-                        sets.clear()
-                    sets[key] = shingle_set(batch.column(4 + side)[int(i)].as_py().encode(), settings.shingle)
-                pair.append(sets[key])
-            common = len(pair[0] & pair[1])
-            keep[i] = 100 * common >= settings.percent * (len(pair[0]) + len(pair[1]) - common)
-        return keep
+def _packed(ga: np.ndarray, gb: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """One row per group (ga, gb): its distinct nodes and its pairs."""
+    order = np.lexsort((b, a, gb, ga))
+    ga, gb, a, b = ga[order], gb[order], a[order], b[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (ga[1:] != ga[:-1]) | (gb[1:] != gb[:-1])])) if len(ga) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(ga))
+    pairs = [np.stack([a[x:y], b[x:y]], 1).astype("<i8") for x, y in zip(cuts, ends)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(ga[cuts], pa.int64()),
+            pa.array(gb[cuts], pa.int64()),
+            pa.array([np.unique(p).tolist() for p in pairs], pa.list_(pa.int64())),
+            pa.array([p.tobytes() for p in pairs], pa.binary()),
+        ],
+        names=["ga", "gb", "nodes", "pairs"],
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                keep = pa.array(linked(part))
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["u", "v"])
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ga, gb, a, b -> groups."""
+    for batch in batches:
+        yield _packed(*(batch.column(i).to_numpy() for i in range(4)))
+
+
+def _group_verifier(settings: Settings, enough: np.ndarray):
+    """Members (node, root, sig, text) and packed pairs of one group -> links of a spanning forest."""
+
+    def run(group: pa.Table) -> pa.Table:
+        members = group.filter(group["node"].is_valid()).sort_by("node")
+        nodes = members["node"].to_numpy()
+        packed = group.filter(group["pairs"].is_valid())["pairs"].to_pylist()
+        pairs = np.unique(np.frombuffer(b"".join(packed), "<i8").reshape(-1, 2), axis=0)
+        i, j = np.searchsorted(nodes, pairs[:, 0]), np.searchsorted(nodes, pairs[:, 1])
+        sig = _matrix(members["sig"], settings)
+        texts = members["text"].to_pylist()
+        parent = {r: r for r in members["root"].to_pylist()}
+        root = members["root"].to_pylist()
+        sets: dict[int, np.ndarray] = {}
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def hashes(k: int) -> np.ndarray:
+            if k not in sets:
+                raw = np.frombuffer(texts[k].encode(), np.uint8)
+                sets[k] = np.unique(shingle_hashes(find_words(raw, np.array([0, len(raw)])), settings.shingle)[0])
+            return sets[k]
+
+        def reaches(common: int, x: int, y: int) -> bool:
+            return 100 * common >= settings.percent * (x + y - common)
+
+        links = []
+        for at in range(0, len(i), 65_536):
+            own = slice(at, at + 65_536)
+            alive = np.flatnonzero(surviving(sig[i[own]], sig[j[own]], enough)) + at
+            for a, b in zip(i[alive].tolist(), j[alive].tolist()):
+                p, q = top(root[a]), top(root[b])
+                if p == q:
+                    continue
+                x, y = hashes(a), hashes(b)
+                if not reaches(len(np.intersect1d(x, y, True)), len(x), len(y)):  # equal shingles have equal hashes
+                    continue
+                u, v = (shingle_set(texts[k].encode(), settings.shingle) for k in (a, b))
+                if reaches(len(u & v), len(u), len(v)):
+                    parent[max(p, q)] = min(p, q)
+                    links.append((int(nodes[a]), int(nodes[b])))
+        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
 
 def _matrix(column: pa.Array, settings: Settings) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), settings.values)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, settings.values)
 
 
 def surviving(a: np.ndarray, b: np.ndarray, enough: np.ndarray) -> np.ndarray:
@@ -181,35 +232,31 @@ def _bucket_rows(classes: DataFrame, settings: Settings) -> DataFrame:
     return classes.filter("sig is not null").select(bands.alias("band", "key"), "node")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: Settings, enough: np.ndarray) -> DataFrame:
-    """The linked ones of candidate pairs of nodes a < b."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = classes.join(ends, "node", "left_semi").select("node", "mark", "rep", "sig")
-
-    def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """An id that several texts share brings all of them; the one of the class stays."""
-        for batch in batches:
-            texts = batch.column(3).to_pylist()
-            right = [class_mark(t.encode()) == m for t, m in zip(texts, batch.column(1).to_pylist())]
-            yield batch.filter(pa.array(right, pa.bool_())).select(["node", "sig", "text"])
-
-    found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "mark", "sig", "text")
-    texts = found.mapInArrow(own_text, "node bigint, sig binary, text string").dropDuplicates(["node"])
-    texts = materialize(texts, "candidate-texts")
-    side = lambda name: texts.select(F.col("node").alias(name), F.col("sig").alias(f"sig_{name}"), F.col("text").alias(f"text_{name}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sig_a", "sig_b", "text_a", "text_b")
-    return both.mapInArrow(_verifier(settings, enough), "u bigint, v bigint")
+def _verified(groups: DataFrame, classes: DataFrame, rooted: DataFrame, rows: DataFrame, settings: Settings, enough: np.ndarray) -> DataFrame:
+    """Links u, v (written) of a spanning forest of the packed pairs' links; ``rooted`` has node, root."""
+    members = groups.select("ga", "gb", F.explode("nodes").alias("node")).distinct()
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep.file", "rep.place", "sig")
+    wanted = materialize(wanted.join(rooted, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "file", "place", "sig"), "wanted")
+    # Only the texts in question move, unless there are too many of them to send their places.
+    texts = rows.join(bounded(wanted.select("file", "place")), ["file", "place"], "left_semi").join(wanted, ["file", "place"])
+    texts = materialize(texts.select("node", "root", "sig", "text"), "candidate-texts")
+    nothing = F.lit(None).cast("binary").alias("pairs")
+    both = members.join(texts, "node").select("ga", "gb", "node", "root", "sig", "text", nothing)
+    both = both.unionByName(groups.select("ga", "gb", "pairs"), True)
+    verified = both.groupBy("ga", "gb").applyInArrow(_group_verifier(settings, enough), "u bigint, v bigint")
+    return materialize(verified, "links")
 
 
 def _cross_pairs(settings: Settings, enough: np.ndarray):
-    """Sorted rows key, lo, hi, block, band, node, root, n_shingles, sig -> surviving pairs across
-    components; of the buckets that two nodes share, the first band's one reports them."""
+    """Sorted rows key, lo, hi, block, band, node, root, tile, n_shingles, sig -> the surviving pairs
+    across components, packed by their tiles; of the buckets that two nodes share, the first band's
+    one reports them."""
 
-    def compare(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
         lo, hi = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
         band = rows.column(4)[0].as_py()
-        block, node, root, n = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 5, 6, 7))
-        sig = _matrix(rows.column(8), settings)
+        block, node, root, tile, n = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 5, 6, 7, 8))
+        sig = _matrix(rows.column(9), settings)
         left = np.flatnonzero(block == lo)
         right = left if lo == hi else np.flatnonzero(block == hi)
         found = []
@@ -221,17 +268,14 @@ def _cross_pairs(settings: Settings, enough: np.ndarray):
                 other = other[surviving(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], enough)]
                 earlier = (sig[other, : band * settings.rows] == sig[i, : band * settings.rows]).reshape(len(other), band, settings.rows)
                 other = other[~earlier.all(2).any(1)]
-                found.append(np.stack([np.full(len(other), node[i]), node[other]]))
-        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        return pairs.min(0), pairs.max(0)
+                found.append(np.stack([np.full(len(other), i), other]))
+        i, j = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        ends, tiles = np.stack([node[i], node[j]]), np.stack([tile[i], tile[j]])
+        return _packed(tiles.min(0), tiles.max(0), ends.min(0), ends.max(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def emit(rows: pa.RecordBatch):
-            a, b = compare(rows)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
         def whole(parts):
             return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
@@ -243,31 +287,40 @@ def _cross_pairs(settings: Settings, enough: np.ndarray):
             for at, end in zip(cuts, cuts[1:]):
                 part = batch.slice(at, end - at)
                 if held and any(held[0].column(i)[0] != part.column(i)[0] for i in (0, 1, 2)):
-                    yield emit(whole(held))
+                    yield compare(whole(held))
                     held = []
                 held.append(part)
         if held:
-            yield emit(whole(held))
+            yield compare(whole(held))
 
     return run
 
 
-def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept.
+def near_duplicates(
+    docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", row: list[str] | None = None
+) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept, and the columns ``row``.
 
     Words are runs of other than white space, A-Z count as a-z. A text without words (or null) has
     no shingles and is linked with nothing. component_id is the smallest id that links reach, rows
-    with the same words being linked; ``kept`` marks the row with that id. Rows without an id count
-    where another member has one; a component of unknown ids has the component_id null.
+    with the same words being linked; ``kept`` marks the rows with that id. Rows without an id count
+    where another member has one; a component of unknown ids has the component_id null. With ``row``,
+    two columns of numbers that tell rows apart, one row of a component is kept, repeated ids or not.
     """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
+    if row is None:
+        docs, names = with_row_keys(docs)
+    else:
+        names = row
+    keys = [F.col(c).cast("bigint").alias(own) for c, own in zip(names, ("file", "place"))]
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"), *keys)
     enough = least_matches(settings)
-    schema = "doc_id bigint, mark binary, n_shingles bigint, sig binary"
+    schema = "doc_id bigint, file bigint, place bigint, mark binary, n_shingles bigint, sig binary"
     sketched = materialize(rows.mapInArrow(_sketcher(settings), schema), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "file", "place")).alias("rep")
     grouped = sketched.filter("n_shingles > 0").groupBy("mark").agg(
-        F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig")
+        first, F.count(F.lit(1)).alias("size"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig")
     )
-    classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes, seen = materialize_with(grouped.withColumn("node", F.monotonically_increasing_id()), "classes", {"rows": F.sum("size")})
 
     buckets = _bucket_rows(classes, settings)
     shared = buckets.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -278,45 +331,55 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
         """band, key, node, n, root of the members of buckets with several components."""
         placed = members.join(rooted, "node", "left").select("band", "key", "node", "n", root_of.alias("root"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-        return placed.join(mixed.select("key"), "key", "left_semi")
+        return placed.join(mixed, "key")
 
-    def linked(pairs: DataFrame, rooted: DataFrame | None) -> DataFrame:
-        edges = materialize(_verified(pairs, classes, rows, settings, enough), "links")
-        if rooted is not None:
-            edges = edges.unionByName(rooted.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        return components(edges)
+    def linked(groups: DataFrame, rooted: DataFrame) -> DataFrame:
+        edges = _verified(groups, classes, rooted, rows, settings, enough)
+        known = rooted.filter("root != node").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        return components(edges.unionByName(known))
 
-    stars = members.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    stars = materialize(stars, "star-pairs")
-    rooted = linked(stars, None)
+    def around(pairs: DataFrame) -> DataFrame:
+        """Pairs of a center a with b, and the size n of a bucket of both, in groups of bounded size."""
+        each = pairs.groupBy("a", "b").agg(F.max("n").alias("n"))
+        part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / F.lit(_PARTNERS))).alias("gb")
+        dealt = each.select(F.col("a").alias("ga"), part, F.col("a"), F.col("b")).repartition("ga", "gb")
+        return materialize(dealt.mapInArrow(_pack, _GROUPED), "star-groups")
+
+    nothing = classes.select("node", F.col("node").alias("root")).limit(0)
+    rooted = linked(around(members.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"), "n")), nothing)
 
     centers = several(rooted).groupBy("key").agg(
         F.min_by(F.struct(F.col("node").alias("center"), F.col("root").alias("its")), F.xxhash64("node", "key")).alias("c")
     )
     apart = several(rooted).join(centers.select("key", "c.*"), "key").filter("root != its")
-    again = apart.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-    again = materialize(again.join(stars, ["a", "b"], "left_anti"), "center-pairs")
-    rooted = linked(again, rooted)
+    rooted = linked(around(apart.select(F.col("center").alias("a"), F.col("node").alias("b"), "n")), rooted)
 
     # In a bucket of two, both were compared as the star already.
-    mixed = several(rooted).filter("n > 2")
+    mixed = materialize(several(rooted).filter("n > 2").join(classes.select("node", "n_shingles"), "node"), "mixed-buckets")
+    # Classes near each other share their label mostly; a tile is a bounded part of a label's classes.
+    labelled = mixed.groupBy("node").agg(F.min("low").alias("label"), F.max("n_shingles").alias("n_shingles"))
+    tiles = labelled.groupBy("label").agg(F.ceil(F.sum("n_shingles") / F.lit(_TILE_SHINGLES)).alias("tiles"))
+    tile = F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("tiles"))).alias("tile")
+    tiled = labelled.join(tiles, "label").select("node", tile)
     n_blocks = F.ceil(F.col("n") / F.lit(_BLOCK)).cast("int")
     dealt = mixed.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.join(classes.select("node", "n_shingles", "sig"), "node").select(
-        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "band", "node", "root", "n_shingles", "sig"
+    dealt = dealt.join(tiled, "node").join(classes.select("node", "sig"), "node").select(
+        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "band", "node", "root", "tile", "n_shingles", "sig"
     )
     dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    more, seen = materialize_with(
-        dealt.mapInArrow(_cross_pairs(settings, enough), "a bigint, b bigint").distinct(), "cross-pairs", {"n": F.count(F.lit(1))}
-    )
-    if seen["n"]:
-        untried = more.join(stars.unionByName(again), ["a", "b"], "left_anti")
-        rooted = linked(untried, rooted)
-
-    named = classes.join(rooted, "node", "left").select("mark", "rep", root_of.alias("root"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = named.join(smallest, "root").select("mark", "component_id")
-    linked = sketched.filter("n_shingles > 0").join(ids, "mark").select("doc_id", "n_shingles", "component_id")
-    alone = sketched.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    more, found = materialize_with(dealt.mapInArrow(_cross_pairs(settings, enough), _GROUPED), "cross-groups", {"n": F.count(F.lit(1))})
+    if found["n"]:
+        rooted = linked(more, rooted)
+
+    named = classes.join(rooted, "node", "left").select("mark", "size", "rep", root_of.alias("root"))
+    smallest = named.groupBy("root").agg(F.min("rep").alias("best"))
+    ids = materialize(named.join(smallest, "root").select("mark", "size", "best"), "component-ids")
+    told = spread_join(sketched.filter("n_shingles > 0").drop("sig"), ids, ["mark"], "size", seen["rows"] or 0, "place")
+    mine = F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
+    if row is not None:
+        mine = mine & (F.col("file") == F.col("best.file")) & (F.col("place") == F.col("best.place"))
+    own = [F.col(x).alias(c) for x, c in zip(("file", "place"), row or [])]
+    linked_rows = told.select("doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"), mine.alias("kept"), *own)
+    alone = sketched.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), *own)
+    return linked_rows.unionByName(alone)
