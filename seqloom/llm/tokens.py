@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, with a bounded cache of encoded pieces.
 
 Both kinds of file used here split a text at its spaces before anything else, so a text's ids
-are the ids of its space-separated pieces one after another (tested against whole texts). A piece
+are the ids of its space-separated pieces one after another (tested against whole texts). Texts that
+hold a special token's literal go whole through the library, which gives it its id. A piece
 of Latin-1 letters, with or without closing marks, is one or two units of the file's own splitting
 pattern and goes straight to the library's merge model; any other piece through its whole encoder.
 """
@@ -73,7 +74,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._special = [token.content for token in added]  # the library looks for these before all else
         self._byte_level = byte_level
         self._units = _Cache(self._encode_unit)
         self._first = _Cache(lambda piece: self._encode_piece("", piece))
@@ -101,6 +103,8 @@ class PieceEncoder:
         """All ids of ``text`` as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if any(token in text for token in self._special):
+            return _packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
         if not self._byte_level:
             return b"".join(map(self._first.__getitem__, text.split(" ")))
         if _TOUCHING.search(text):
