@@ -28,7 +28,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seqloom.llm.common import text_of
+from seqloom.llm.common import bounded, fresh, text_of, with_row_keys
 from seqloom.session import materialize
 
 RADIUS = 7
@@ -249,7 +249,11 @@ def leaks(
         F.collect_list(F.struct("item_no", "first", (F.col("first") - margin).alias("begin"), (F.col("length") + 2 * margin).alias("n"), F.least(F.lit(shingle), F.col("length")).alias("size"))).alias("_found")
     )
     by_doc = by_doc.withColumnRenamed("doc_id", "_id")
-    suspects = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("_text")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")))
+    by_doc = materialize(by_doc, "suspects")
+    # Only the suspects' texts move, unless there are too many of them to send their ids.
+    ids = bounded(by_doc.select(F.col("_id").alias("_suspect")))
+    whole = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("_text")).join(ids, F.col("doc_id").eqNullSafe(F.col("_suspect")), "left_semi")
+    suspects = whole.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")))
     # Exploding between the two steps keeps the words of a text from being found once per place.
     placed = suspects.select("doc_id", words_of(F.col("_text")).alias("words"), F.explode("_found").alias("f"))
     begin = F.greatest(F.col("f.begin"), F.lit(0))
@@ -276,7 +280,12 @@ def leaks(
     )
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose text leaks no item, with all their columns."""
-    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, docs[options.get("doc_id", "doc_id")].eqNullSafe(found["_leaked"]), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose own text leaks no item, with all their columns; ids do not matter."""
+    keyed, names = with_row_keys(docs)
+    columns = [c for c in keyed.columns if c not in names]
+    key = fresh(keyed.columns, "_key")
+    keyed = keyed.withColumn(key, F.struct(*names))
+    found = leaks(keyed, benchmark, key, text, **options).select(F.col("doc_id").alias("_leaked")).distinct()
+    dropped = bounded(materialize(found, "leaking-rows"))
+    return keyed.join(dropped, keyed[key] == dropped["_leaked"], "left_anti").select(*[F.col(f"`{c}`") for c in columns])

@@ -2,9 +2,11 @@
 
 A text is cut where a rolling hash of its last bytes has a run of zero bits, so equal texts have
 equal chunks. A chunk is known by its 128-bit hash. Chunks whose hash occurs more than once are
-compared byte for byte, each distinct chunk moving once per task: should different chunks share a
-hash, they are numbered apart. A document's recipe is the ordered list of its verified chunk
-identifiers, and documents are equal when their recipes are. Long texts never travel as rows.
+compared byte for byte: should different chunks share a hash, they are numbered apart. While the
+repeated hashes are few they are sent to the tasks, and of the chunks only the repeated ones move, each
+distinct one once per task; with more of them the other chunks are dropped after the exchange. A
+document's recipe is the ordered list of its verified chunk identifiers, and documents are equal when
+their recipes are. Long texts never travel as rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from seqloom.llm.common import text_of, utf8_slices
+from seqloom.llm.common import bounded, spread_join, text_of, utf8_slices
 from seqloom.session import materialize
 
 _WINDOW = 32
@@ -47,7 +49,7 @@ def chunk_ends(buf: np.ndarray, offsets: np.ndarray, least: int, mean: int, most
 
 
 def _chunker(with_bytes: bool, sizes: tuple[int, int, int], hash_bytes: int):
-    """Rows of texts -> recipes, or -> the chunks themselves."""
+    """Rows of texts -> recipes beside the columns after the text, or -> the chunks themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,9 +71,10 @@ def _chunker(with_bytes: bool, sizes: tuple[int, int, int], hash_bytes: int):
                         [pa.array(hashes, pa.binary()), pa.array(chunks, pa.binary())], names=["chunk", "bytes"]
                     )
                 else:
+                    kept = [0, *range(2, batch.num_columns)]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(lo, hi - lo), pa.array(marks), pa.array(recipes, pa.binary())],
-                        names=["doc_id", "text_sha256", "recipe"],
+                        [*(batch.column(i).slice(lo, hi - lo) for i in kept), pa.array(marks), pa.array(recipes, pa.binary())],
+                        names=[*(batch.schema.names[i] for i in kept), "text_sha256", "recipe"],
                     )
 
     return run
@@ -83,41 +86,46 @@ def recipes(
     text: str = "text",
     sizes: tuple[int, int, int] = (1024, 2048, 8192),
     hash_bytes: int = 16,
+    row: list[str] | None = None,
 ) -> DataFrame:
-    """doc_id, text_sha256 and recipe (the verified identifiers, one after another) of every row.
+    """doc_id, the columns ``row``, text_sha256 and recipe (the verified identifiers, one after another).
 
     ``sizes``: least, mean and greatest chunk length in bytes, the least being 32 or more.
     ``hash_bytes``: how much of a chunk's hash is used (less is for tests of collisions).
     """
     if sizes[0] < _WINDOW:
         raise ValueError(f"chunks must have {_WINDOW} bytes at least")
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
+    named = [F.col(c).alias(f"row_{i}") for i, c in enumerate(row or [])]
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"), *named)
+    types = "".join(f"row_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(row or []))
     table = materialize(
-        rows.mapInArrow(_chunker(False, sizes, hash_bytes), "doc_id bigint, text_sha256 string, recipe binary"), "recipes"
+        rows.mapInArrow(_chunker(False, sizes, hash_bytes), f"doc_id bigint, {types}text_sha256 string, recipe binary"), "recipes"
     )
+    rows = rows.select("doc_id", "text")
     places = F.explode(F.expr(f"sequence(1, cast(length(recipe) as int), {hash_bytes})")).alias("place")
     listed = table.filter("length(recipe) > 0").select("recipe", places)
     occurring = listed.select(F.expr(f"substring(recipe, place, {hash_bytes})").alias("chunk")).groupBy("chunk").count()
-    repeated = occurring.filter("count > 1").select("chunk")
+    repeated = bounded(materialize(occurring.filter("count > 1").select("chunk"), "repeated-chunks"))
     chunks = rows.mapInArrow(_chunker(True, sizes, hash_bytes), "chunk binary, bytes binary")
     distinct = chunks.join(repeated, "chunk", "left_semi").distinct()
     clashing = distinct.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("chunk")
     clashing = materialize(clashing, "clashing")
     if clashing.isEmpty():
         return table
-    return _numbered_apart(table, rows, clashing, sizes, hash_bytes)
+    return _numbered_apart(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"), *named), types, clashing, sizes, hash_bytes)
 
 
 def _joined(chunks: str):
     return F.coalesce(F.aggregate(chunks, F.lit("").cast("binary"), lambda a, c: F.concat(a, c)), F.lit("").cast("binary"))
 
 
-def _numbered_apart(table: DataFrame, rows: DataFrame, clashing: DataFrame, sizes, hash_bytes: int) -> DataFrame:
+def _numbered_apart(rows: DataFrame, types: str, clashing: DataFrame, sizes, hash_bytes: int) -> DataFrame:
     """Recipes where some hash stands for several chunks: these chunks add a second, longer hash
     of their bytes, and a document with one of them carries it in its recipe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            others = [i for i in range(batch.num_columns) if i != 1]
             for lo, hi, buf, offsets in utf8_slices(batch.column(1)):
                 buf = _LOWER[buf]
                 whole = buf.tobytes()
@@ -132,31 +140,40 @@ def _numbered_apart(table: DataFrame, rows: DataFrame, clashing: DataFrame, size
                         places.append(k)
                         hashes.append(xxhash.xxh3_128_digest(chunk)[:hash_bytes] if len(ends) else b"")
                         seconds.append(hashlib.sha256(chunk).digest() if len(ends) else b"")
-                keys = batch.column(0).take(pa.array(ids, pa.int64()))
-                rows_of = batch.column(2).take(pa.array(ids, pa.int64()))
+                found = [batch.column(i).take(pa.array(ids, pa.int64())) for i in others]
                 yield pa.RecordBatch.from_arrays(
-                    [keys, rows_of, pa.array(marks), pa.array(places, pa.int32()), pa.array(hashes, pa.binary()), pa.array(seconds, pa.binary())],
-                    names=["doc_id", "row", "text_sha256", "place", "chunk", "second"],
+                    [*found, pa.array(marks), pa.array(places, pa.int32()), pa.array(hashes, pa.binary()), pa.array(seconds, pa.binary())],
+                    names=[*(batch.schema.names[i] for i in others), "text_sha256", "place", "chunk", "second"],
                 )
 
-    schema = "doc_id bigint, row bigint, text_sha256 string, place int, chunk binary, second binary"
-    parts = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema)
+    own = ["doc_id", *(part.split()[0] for part in types.split(", ") if part)]
+    schema = f"doc_id bigint, {types}number bigint, text_sha256 string, place int, chunk binary, second binary"
+    parts = rows.withColumn("number", F.monotonically_increasing_id()).mapInArrow(run, schema)
     marked = parts.join(clashing.withColumn("clash", F.lit(True)), "chunk", "left")
     told = F.when(F.col("clash"), F.concat("chunk", "second")).otherwise(F.col("chunk"))
-    listed = marked.groupBy("row", "doc_id", "text_sha256").agg(
+    listed = marked.groupBy("number", *own, "text_sha256").agg(
         F.sort_array(F.collect_list(F.struct("place", told.alias("chunk")))).alias("parts")
     )
-    return listed.select("doc_id", "text_sha256", _joined(F.transform("parts", lambda p: p["chunk"])).alias("recipe"))
+    return materialize(listed.select(*own, "text_sha256", _joined(F.transform("parts", lambda p: p["chunk"])).alias("recipe")), "recipes")
 
 
-def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: list[str] | None = None, **options) -> DataFrame:
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256, and the columns ``row``.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The largest id of
-    a group stays (an unknown id only where all are unknown); rows that share it all count as kept.
+    a group stays (an unknown id only where all are unknown). Rows that share this id all count as
+    kept, unless ``row`` names columns that tell rows apart: then one row of a group is kept, the one
+    with the largest values there.
     """
-    table = recipes(docs, doc_id, text, **options)
-    groups = table.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return table.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    table = recipes(docs, doc_id, text, row=row, **options)
+    own = [f"row_{i}" for i in range(len(row or []))]
+    kept = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", *own)).alias("keep")
+    groups = materialize(table.groupBy("recipe").agg(kept, F.count(F.lit(1)).alias("group_size")), "equal-texts")
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    joined = spread_join(table, groups, ["recipe"], "group_size", total, own[-1] if own else "doc_id")
+    same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))
+    for name in own:
+        same = same & F.col(name).eqNullSafe(F.col(f"keep.{name}"))
+    return joined.select(
+        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", same.alias("kept"), "text_sha256", *[F.col(f"row_{i}").alias(c) for i, c in enumerate(row or [])]
     )

@@ -164,17 +164,24 @@ def _train(kept, places, label, bias, rank, epochs, rate, decay, seed) -> Factor
     return FactorizationMachine(kept, float(bias), theta[:, 0].copy(), theta[:, 1:].copy())
 
 
-def score(docs: DataFrame, model: FactorizationMachine, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` of every row, and ``score`` of its whole text (0 to 1)."""
-    kept = docs.select(*[F.col(c) for c in keep], text_of(text).alias("_text"))
-    schema = kept.drop("_text").withColumn("score", F.lit(0.0)).schema
+def score(docs: DataFrame, model: FactorizationMachine, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """The columns ``keep`` of every row, and as ``name`` the score of its whole text (0 to 1).
+
+    Null and empty texts have the score of a text without terms; rows are scored one by one, whatever
+    their ids. ``name`` must not be one of ``keep``.
+    """
+    if name in keep:
+        raise ValueError(f"the result would have two columns {name!r}")
+    own = [f"column_{i}" for i in range(len(keep))]
+    kept = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(keep, own)], text_of(text).alias("whole_text"))
+    schema = kept.drop("whole_text").withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in utf8_slices(batch.column(len(keep))):
+            for lo, hi, buf, offsets in utf8_slices(batch.column(len(own))):
                 rows, buckets = _term_pairs(buf, offsets, model.terms)
                 p = model.score(rows, np.searchsorted(model.terms, buckets), hi - lo)
-                columns = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(p)], names=[*keep, "score"])
+                columns = [batch.column(i).slice(lo, hi - lo) for i in range(len(own))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(p)], names=[*own, "score"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).select(*[F.col(o).alias(c) for c, o in zip(keep, own)], F.col("score").alias(name))
