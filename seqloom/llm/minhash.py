@@ -153,6 +153,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _packed(*(batch.column(i).to_numpy() for i in range(4)))
 
 
+def _merged(group: pa.Table) -> pa.Table:
+    """Rows of one group as one."""
+    pairs = np.unique(np.frombuffer(b"".join(group["pairs"].to_pylist()), "<i8").reshape(-1, 2), axis=0)
+    whole = [np.full(len(pairs), group[c][0].as_py(), np.int64) for c in ("ga", "gb")]
+    return pa.Table.from_batches([_packed(*whole, pairs[:, 0], pairs[:, 1])])
+
+
 def _group_verifier(settings: Settings, enough: np.ndarray):
     """Members (node, root, sig, text) and packed pairs of one group -> links of a spanning forest."""
 
@@ -370,7 +377,8 @@ def near_duplicates(
     dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     more, found = materialize_with(dealt.mapInArrow(_cross_pairs(settings, enough), _GROUPED), "cross-groups", {"n": F.count(F.lit(1))})
     if found["n"]:
-        rooted = linked(more, rooted)
+        whole = more.select("ga", "gb", "pairs").groupBy("ga", "gb").applyInArrow(_merged, _GROUPED)
+        rooted = linked(materialize(whole, "tile-groups"), rooted)
 
     named = classes.join(rooted, "node", "left").select("mark", "size", "rep", root_of.alias("root"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("best"))
