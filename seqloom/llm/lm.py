@@ -6,16 +6,16 @@
    answered to each batch; so no vocabulary is ever held whole.
 3. Word pairs of the training texts meet by hash range too. Each range's pairs fill one slice of a
    Bloom filter: a pair with count c is entered once for each level up to 1 + log2(c).
-4. The filter, in parts of at most ``part_bytes``, is broadcast, and every token's pair is probed
-   level by level. The probability mixes the recovered count with the word's own share
-   (Dirichlet smoothing); its logarithm is a sum of a word term and a pair term, so several parts
-   of a filter add up over several passes.
+4. Every token's pair is probed level by level. A filter that surely has ``part_bytes`` at most is
+   broadcast. Beyond, its slices stay where they were filled: each batch sends its distinct pairs to
+   them by range, once, and gets the levels back, so the work stays in proportion to the texts. Both
+   ways probe the same bits. The probability mixes the recovered count with the word's own share
+   (Dirichlet smoothing).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -164,6 +164,53 @@ def word_counts(batches: DataFrame, bits: int) -> DataFrame:
     return materialize(asked.groupBy("range").applyInPandas(answer, "batch bigint, range int, answer binary"), "word-counts")
 
 
+def _filled(group: pd.DataFrame) -> tuple[int, bytes]:
+    """Bits and bytes of the filter slice of one range's pairs; pairs that count 0 are not entered."""
+    keys = np.concatenate([_unpack(k) for k in group["keys"]])
+    order = np.argsort(keys)
+    counts = np.concatenate([_count(c) for c in group["counts"]])[order]
+    keys = keys[order]
+    del order
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    keys, counts = keys[first], np.add.reduceat(counts, first)
+    keys, counts = keys[counts > 0], counts[counts > 0]
+    if len(keys) == 0:
+        return 0, b""
+    levels = 1 + np.floor(np.log2(counts)).astype(np.int64)
+    n_bits = -(-int(levels.sum()) * _BITS_PER_ENTRY // 64) * 64
+    bits_set = np.zeros(n_bits, bool)
+    for level in range(1, int(levels.max()) + 1):
+        own = keys[levels >= level]
+        for probe in range(_PROBES):
+            bits_set[_place(own, level, probe, n_bits)] = True
+    return n_bits, np.packbits(bits_set, bitorder="little").tobytes()
+
+
+def pair_levels(batches: DataFrame, bits: int) -> DataFrame:
+    """batch, range, answer: the levels that the slices tell for a batch's distinct pairs of a range of
+    keys, in order (written)."""
+
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for row in _one_by_one(batch):
+                lengths = np.array(row["lengths"], np.int64)
+                keys = _pair_keys(_unpack(row["hashes"]), _tokens(row), lengths) >> _KEY_SHIFT << _KEY_SHIFT
+                found, where = np.unique(keys, return_inverse=True)
+                counts = np.bincount(where[np.repeat(np.array(row["training"], bool), lengths)], minlength=len(found))
+                yield _emit(found, counts.astype(np.uint64), bits, row["batch"])
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        r = int(group["range"].iloc[0])
+        n_bits, data = _filled(group)
+        slice_ = PairFilter([(r, n_bits)], data, bits)
+        answers = [zstandard.compress(slice_.levels(_unpack(k)).astype(np.uint8).tobytes(), 1) for k in group["keys"]]
+        return pd.DataFrame({"batch": group["batch"], "range": r, "answer": answers})
+
+    columns = batches.select("batch", "training", "lengths", "hashes", "tokens")
+    asked = columns.mapInArrow(ask, _PARTS).groupBy("range")
+    return materialize(asked.applyInPandas(answer, "batch bigint, range int, answer binary"), "pair-levels")
+
+
 def pair_slices(batches: DataFrame, bits: int) -> DataFrame:
     """range, n_bits, filter: one Bloom filter slice per range of pair keys (written)."""
 
@@ -178,21 +225,8 @@ def pair_slices(batches: DataFrame, bits: int) -> DataFrame:
                     yield _emit(found, counts.astype(np.uint64), bits, row["batch"])
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([_unpack(k) for k in group["keys"]])
-        order = np.argsort(keys)
-        counts = np.concatenate([_count(c) for c in group["counts"]])[order]
-        keys = keys[order]
-        del order
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, counts = keys[first], np.add.reduceat(counts, first)
-        levels = 1 + np.floor(np.log2(counts)).astype(np.int64)
-        n_bits = -(-int(levels.sum()) * _BITS_PER_ENTRY // 64) * 64
-        bits_set = np.zeros(n_bits, bool)
-        for level in range(1, int(levels.max()) + 1):
-            own = keys[levels >= level]
-            for probe in range(_PROBES):
-                bits_set[_place(own, level, probe, n_bits)] = True
-        return pd.DataFrame({"range": [group["range"].iloc[0]], "n_bits": [n_bits], "filter": [np.packbits(bits_set, bitorder="little").tobytes()]})
+        n_bits, data = _filled(group)
+        return pd.DataFrame({"range": [group["range"].iloc[0]], "n_bits": [n_bits], "filter": [data]})
 
     columns = batches.select("batch", "training", "lengths", "hashes", "tokens")
     return materialize(
@@ -219,9 +253,9 @@ class PairFilter:
             at += n_bits // 8
         self._data = np.frombuffer(data, np.uint8)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts recovered level by level, until a level is not found."""
-        out = np.zeros(len(keys))
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each pair, found level by level until one is not there; 0 where none is."""
+        out = np.zeros(len(keys), np.int64)
         ranges = (keys >> np.uint64(64 - self._bits)).astype(np.int64) if self._bits else np.zeros(len(keys), np.int64)
         alive = np.flatnonzero(self._n_bits[ranges] > 0)
         keys = keys >> _KEY_SHIFT << _KEY_SHIFT
@@ -232,12 +266,20 @@ class PairFilter:
                 r = ranges[alive]
                 at = _place(keys[alive], level, probe, self._n_bits[r])
                 alive = alive[(self._data[self._begin[r] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            out[alive] = 1.5 * 2.0 ** (level - 1) - 0.5  # the middle of the counts of this level
+            out[alive] = level
         return out
 
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return middle_counts(self.levels(keys))
+
+
+def middle_counts(levels: np.ndarray) -> np.ndarray:
+    """The middle of the counts of a level; 0 for none."""
+    return np.where(levels > 0, 1.5 * 2.0 ** (levels - 1.0) - 0.5, 0.0)
+
 
 def language_model_scores(
-    docs: DataFrame, training: Column, smoothing: float = 1000.0, part_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, training: Column, smoothing: float = 1000.0, part_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -250,43 +292,46 @@ def language_model_scores(
     # Ranges hold a bounded number of tokens whatever the input's size.
     bits = max(0, int(np.ceil(np.log2(max(1, n_tokens / _RANGE_TOKENS)))))
     counted = word_counts(batches, bits)
-    stats = [np.frombuffer(zstandard.decompress(r[0]), "<i8") for r in counted.filter("batch = -1").select("answer").collect()]
-    total, distinct = (int(x) for x in np.sum(stats, axis=0)) if stats else (0, 0)
-    slices = pair_slices(batches, bits)
-    groups, size = [[]], 0
-    for r, n_bits in sorted(tuple(x) for x in slices.select("range", "n_bits").collect()):
-        if groups[-1] and size + n_bits // 8 > part_bytes:
-            groups.append([])
-            size = 0
-        groups[-1].append(r)
-        size += n_bits // 8
-    answers = counted.filter("batch >= 0").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("range", "answer"))).alias("answers"))
-    asked = batches.drop("counts", "training").join(answers, "batch")
-    passes = []
-    for number, group in enumerate(groups):
-        own = slices.filter(F.col("range").isin(group)).collect() if group else []  # part_bytes at most, or one slice
-        shared = spark.sparkContext.broadcast(([(x[0], x[1]) for x in own], b"".join(x[2] for x in own)))
-        del own
-        passes.append(asked.mapInArrow(_scorer(shared, bits, total, distinct, smoothing, number == 0), _SCORES))
-    if len(passes) == 1:
-        return passes[0].select("doc_id", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
-    added = reduce(DataFrame.unionByName, passes).groupBy("batch", "place").agg(
-        *[F.max(c).alias(c) for c in ("doc_id", "n_tokens", "n_known")], *[F.sum(c).alias(c) for c in ("base_score", "score")]
-    )
-    return added.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
+    told = counted.filter("batch = -1").select("answer").mapInArrow(_added_stats, "total bigint, distinct_words bigint")
+    total, distinct = told.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct_words"), F.lit(0))).first()
+
+    def listed(answers: DataFrame, name: str) -> DataFrame:
+        return answers.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("range", "answer"))).alias(name))
+
+    asked = batches.drop("counts", "training").join(listed(counted.filter("batch >= 0"), "answers"), "batch")
+    # A pair's levels are no more than its count, so the filter has one byte a token at most.
+    if n_tokens * _BITS_PER_ENTRY <= 8 * part_bytes:
+        slices = sorted(tuple(x) for x in pair_slices(batches, bits).collect())
+        shared = spark.sparkContext.broadcast(([x[:2] for x in slices], b"".join(x[2] for x in slices)))
+        asked = asked.withColumn("levels", F.lit(None).cast("array<struct<range:int,answer:binary>>"))
+    else:
+        shared = None
+        asked = asked.join(listed(pair_levels(batches, bits), "levels"), "batch")
+    scored = asked.mapInArrow(_scorer(shared, bits, total, distinct, smoothing), _SCORES)
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+def _added_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        stats = [np.frombuffer(zstandard.decompress(a), "<i8") for a in batch.column(0).to_pylist()]
+        total, distinct = np.sum(stats, axis=0) if stats else (0, 0)
+        yield pa.RecordBatch.from_arrays([pa.array([int(total)]), pa.array([int(distinct)])], names=["total", "distinct_words"])
+
+
+_SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-_SCORES = "batch bigint, place int, doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
+def _joined_answers(answers: list[dict], kind: str) -> np.ndarray:
+    return np.concatenate([np.frombuffer(zstandard.decompress(a["answer"]), kind) for a in answers])
 
 
-def _scorer(shared, bits: int, total: int, distinct: int, smoothing: float, first: bool):
-    """``first``: the pass that also counts the word terms."""
+def _scorer(shared, bits: int, total: int, distinct: int, smoothing: float):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = PairFilter(*shared.value, bits)
+        pairs = PairFilter(*shared.value, bits) if shared is not None else None
         for batch in rows:
             for row in _one_by_one(batch):
                 tokens, lengths = _tokens(row), np.array(row["lengths"], np.int64)
-                counts = np.concatenate([np.frombuffer(zstandard.decompress(a["answer"]), "<i8") for a in row["answers"]])
+                counts = _joined_answers(row["answers"], "<i8")
                 c = counts[tokens]
                 hashes = _unpack(row["hashes"])
                 end = counts[np.searchsorted(hashes, _END)]
@@ -295,26 +340,22 @@ def _scorer(shared, bits: int, total: int, distinct: int, smoothing: float, firs
                 before[np.cumsum(lengths) - lengths] = end
                 share = (c + 1.0) / (total + distinct + 1.0)
                 possible = np.flatnonzero((c > 0) & (before > 0))
-                keys = _pair_keys(hashes, tokens, lengths)[possible]
-                found = np.minimum(pairs.counts(keys), np.minimum(c, before)[possible])
+                keys = _pair_keys(hashes, tokens, lengths)
+                if pairs is not None:
+                    recovered = pairs.counts(keys[possible])
+                else:  # answers come in the order of the batch's distinct keys
+                    where = np.unique(keys >> _KEY_SHIFT << _KEY_SHIFT, return_inverse=True)[1]
+                    recovered = middle_counts(_joined_answers(row["levels"], np.uint8)[where[possible]])
+                found = np.minimum(recovered, np.minimum(c, before)[possible])
                 term = np.zeros(len(c))
                 term[possible] = np.log10(1 + found / (smoothing * share[possible]))
                 base = np.log10(share)
-                if first:
-                    term += np.log10(smoothing / (before + smoothing)) + base
+                term += np.log10(smoothing / (before + smoothing)) + base
                 doc = np.repeat(np.arange(len(lengths)), lengths)
                 n = len(lengths)
                 ids = pa.array(np.array(row["doc_ids"], np.int64), mask=~np.array(row["known"], bool))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["batch"]] * n, pa.int64()),
-                        pa.array(np.arange(n, dtype=np.int32)),
-                        ids,
-                        pa.array(lengths),
-                        pa.array(np.bincount(doc, c > 0, n).astype(np.int64)),
-                        pa.array(np.bincount(doc, base, n) if first else np.zeros(n)),
-                        pa.array(np.bincount(doc, term, n)),
-                    ],
+                    [ids, pa.array(lengths), pa.array(np.bincount(doc, c > 0, n).astype(np.int64)), pa.array(np.bincount(doc, base, n)), pa.array(np.bincount(doc, term, n))],
                     names=[f.split()[0] for f in _SCORES.split(", ")],
                 )
 

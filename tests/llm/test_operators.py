@@ -377,6 +377,34 @@ def test_op10_exact_parts_and_model(spark, part_bytes):
     assert lm.language_model_scores(make(spark, texts).limit(0), id_remainder(7) != 2).count() == 0
 
 
+def test_op10_both_ways_give_the_model_of_plain_counts(spark):
+    """``score`` against counts kept in a dict: false positives of the filter can only raise it, a little."""
+    texts = [*ODD, *[prose(k, 80, 60) for k in range(40)]]
+    docs = make(spark, texts).unionByName(make(spark, [prose(1), None, "w1q"]).withColumn("doc_id", F.lit(None).cast("bigint")))
+    use = id_remainder(7) != 2
+    both = [
+        sorted(lm.language_model_scores(docs, use, part_bytes=size).collect(), key=str) for size in (1 << 20, 8)
+    ]
+    assert [tuple(r) for r in both[0]] == [tuple(r) for r in both[1]] and len(both[0]) == len(texts) + 3
+    tokens_of = [(t or "").encode().lower().split() + [None] for t in texts]
+    trained = [own for i, own in enumerate(tokens_of) if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for own in trained for w in own)
+    pairs = Counter(p for own in trained for p in zip([None, *own], own))
+    n, v = sum(count.values()), len(count)
+    raised = []
+    for i, own in enumerate(tokens_of):
+        total = 0.0
+        for a, b in zip([None, *own], own):
+            share = (count[b] + 1) / (n + v + 1)
+            level = pairs[a, b].bit_length()
+            found = min(1.5 * 2 ** (level - 1) - 0.5, count[a], count[b]) if level else 0.0
+            total += math.log10(share * (1 + found / (1000 * share)) * 1000 / (count[a] + 1000))
+        got = next(r.score for r in both[0] if r.doc_id == i)
+        assert got >= total - 1e-6 * max(1, abs(total))
+        raised.append((got - total) / len(own))
+    assert np.mean(raised) < 0.03 and np.mean(np.array(raised) < 1e-9) > 0.1
+
+
 def test_op10_counts_come_back_level_by_level(spark):
     docs = make(spark, ["a b " * 9 + "c"])
     batches = lm.token_batches(docs, F.lit(True))
