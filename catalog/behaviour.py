@@ -72,8 +72,7 @@ COUNTS = (
 )
 PLAN = (
     f"plan AS (SELECT split, raw_count, raw_count // {CHUNK} AS full_chunks, "
-    f"(raw_count // {CHUNK}) * {CHUNK} AS samples_to_write, "
-    f"raw_count - (raw_count // {CHUNK}) * {CHUNK} AS dropped_tail FROM counts)"
+    f"raw_count AS samples_to_write, (raw_count + {CHUNK - 1}) // {CHUNK} AS chunks, 0 AS dropped_tail FROM counts)"
 )
 FREQ = (
     "freq AS (SELECT item_idx, count(target) AS freq FROM item_map LEFT JOIN "
@@ -148,6 +147,14 @@ def _chunk_query(spark, d):
 
 QUERIES = [
     Query("interactions", "user_id:s item_id:s ts:i", purchases, "SELECT * FROM purchases", (PURCHASES,)),
+    Query(
+        "rejected_lines",
+        "reason:s n:i",
+        lambda s, d: R.split_records(_review_lines(s, d)).rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
+        "SELECT CASE CAST(item_id AS INTEGER) % 4 WHEN 1 THEN 'not a record' ELSE 'neither JSON nor a literal' END AS reason, count(*) AS n "
+        "FROM purchases WHERE CAST(item_id AS INTEGER) % 4 IN (1, 2) GROUP BY 1",
+        (PURCHASES,),
+    ),
     Query(
         "raw_reviews",
         "user_id:s item_id:s ts:i",
@@ -219,7 +226,7 @@ QUERIES = [
     ),
     Query(
         "write_plan",
-        "split:s raw_count:i samples_to_write:i full_chunks:i dropped_tail:i",
+        "split:s raw_count:i samples_to_write:i full_chunks:i chunks:i dropped_tail:i",
         lambda s, d: S.write_plan(S.split_counts(prepared(s, d).sizes), CHUNK),
         "SELECT * FROM plan",
         (*indexed_sql(5), SIZES, COUNTS, PLAN),
@@ -241,7 +248,7 @@ QUERIES = [
         f"SELECT {LONG} AS history_len, {CHUNK} AS chunk_size, 5 AS k_core, 'leave_last_two' AS split_mode, "
         "(SELECT count(*) FROM sizes) AS num_users, (SELECT count(*) FROM item_map) AS num_items, "
         "sum(raw_count) AS total_samples, sum(samples_to_write) AS samples_written, sum(dropped_tail) AS dropped_tail, "
-        f"sum(full_chunks) AS chunks_written, sum(samples_to_write) * {LONG * 5 + 8} AS approx_bytes FROM plan",
+        f"sum(chunks) AS chunks_written, sum(samples_to_write) * {LONG * 5 + 8} AS approx_bytes FROM plan",
         (*indexed_sql(5), SIZES, COUNTS, PLAN),
     ),
     Query(

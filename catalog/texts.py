@@ -59,11 +59,8 @@ def _metadata_sql(extra: bool) -> tuple[str, ...]:
         "'http://x/' || doc_id || '.jpg?s=1' AS image_url FROM documents)",
         f"items AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS item_idx FROM "
         f"(SELECT item_id FROM lines{more if extra else ' GROUP BY item_id'}))",
-        "firsts AS (SELECT item_id, min(doc_id) AS f FROM lines GROUP BY item_id)",
-        "stop AS (SELECT CASE WHEN (SELECT count(*) FROM firsts) = (SELECT count(*) FROM items) "
-        "THEN (SELECT max(f) FROM firsts) END AS s)",
         "last AS (SELECT item_id, arg_max(title, doc_id) AS title, arg_max(categories, doc_id) AS categories, "
-        "arg_max(image_url, doc_id) AS image_url FROM lines, stop WHERE s IS NULL OR doc_id <= s GROUP BY item_id)",
+        "arg_max(image_url, doc_id) AS image_url FROM lines GROUP BY item_id)",
     )
 
 

@@ -32,18 +32,24 @@ def split_counts(sizes: DataFrame, mode: str = "leave_last_two") -> DataFrame:
     return sums.unpivot([], list(parts), "split", "raw_count")
 
 
-def write_plan(counts: DataFrame, chunk_size: int = 1000, max_samples: int = 0) -> DataFrame:
-    """Cap each split at ``max_samples`` (0: no cap), keep whole chunks, report the rest."""
+def write_plan(counts: DataFrame, chunk_size: int = 1000, max_samples: int = 0, drop_tail: bool = False) -> DataFrame:
+    """Samples and chunks to write per split; all of them, the last chunk being shorter.
+
+    ``max_samples`` (0: no cap) caps a split, and ``drop_tail`` leaves out what fills no whole chunk;
+    ``dropped_tail`` counts what either leaves out.
+    """
     if chunk_size < 1:
         raise ValueError("chunk_size must be at least 1")
     wanted = F.least("raw_count", F.lit(max_samples)) if max_samples > 0 else F.col("raw_count")
-    planned = counts.withColumn("full_chunks", F.floor(wanted / chunk_size))
+    full = F.floor(wanted / chunk_size)
+    planned = counts.select("split", "raw_count", full.alias("full_chunks"), (full * chunk_size if drop_tail else wanted).alias("samples_to_write"))
     return planned.select(
         "split",
         "raw_count",
-        (F.col("full_chunks") * chunk_size).alias("samples_to_write"),
+        "samples_to_write",
         "full_chunks",
-        (F.col("raw_count") - F.col("full_chunks") * chunk_size).alias("dropped_tail"),
+        F.ceil(F.col("samples_to_write") / chunk_size).alias("chunks"),
+        (F.col("raw_count") - F.col("samples_to_write")).alias("dropped_tail"),
     )
 
 
@@ -54,8 +60,9 @@ def assign_chunks(
     max_samples: int = 0,
     mode: str = "leave_last_two",
     user: str = "user_idx",
+    drop_tail: bool = False,
 ) -> DataFrame:
-    """Add ``chunk_id`` and ``slot`` in (user, pos) order per split; drop the unwritten tail.
+    """Add ``chunk_id`` and ``slot`` in (user, pos) order per split; only what ``write_plan`` writes.
 
     The place of a sample in its split follows from the samples of all earlier users, so only
     the user table is ordered; the samples are not sorted again.
@@ -69,7 +76,7 @@ def assign_chunks(
     start = reduce(
         lambda acc, name: acc.when(F.col("split") == name, F.col(f"{name}_before")), parts, F
     )
-    plan = write_plan(split_counts(sizes, mode), chunk_size, max_samples)
+    plan = write_plan(split_counts(sizes, mode), chunk_size, max_samples, drop_tail)
     numbered = samples.join(before, user).withColumn("_n", (start + inside).cast("bigint"))
     return (
         numbered.join(F.broadcast(plan.select("split", "samples_to_write")), "split")
@@ -95,14 +102,15 @@ def dataset_stats(
     k: int = 5,
     max_samples: int = 0,
     mode: str = "leave_last_two",
+    drop_tail: bool = False,
 ) -> DataFrame:
     """One row of dataset totals and the estimated stored size, without building samples."""
-    plan = write_plan(split_counts(sizes, mode), chunk_size, max_samples)
+    plan = write_plan(split_counts(sizes, mode), chunk_size, max_samples, drop_tail)
     totals = plan.agg(
         F.sum("raw_count").alias("total_samples"),
         F.sum("samples_to_write").alias("samples_written"),
         F.sum("dropped_tail").alias("dropped_tail"),
-        F.sum("full_chunks").alias("chunks_written"),
+        F.sum("chunks").alias("chunks_written"),
     )
     return totals.select(
         F.lit(history_len).alias("history_len"),

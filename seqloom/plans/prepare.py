@@ -26,9 +26,9 @@ class Prepared:
         return build_samples(self.positions, history_len, mode)
 
     def chunks(
-        self, history_len: int = 50, chunk_size: int = 1000, max_samples: int = 0, mode: str = "leave_last_two"
+        self, history_len: int = 50, chunk_size: int = 1000, max_samples: int = 0, mode: str = "leave_last_two", drop_tail: bool = False
     ) -> DataFrame:
-        return assign_chunks(self.samples(history_len, mode), self.sizes, chunk_size, max_samples, mode)
+        return assign_chunks(self.samples(history_len, mode), self.sizes, chunk_size, max_samples, mode, drop_tail=drop_tail)
 
 
 def prepare(interactions: DataFrame, k: int = 5) -> Prepared:

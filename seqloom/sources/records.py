@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ast
 import json
+import math
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from seqloom.functions import text as T
+from seqloom.session import materialize
 
 RECORD = "record"
 ORDER = "line_order"
@@ -38,37 +40,68 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines
 
 
-@F.pandas_udf(StringType())
-def _literal_to_json(lines: pd.Series) -> pd.Series:
-    """Python-literal records as JSON text; null for everything else."""
-
-    def convert(line):
-        if line is None:
-            return None
-        for parse in (json.loads, ast.literal_eval):
-            try:
-                value = parse(line.strip())
-                return json.dumps(value) if isinstance(value, dict) else None
-            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-                continue
+def _plain(value):
+    """What JSON can hold: sets and tuples as lists, numbers that are none as null, bytes as text."""
+    if isinstance(value, dict):
+        return {str(k): _plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [_plain(v) for v in value]
+    if isinstance(value, (set, frozenset)):
+        return [_plain(v) for v in sorted(value, key=repr)]
+    if isinstance(value, float) and not math.isfinite(value):
         return None
+    if isinstance(value, bytes):
+        return value.decode("utf-8", "replace")
+    return value if value is None or isinstance(value, (bool, int, float, str)) else str(value)
 
-    return lines.map(convert)
 
+def _repaired(line: str) -> tuple[str | None, str | None]:
+    """A record as JSON text, or why there is none."""
+    for parse in (json.loads, ast.literal_eval):
+        try:
+            value = parse(line.strip())
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            continue
+        return (json.dumps(_plain(value)), None) if isinstance(value, dict) else (None, "not a record")
+    return None, "neither JSON nor a literal"
+
+
+def _repair(frames):
+    for frame in frames:
+        found = [_repaired(line) for line in frame["value"]]
+        yield frame.assign(again=[f[0] for f in found], reason=[f[1] for f in found])
+
+
+@dataclass(frozen=True)
+class ParsedLines:
+    """``records``: lines with their record; ``rejected``: the other lines and the reason."""
+
+    records: DataFrame
+    rejected: DataFrame
 
-def parse_records(lines: DataFrame) -> DataFrame:
-    """Add ``record`` (variant): strict JSON, else a Python literal; other lines are dropped.
 
-    Only lines that fail the JSON parser are handed to Python.
+def split_records(lines: DataFrame) -> ParsedLines:
+    """Every line goes to ``records`` (strict JSON, else a Python literal) or to ``rejected``.
+
+    Lines that are no JSON objects are written apart; only these are handed to Python. Non-finite
+    numbers become null, sets and tuples lists.
     """
     strict = lines.withColumn(RECORD, F.try_parse_json("value"))
-    failed = F.when(F.col(RECORD).isNull(), F.col("value"))
-    repaired = strict.withColumn("_again", _literal_to_json(failed))
-    return (
-        repaired.withColumn(RECORD, F.coalesce(RECORD, F.try_parse_json("_again")))
-        .drop("_again")
-        .filter(F.schema_of_variant(RECORD).startswith("OBJECT"))
-    )
+    is_object = F.coalesce(F.schema_of_variant(RECORD).startswith("OBJECT"), F.lit(False))
+    failed = materialize(strict.filter(~is_object).drop(RECORD), "failed-lines")
+    schema = StructType([*failed.schema.fields, StructField("again", StringType()), StructField("reason", StringType())])
+    tried = materialize(failed.filter(F.col("value").isNotNull()).mapInPandas(_repair, schema), "repaired-lines")
+    again = tried.withColumn(RECORD, F.try_parse_json("again"))
+    repaired = again.filter(F.col(RECORD).isNotNull()).select(*lines.columns, RECORD)
+    reason = F.coalesce("reason", F.lit("no JSON value can hold the record"))
+    rejected = again.filter(F.col(RECORD).isNull()).select(*lines.columns, reason.alias("reason"))
+    missing = failed.filter(F.col("value").isNull()).select(*lines.columns, F.lit("no line").alias("reason"))
+    return ParsedLines(strict.filter(is_object).unionByName(repaired), rejected.unionByName(missing))
+
+
+def parse_records(lines: DataFrame) -> DataFrame:
+    """Add ``record`` (variant): strict JSON, else a Python literal; ``split_records`` tells the rest."""
+    return split_records(lines).records
 
 
 def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -121,21 +154,13 @@ def read_interactions(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _last_per_item(found: DataFrame, item_map: DataFrame) -> DataFrame:
-    """The record each catalogue item ends up with when lines are read in order.
+    """The last record of each catalogue item, over all lines.
 
-    Later records replace earlier ones, and reading stops at the line that completes the
-    catalogue. Records are reduced to one per item before they meet the catalogue.
+    Records are reduced to one per item, before the shuffle where they can be, and then meet the
+    catalogue.
     """
-    firsts = (
-        found.groupBy("item_id").agg(F.min(ORDER).alias("_first")).join(item_map, "item_id", "left_semi")
-    )
-    wanted = item_map.agg(F.count(F.lit(1))).scalar()
-    stop = firsts.agg(
-        F.when(F.count(F.lit(1)) == wanted, F.max("_first")).alias("stop")
-    ).scalar()
     payload = [c for c in found.columns if c not in ("item_id", ORDER)]
-    kept = found.filter(stop.isNull() | (F.col(ORDER) <= stop))
-    last = kept.groupBy("item_id").agg(F.max_by(F.struct(*payload), ORDER).alias("_r"))
+    last = found.groupBy("item_id").agg(F.max_by(F.struct(*payload), ORDER).alias("_r"))
     return last.join(item_map.select("item_id", "item_idx"), "item_id").select("item_idx", "item_id", "_r.*")
 
 

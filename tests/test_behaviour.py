@@ -139,21 +139,24 @@ def test_counts_plan_and_chunks(spark, rows):
     assert rows(counts, "split", "raw_count") == [("test", 4), ("train", 9), ("val", 3)]
     assert rows(S.split_counts(sizes, "none"), "split", "raw_count") == [("train", 16)]
     samples = build_samples(positions, 3)
-    chunks = S.assign_chunks(samples, sizes, chunk_size=2)
-    want = {}
-    for split in ("train", "val", "test"):
-        picked = sorted((r["user_idx"], r["pos"]) for r in samples.filter(F.col("split") == split).collect())
-        for n, key in enumerate(picked[: len(picked) // 2 * 2]):
-            want[(split, *key)] = (n // 2, n % 2)
-    got = {(r["split"], r["user_idx"], r["pos"]): (r["chunk_id"], r["slot"]) for r in chunks.collect()}
-    assert got == want
+    for drop_tail in (False, True):
+        chunks = S.assign_chunks(samples, sizes, chunk_size=2, drop_tail=drop_tail)
+        want = {}
+        for split in ("train", "val", "test"):
+            picked = sorted((r["user_idx"], r["pos"]) for r in samples.filter(F.col("split") == split).collect())
+            for n, key in enumerate(picked[: len(picked) // 2 * 2] if drop_tail else picked):
+                want[(split, *key)] = (n // 2, n % 2)
+        got = {(r["split"], r["user_idx"], r["pos"]): (r["chunk_id"], r["slot"]) for r in chunks.collect()}
+        assert got == want
 
 
 def test_write_plan_golden(spark, rows):
     counts = spark.createDataFrame([("train", 2500)], "split string, raw_count bigint")
     cols = ("samples_to_write", "full_chunks", "dropped_tail")
-    assert rows(S.write_plan(counts), *cols) == [(2000, 2, 500)]
-    assert rows(S.write_plan(counts, max_samples=1500), *cols) == [(1000, 1, 1500)]
+    assert rows(S.write_plan(counts, drop_tail=True), *cols) == [(2000, 2, 500)]
+    assert rows(S.write_plan(counts, max_samples=1500, drop_tail=True), *cols) == [(1000, 1, 1500)]
+    assert rows(S.write_plan(counts), *cols, "chunks") == [(2500, 2, 0, 3)]
+    assert rows(S.write_plan(counts, max_samples=1500), *cols, "chunks") == [(1500, 1, 1000, 2)]
     assert S.sample_bytes(50) == 258
 
 

@@ -49,10 +49,12 @@ META = [
 ]
 
 
-def test_last_record_wins_until_the_catalogue_is_complete(spark, rows):
+def test_last_record_of_all_lines_wins(spark, rows):
     both = spark.createDataFrame([("a", 0), ("b", 1)], "item_id string, item_idx int")
     got = rows(R.item_metadata(meta_lines(spark, META), both), "item_idx", "title", "categories", "image_url")
-    assert got == [(0, "First one", "A > B", "http://h/p/q.jpg?x=1"), (1, "x y z", "P > Q", "http://h/r.png")]
+    assert got == [(0, "after the end", "", ""), (1, "x y z", "P > Q", "http://h/r.png")]
+    first = rows(R.item_metadata(meta_lines(spark, META[:3]), both), "item_idx", "title", "categories", "image_url")
+    assert first[0] == (0, "First one", "A > B", "http://h/p/q.jpg?x=1")
     more = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "item_id string, item_idx int")
     assert rows(R.item_metadata(meta_lines(spark, META), more), "item_idx", "title") == [(0, "after the end"), (1, "x y z")]
     texts = R.item_texts(meta_lines(spark, META), more, 9)
@@ -60,7 +62,7 @@ def test_last_record_wins_until_the_catalogue_is_complete(spark, rows):
         (0, "title: after the end ; brand: late", True), (1, "title: x y z ; categories: P > Q", True), (2, "c", False)
     ]
     assert tuple(R.coverage(texts, F.col("has_meta")).first()) == (2, 1)
-    hints = R.image_hints(meta_lines(spark, META), both)
+    hints = R.image_hints(meta_lines(spark, META[:3]), both)
     assert rows(hints, "item_idx", "image_filename") == [(0, "q.jpg"), (1, "r.png")]
 
 
@@ -167,14 +169,49 @@ def test_materialize_uses_the_shared_folder(spark):
     assert out.count() == 5 and shared_root(spark) in out.inputFiles()[0]
 
 
-def test_json_maps_of_another_layout_are_an_error(spark, tmp_path):
-    for name, text, read in (
-        ("ids", '{"a": 0, "b": 1}', Tb.read_id_map_json),
-        ("codes", '{"a": [1, 2], "b": [3, 4]}', Tb.read_code_json),
-        ("groups", '{"1-2": ["x]", "y"], "3-4": ["z"]}', Tb.read_code_groups_json),
-    ):
-        (tmp_path / name).write_text(text)
-        with pytest.raises(Exception, match="indent of two"):
-            read(spark, str(tmp_path / name)).collect()
-    (tmp_path / "right").write_text('{\n  "1-2": [\n    "x]",\n    "y"\n  ]\n}\n')
-    assert Tb.read_code_groups_json(spark, str(tmp_path / "right")).first()["items"] == ["x]", "y"]
+def test_lines_are_records_or_rejected_with_a_reason(spark, rows):
+    lines = {
+        '{"asin": "a", "x": 1}': "a",
+        "{'asin': 'b', 'x': {1, 2}, 'y': (None, b'q')}": "b",
+        '{"asin": "c", "x": NaN, "y": [Infinity, -Infinity]}': "c",
+        "{'asin': 'd', 'x': 1e999}": "d",
+        "[1, 2]": "not a record",
+        "{broken": "neither JSON nor a literal",
+        "junk()": "neither JSON nor a literal",
+        "'text'": "not a record",
+        None: "no line",
+    }
+    table = spark.createDataFrame([(t, n) for n, t in enumerate(lines)], "value string, line_order int")
+    parsed = R.split_records(table)
+    found = {r["value"]: r["k"] for r in parsed.records.select("value", R.text_field("asin").alias("k")).collect()}
+    found |= {r["value"]: r["reason"] for r in parsed.rejected.collect()}
+    assert found == lines
+    kept = parsed.records.filter("line_order = 1").select(R._get("x", "array<int>").alias("x"), R._get("y", "array<string>").alias("y")).first()
+    assert kept["x"] == [1, 2] and kept["y"] == [None, "q"]
+    assert R.parse_records(table.limit(0)).count() == 0
+
+
+ODD_NAMES = ['a', 'say \\"hi\\"', 'back\\\\', 'br]ack{et, :', 'line\nbreak', 'é中', '', 'x' * 300, '1-2', 'tail\\\\\\"']
+
+
+@pytest.mark.parametrize("layout", [{"indent": 2}, {"indent": None}, {"separators": (",", ":")}, {"indent": 7, "ensure_ascii": False}])
+def test_json_maps_of_any_layout_in_small_byte_ranges(spark, rows, tmp_path, layout):
+    ids = {name: n - 1 for n, name in enumerate(ODD_NAMES)}
+    codes = {name: [n, 2 * n, -1][: n % 4] for n, name in enumerate(ODD_NAMES)}
+    groups = {f"{n}-{n + 1}": ODD_NAMES[: n % 5] for n in range(9)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        for name, payload in (("ids", ids), ("codes", codes), ("groups", groups)):
+            (tmp_path / name).write_text(json.dumps(payload, **layout))
+        assert dict(rows(Tb.read_id_map_json(spark, str(tmp_path / "ids")), "item_id", "item_idx")) == ids
+        assert dict(rows(Tb.read_code_json(spark, str(tmp_path / "codes")), "item_id", "code")) == codes
+        got = {r["code_key"]: (r["code"], r["items"]) for r in Tb.read_code_groups_json(spark, str(tmp_path / "groups")).collect()}
+        assert got == {k: ([int(x) for x in k.split("-")], v) for k, v in groups.items()}
+        (tmp_path / "empty").write_text("{ }")
+        assert Tb.read_id_map_json(spark, str(tmp_path / "empty")).count() == 0
+        for text in ('{"a": "b"}', '{"a": {"b": 1}}', '{"a": 1.5}'):
+            (tmp_path / f"wrong{len(text)}").write_text(text)
+            with pytest.raises(Exception, match="no entry of the expected kind"):
+                Tb.read_id_map_json(spark, str(tmp_path / f"wrong{len(text)}")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
