@@ -33,7 +33,7 @@ from seqloom.llm.components import components
 from seqloom.llm.words import find_words, mix, shingle_hashes
 from seqloom.session import materialize, materialize_with
 
-_BLOCK = 512
+_BLOCK = 2048
 _BATCH = 16
 _PARTNERS = 64  # of a center, in one group
 _TILE_SHINGLES = 100_000
