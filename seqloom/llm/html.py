@@ -47,23 +47,31 @@ _ODD = re.compile(
     r"social|related|recommended|recommendations|pagination|pager|toolbar|widget|copyright|legal|disclaimer|skip|hidden|search|"
     r"site-header|page-header|topbar|outbrain|taboola|complementary|contentinfo|alert|alertdialog)(?:$|[\s_-])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text|blog)(?:$|[\s_-])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|$)", re.S)
-_OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?][^>]*(?:>|\Z)", re.S)
+# A quote holds a value only after "="; one that is never closed is a character like others.
+_TAG_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _COMMAS = re.compile("[,،、，]")
+_DEEPEST = 512
 
 
 class Node:
-    __slots__ = ("tag", "named", "parent", "children", "points")
+    __slots__ = ("tag", "named", "parent", "children", "depth")
 
     def __init__(self, tag: str, named: str, parent: Node | None):
-        self.tag, self.named, self.parent, self.children, self.points = tag, named, parent, [], 0.0
+        self.tag, self.named, self.parent, self.children = tag, named, parent, []
+        self.depth = parent.depth + 1 if parent is not None else 0
 
 
 def parse(page: str) -> Node:
-    """A tree of elements and strings; unclosed elements end where HTML lets them."""
+    """A tree of elements and strings; unclosed elements end where HTML lets them.
+
+    Takes time in proportion to the page. A tag that never ends reaches to the end of the page; elements
+    below ``_DEEPEST`` levels become siblings of each other.
+    """
     root = here = Node("#page", "", None)
     at, size = 0, len(page)
+    endless: set[str] = set()  # elements known to have no end tag further on
     while at < size:
         found = _TOKEN.search(page, at)
         if not found:
@@ -74,22 +82,26 @@ def parse(page: str) -> Node:
         at = found.end()
         if found[2] is None:
             continue
-        tag = found[2].lower()
+        rest = _TAG_REST.match(page, at)
+        if rest is None:
+            break
+        tag, attributes, at = found[2].lower(), rest[1], rest.end()
         if found[1]:
             here = _close(here, tag)
             continue
-        attributes = found[3] or ""
         here = _make_room(here, tag)
         node = Node(tag, _named(attributes) if "=" in attributes or "hidden" in attributes else "", here)
         here.children.append(node)
-        if tag in _RAW and not (tag in ("svg", "math") and attributes.endswith("/")):
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
-            if end is None and tag in ("noscript", "template", "svg", "math", "iframe"):
+        closed = attributes.endswith("/")
+        if tag in _RAW and not (tag in ("svg", "math") and closed):
+            end = None if tag in endless else re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
+            if end is not None:
+                at = page.find(">", end.end()) + 1 or size
                 continue
-            at = end.end() if end else size
-        elif tag not in _VOID and not attributes.endswith("/"):
-            here = node
-        elif tag not in _VOID and tag not in ("svg", "math"):
+            endless.add(tag)
+            if tag not in ("noscript", "template", "svg", "math", "iframe"):
+                break
+        elif tag not in _VOID and not (tag in ("svg", "math") and closed) and node.depth < _DEEPEST:
             here = node  # a slash does not close an HTML element
     return root
 
@@ -157,7 +169,7 @@ def _ancestors(node: Node) -> Iterator[Node]:
 
 def _prose(node: Node) -> int:
     """Characters of text in paragraphs below."""
-    total, stack = 0, [(node, False)]
+    total, stack = 0, [(node, node.tag == "p")]
     while stack:
         here, inside = stack.pop()
         for child in here.children:
@@ -239,15 +251,17 @@ def main_nodes(root: Node) -> list[Node]:
     # An article spread over several parts: its container holds most of the prose.
     while best.parent is not None and best.parent.tag in ("article", "main") and best.tag not in ("article", "main"):
         best = best.parent
-    kept, here, limit = [best], best, max(10.0, scored[best] * 0.2)
+    # A sibling needs a fifth of the points of a strong container, but must come close to a weak one.
+    top = max(scored[best], 0.0)
+    kept, here, limit = [best], best, max(top * 0.2, min(10.0, top * 0.6))
 
     def close_to_best(node: Node) -> bool:
         text = _inline_text(node)
         prose = node.tag == "p" and (
             (len(text) > 80 and density(node) < 0.25) or (0 < len(text) <= 80 and density(node) == 0 and re.search(r"[.!?]( |$)", text))
         )
-        bonus = scored[best] * 0.2 if node.named and node.named == best.named else 0.0
-        return bool(scored.get(node, 0.0) + bonus >= limit or prose or node.tag in ("h1", "h2"))
+        points = scored.get(node, 0.0) + (top * 0.2 if node.named and node.named == best.named else 0.0)
+        return bool(0 < points >= limit or prose or node.tag in ("h1", "h2"))
 
     # The siblings of the best container and, inside an article or main, of what holds it.
     while here.parent is not None and here.tag not in ("body", "html"):
@@ -315,7 +329,11 @@ def main_text(page: str | None) -> str:
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns ``keep``, ``text`` and ``n_chars`` (its code points) of every whole page."""
+    """The columns ``keep``, ``text`` and ``n_chars`` (its code points) of every whole page.
+
+    One row a page, repeated pages and ids included; null, empty and textless pages have an empty
+    text. Further columns of ``pages`` are left out, whatever their names.
+    """
     rows = pages.select(*[F.col(c) for c in keep], text_of(html).alias("_html"))
     schema = rows.drop("_html").withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("bigint")).schema
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -99,11 +100,37 @@ def test_op1_keeps_all_parts_of_an_article():
     assert text(page) == f"{one * 3}\nHead\nfirst\nsecond\ncode\ncell\nquoted\n{three}"
 
 
+def test_op1_broken_pages_take_linear_time():
+    prose = "Words of the article, with a comma, that go on and on until they come to an end. " * 3
+    began = time.monotonic()
+    for page in ('<a title="x ' * 90_000, "<svg>" * 150_000, "</svg <svg " * 90_000, "<a b='\">" * 100_000, "<!-- " * 200_000, "<a =" + " " * 10**6):
+        assert html.main_text(page) == ""
+        assert html.main_text(f"<article><p>{prose}</p></article>{page}") == prose.strip()
+    assert html.main_text("<b>" * 20_000 + "</i>" * 20_000 + "deep") == "deep"
+    assert time.monotonic() - began < 20
+    # A quote that is never closed ends with its tag; one outside of a value opens nothing.
+    assert html.main_text(f'<article><p title="x>{prose}</p></article>') == prose.strip()
+    assert html.main_text(f'<article><p " class=x>{prose}</p><p title="a > b">{prose}</p></article>') == f"{prose.strip()}\n{prose.strip()}"
+
+
+def test_op1_equal_siblings_and_named_paragraphs():
+    parts = [f"Part {n} is short, but it is as good as the others, and all of them stay." for n in ("one", "two", "three")]
+    assert html.main_text("<body>" + "".join(f"<div><p>{p}</p></div>" for p in parts) + "</body>") == "\n".join(parts)
+    law = "The law says, in many words, what it has to say, and then it says so again. " * 8
+    for tag in ("p", "div"):
+        inner = law if tag == "p" else f"<p>{law}</p>"
+        assert law.strip() in html.main_text(f'<article><p>{law}one</p><{tag} class="legal text">{inner}</{tag}></article>').split("\n")
+    notice = f"<article><p>{law}</p></article><p class=notice>We use cookies.</p>"
+    assert html.main_text(notice) == law.strip()
+
+
 def test_op1_rows(spark):
     rows = [(1, "u", "<article><p>Hi there</article>"), (2, None, None), (None, "u", "")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     got = {r.page_id: (r.text, r.n_chars) for r in html.extract_main_text(df).collect()}
     assert got == {1: ("Hi there", 8), 2: ("", 0), None: ("", 0)}
+    assert html.extract_main_text(df.limit(0)).count() == 0
+    assert html.extract_main_text(df.union(df)).count() == 6
 
 
 def test_op2_round_trip(spark):
