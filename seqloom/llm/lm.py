@@ -32,7 +32,7 @@ _END = np.uint64(0x9E3779B97F4A7C15)  # stands for the end of a text, as a token
 _LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A3564E27F88969)
 _KEY_SHIFT = np.uint64(16)  # pairs are told apart by 48 bits of their hash
 _STEP, _PROBE = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_RANGE_TOKENS = 1_000_000
+_RANGE_TOKENS = 4_000_000
 _BATCH_BYTES = 512 << 10
 _BATCHES = "batch bigint, doc_ids array<bigint>, known array<boolean>, training array<boolean>, lengths array<int>, hashes binary, counts binary, tokens binary"
 _PROBES = 3
@@ -150,11 +150,8 @@ def word_counts(batches: DataFrame, bits: int) -> DataFrame:
                 yield _emit(_unpack(row["hashes"]), np.frombuffer(row["counts"], "<u4").astype(np.uint64), bits, row["batch"])
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        keys = [_unpack(k) for k in group["keys"]]
-        found, where = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(where, np.concatenate([_count(c) for c in group["counts"]]), len(found)).astype(np.int64)
-        at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        answers = [totals[where[a:b]].astype("<i8").tobytes() for a, b in zip(at, at[1:])]
+        _, totals, where, cuts = _met(group)
+        answers = [totals[where[a:b]].astype("<i8").tobytes() for a, b in zip(cuts, cuts[1:])]
         stats = np.array([totals.sum(), (totals > 0).sum()], "<i8").tobytes()
         return pd.DataFrame(
             {"batch": [*group["batch"], -1], "range": group["range"].iloc[0], "answer": [zstandard.compress(x, 1) for x in (*answers, stats)]}
@@ -164,15 +161,18 @@ def word_counts(batches: DataFrame, bits: int) -> DataFrame:
     return materialize(asked.groupBy("range").applyInPandas(answer, "batch bigint, range int, answer binary"), "word-counts")
 
 
-def _filled(group: pd.DataFrame) -> tuple[int, bytes]:
+def _met(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of all pieces of a range, their summed counts, the place of every piece's
+    keys among them, and where the pieces begin and end."""
+    keys = [_unpack(k) for k in group["keys"]]
+    cuts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+    found, where = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.bincount(where, np.concatenate([_count(c) for c in group["counts"]]), len(found)).astype(np.int64)
+    return found, totals, where, cuts
+
+
+def _filled(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
     """Bits and bytes of the filter slice of one range's pairs; pairs that count 0 are not entered."""
-    keys = np.concatenate([_unpack(k) for k in group["keys"]])
-    order = np.argsort(keys)
-    counts = np.concatenate([_count(c) for c in group["counts"]])[order]
-    keys = keys[order]
-    del order
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    keys, counts = keys[first], np.add.reduceat(counts, first)
     keys, counts = keys[counts > 0], counts[counts > 0]
     if len(keys) == 0:
         return 0, b""
@@ -201,9 +201,11 @@ def pair_levels(batches: DataFrame, bits: int) -> DataFrame:
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         r = int(group["range"].iloc[0])
-        n_bits, data = _filled(group)
-        slice_ = PairFilter([(r, n_bits)], data, bits)
-        answers = [zstandard.compress(slice_.levels(_unpack(k)).astype(np.uint8).tobytes(), 1) for k in group["keys"]]
+        found, totals, where, cuts = _met(group)
+        n_bits, data = _filled(found, totals)
+        # A pair that many batches hold is probed once.
+        levels = PairFilter([(r, n_bits)], data, bits).levels(found).astype(np.uint8)
+        answers = [zstandard.compress(levels[where[a:b]].tobytes(), 1) for a, b in zip(cuts, cuts[1:])]
         return pd.DataFrame({"batch": group["batch"], "range": r, "answer": answers})
 
     columns = batches.select("batch", "training", "lengths", "hashes", "tokens")
@@ -225,7 +227,7 @@ def pair_slices(batches: DataFrame, bits: int) -> DataFrame:
                     yield _emit(found, counts.astype(np.uint64), bits, row["batch"])
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        n_bits, data = _filled(group)
+        n_bits, data = _filled(*_met(group)[:2])
         return pd.DataFrame({"range": [group["range"].iloc[0]], "n_bits": [n_bits], "filter": [data]})
 
     columns = batches.select("batch", "training", "lengths", "hashes", "tokens")
