@@ -32,7 +32,7 @@ _END = np.uint64(0x9E3779B97F4A7C15)  # stands for the end of a text, as a token
 _LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A3564E27F88969)
 _KEY_SHIFT = np.uint64(16)  # pairs are told apart by 48 bits of their hash
 _STEP, _PROBE = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_RANGE_TOKENS = 4_000_000
+_RANGE_TOKENS = 2_000_000
 _BATCH_BYTES = 512 << 10
 _BATCHES = "batch bigint, doc_ids array<bigint>, known array<boolean>, training array<boolean>, lengths array<int>, hashes binary, counts binary, tokens binary"
 _PROBES = 3
