@@ -8,7 +8,7 @@ from catalog.behaviour import CLICK_POSITIONS, SHORT, click_positions, click_sam
 from catalog.spec import Query
 from catalog.tables import CLICKS, clicks, table, vectors
 from seqloom.functions import vector as V
-from seqloom.operators import collaborative as C, fusion as Fu, gather as G, quantize as Q, sampling as Sa
+from seqloom.operators import batches as B, collaborative as C, fusion as Fu, gather as G, quantize as Q, sampling as Sa
 from seqloom.operators.cooccurrence import cooccurrence, skipgram_pairs, sppmi
 from seqloom.operators.encode import hashed_text_vectors
 from seqloom.operators.losses import vector_mse
@@ -119,6 +119,46 @@ STEPS = (
 )
 
 
+def _branches(spark, d):
+    """Text, image and behaviour vectors of a batch: three views of the given ones; sums that tell slots apart."""
+    items = vectors(spark, d)
+    views = {"text": F.col("vec"), "image": F.reverse("vec"), "cf": F.slice("vec", 1, 16)}
+    tables = {name: items.select("item_idx", view.alias("vec")) for name, view in views.items()}
+    out = B.attach_branches(
+        click_samples(spark, d, 4), tables, ["user_idx", "pos"], tables["cf"], history="history", mask="mask", target="target"
+    )
+    rows = []
+    for name in tables:
+        steps = F.transform(f"history_{name}_embeds", lambda v, i: v[0].cast("double") * (i + 1))
+        target, pooled = F.col(f"target_{name}_embed"), F.col(f"pooled_{name}_embed")
+        rows.append(F.struct(F.lit(name).alias("branch"), *[
+            F.round(c.cast("double"), 4).alias(n)
+            for n, c in {
+                "slots": F.aggregate(steps, F.lit(0.0), lambda a, x: a + x),
+                "first": target[0], "last": F.element_at(target, -1),
+                "pooled_first": pooled[0], "pooled_last": F.element_at(pooled, -1),
+                "latent": F.element_at("target_item_latent", -1),
+            }.items()
+        ]))
+    return out.select("user_idx", "pos", F.inline(F.array(*rows)))
+
+
+BRANCH_SQL = (
+    "SELECT s.user_idx, s.pos, t.branch, round(coalesce(w, 0), 4) AS slots, round(t.f, 4) AS first, round(t.l, 4) AS last, "
+    "round(coalesce(pf, 0), 4) AS pooled_first, round(coalesce(pl, 0), 4) AS pooled_last, round(c.l, 4) AS latent "
+    "FROM samples s JOIN views t ON t.item_idx = s.target JOIN views c ON c.item_idx = s.target AND c.branch = 'cf' "
+    "LEFT JOIN (SELECT user_idx, pos, branch, sum((slot + 1) * f) AS w, avg(f) AS pf, avg(l) AS pl FROM "
+    "(SELECT user_idx, pos, unnest(history) AS item_idx, unnest(range(0, 4)) AS slot FROM samples) JOIN views USING (item_idx) "
+    "GROUP BY ALL) p ON p.user_idx = s.user_idx AND p.pos = s.pos AND p.branch = t.branch"
+)
+# Branch, and the first and last element of its vectors.
+VIEWS = (
+    "views AS MATERIALIZED (SELECT vec_id AS item_idx, unnest(['text', 'image', 'cf']) AS branch, "
+    "CAST(unnest([embedding[1], embedding[64], embedding[1]]) AS DOUBLE) AS f, "
+    "CAST(unnest([embedding[64], embedding[1], embedding[16]]) AS DOUBLE) AS l FROM embeddings)"
+)
+
+
 def _history_vectors(spark, d):
     out = G.gather_history(click_samples(spark, d, 4), vectors(spark, d), ["user_idx", "pos"])
     flat = out.select("user_idx", "pos", F.posexplode("history_vecs").alias("slot", "v"))
@@ -242,6 +282,11 @@ QUERIES = [
         "unnest(range(0, 4)) AS slot FROM samples) LEFT JOIN (SELECT item_idx, sum(value) AS t FROM elements GROUP BY item_idx) ON item = item_idx",
         (*CLICK_POSITIONS, samples_sql(4), LONG),
     ),
+    Query(
+        "branch_batches", "user_idx:i pos:i branch:s slots:f first:f last:f pooled_first:f pooled_last:f latent:f", _branches,
+        BRANCH_SQL,
+        (*CLICK_POSITIONS, samples_sql(4), VIEWS),
+    ),
     Query(
         "target_gather", "user_idx:i pos:i dim:i value:f",
         lambda s, d: long_form(G.gather_target(click_samples(s, d), vectors(s, d), normalize=True), ["user_idx", "pos"], "target_vec"),

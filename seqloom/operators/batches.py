@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from seqloom.operators.checks import TOKENIZED_COLUMNS, require_columns
+from seqloom.functions import vector as V
+from seqloom.operators.checks import TOKENIZED_COLUMNS, require_columns, vector_shape
+from seqloom.session import materialize
 
 # Accepted spellings of a column, and the optional vector columns of a batch.
 ALIASES = {
@@ -44,3 +46,75 @@ def assemble_batch(samples: DataFrame) -> DataFrame:
     require_columns(samples, TOKENIZED_COLUMNS)
     optional = [c for c in OPTIONAL_COLUMNS if c in samples.columns]
     return samples.select(*TOKENIZED_COLUMNS, *optional)
+
+
+def _vector_or_zeros(item: str, vec: str, name: str, dim: int) -> Column:
+    """The vector of an item; zeros for a negative item, an error for an item that has none."""
+    unknown = F.raise_error(F.format_string(f"item %d has no {name} vector", F.col(item))).cast("array<float>")
+    return F.when(F.col(item) < 0, F.array_repeat(F.lit(0.0).cast("float"), dim)).otherwise(F.coalesce(F.col(vec), unknown))
+
+
+def _by_slot(history: str, branch: str, dim: int) -> Column:
+    """The vectors found, at their slots of the history; zeros at the others."""
+    by_step = F.map_from_arrays(F.col("_found.step"), F.col(f"_found.{branch}"))
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    numbers = F.sequence(F.lit(0), F.size(history) - 1)
+    slots = F.transform(numbers, lambda n: F.coalesce(F.try_element_at(by_step, n), zeros))
+    return F.when(F.size(history) > 0, slots).otherwise(F.array().cast("array<array<float>>"))
+
+
+def attach_branches(
+    samples: DataFrame,
+    branches: dict[str, DataFrame],
+    key: list[str],
+    latents: DataFrame | None = None,
+    history: str = "history_item_ids",
+    mask: str = "history_mask",
+    target: str = "target_item_ids",
+) -> DataFrame:
+    """Add, for every branch (text, image, cf), ``history_<b>_embeds``, ``target_<b>_embed`` and
+    ``pooled_<b>_embed``, and ``target_item_latent`` when ``latents`` are given.
+
+    ``branches`` and ``latents`` hold (item_idx, vec). History slots that are masked or negative have
+    zeros; the pooled vector is the mean over the others, zeros when there are none. A negative target
+    has zeros. An item that is used but has no vector is an error.
+
+    The vectors of all branches are put side by side first and written once, so that histories pass one join by item
+    and one exchange by ``key`` (the samples' own, whatever the number of branches); only valid slots move.
+    """
+    unknown = set(branches) - {"text", "image", "cf"}
+    if unknown:
+        raise ValueError(f"unknown branches {sorted(unknown)}")
+    tables = {**branches, **({"latent": latents} if latents is not None else {})}
+    if not tables:
+        return samples
+    dims = {name: vector_shape(vectors).dim for name, vectors in tables.items()}
+    wide = None
+    for name, vectors in tables.items():
+        one = vectors.select("item_idx", F.col("vec").cast("array<float>").alias(name))
+        wide = one if wide is None else wide.join(one, "item_idx", "full")
+    wide = materialize(wide, "branch-vectors")  # read twice: for histories and for targets
+
+    out = samples
+    if branches:
+        slots = F.arrays_zip(F.col(history).alias("item"), F.col(mask).alias("ok"))
+        steps = samples.select(*key, F.posexplode(slots).alias("step", "slot")).select(*key, "step", "slot.item", F.col("slot.ok").cast("boolean").alias("ok"))
+        found = (
+            steps.filter(F.col("ok") & (F.col("item") >= 0))
+            .join(wide.select(F.col("item_idx").alias("item"), *branches), "item", "left")
+            .select(*key, F.struct("step", *[_vector_or_zeros("item", b, b, dims[b]).alias(b) for b in branches]).alias("found"))
+            .groupBy(*key)
+            .agg(F.sort_array(F.collect_list("found")).alias("_found"))
+        )
+        out = out.join(found, key, "left")
+        for b in branches:
+            total = F.aggregate(f"_found.{b}", F.array_repeat(F.lit(0.0), dims[b]), lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
+            pooled = F.coalesce(V.scale(total, 1.0 / F.size("_found")), F.array_repeat(F.lit(0.0), dims[b]))
+            out = out.withColumns({f"history_{b}_embeds": _by_slot(history, b, dims[b]), f"pooled_{b}_embed": pooled})
+        out = out.drop("_found")
+    renamed = wide.select(F.col("item_idx").alias(target), *[F.col(n).alias(f"_target_{n}") for n in tables])
+    out = out.join(renamed, target, "left")
+    wanted = {("target_item_latent" if n == "latent" else f"target_{n}_embed"): _vector_or_zeros(target, f"_target_{n}", n, d) for n, d in dims.items()}
+    out = out.withColumns(wanted)
+    added = [c for c in OPTIONAL_COLUMNS if c in out.columns and c not in samples.columns]
+    return out.select(*samples.columns, *added)

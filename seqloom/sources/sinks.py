@@ -6,12 +6,21 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.operators.checks import require_columns
+from seqloom.operators.checks import require_columns, vector_shape
 from seqloom.operators.codes import TokenLayout, code_groups
 
 # Kinds of vectors a manifest may name.
 SOURCE_TYPES = ("text", "image", "cf", "vlm", "fusion")
 
+# Stages of a pipeline manifest, their required keys, and the optional ones with defaults.
+STAGES = {
+    "raw_data": (("dataset_name", "dataset_root", "reviews_path", "meta_path", "image_root"), {"item_embeddings_path": None}),
+    "preprocessing": (("output_root", "split_mode", "history_len", "chunk_size"), {"stats_paths": {}}),
+    "embeddings": (("source_name", "source_type", "matrix_path", "dim"), {"item_count": None, "metadata": {}}),
+    "fusion": (("enabled", "strategy"), {"source_names": [], "output_path": None, "output_dim": None, "metadata": {}}),
+    "quantization": (("method", "input_path", "output_root"), {"code_shape": None, "metadata": {}}),
+}
+
 
 def _mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "errorifexists"
@@ -121,3 +130,50 @@ def manifest_row(spark: SparkSession, stage: str, payload: dict) -> DataFrame:
 
 def write_manifest(spark: SparkSession, path: str, stage: str, payload: dict, overwrite: bool = False) -> None:
     manifest_row(spark, stage, payload).coalesce(1).write.mode(_mode(overwrite)).json(path)
+
+
+def stage_entry(stage: str, **given) -> dict:
+    """One stage's part of a pipeline manifest; missing and unknown keys are errors."""
+    if stage not in STAGES:
+        raise ValueError(f"unknown stage {stage!r}; expected one of {tuple(STAGES)}")
+    required, optional = STAGES[stage]
+    missing, unknown = [k for k in required if k not in given], [k for k in given if k not in (*required, *optional)]
+    if missing or unknown:
+        raise ValueError(f"stage {stage!r}: missing keys {missing}, unknown keys {unknown}")
+    if stage == "embeddings" and given["source_type"] not in SOURCE_TYPES:
+        raise ValueError(f"unknown source type {given['source_type']!r}; expected one of {SOURCE_TYPES}")
+    return {k: given.get(k, optional.get(k)) for k in (*required, *optional)}
+
+
+def vector_stage(vectors: DataFrame, name: str, source_type: str, path: str, **metadata) -> dict:
+    """The manifest part of stored vectors; their dimension and number are counted."""
+    shape = vector_shape(vectors)
+    return stage_entry(
+        "embeddings", source_name=name, source_type=source_type, matrix_path=path, dim=shape.dim, item_count=shape.rows, metadata=metadata
+    )
+
+
+def pipeline_manifest(raw_data: dict, preprocessing: dict, embeddings: list[dict] = (), fusion: dict | None = None, quantization: dict | None = None) -> dict:
+    """All stages in one payload, each checked; stages not given are null, vectors are a list."""
+    checked = lambda stage, given: None if given is None else stage_entry(stage, **given)
+    return {
+        "raw_data": checked("raw_data", raw_data),
+        "preprocessing": checked("preprocessing", preprocessing),
+        "embeddings": [checked("embeddings", e) for e in embeddings],
+        "fusion": checked("fusion", fusion),
+        "quantization": checked("quantization", quantization),
+    }
+
+
+def stats_row(samples: DataFrame, written: DataFrame, settings: dict) -> DataFrame:
+    """Per split: samples before chunking, written and dropped, chunks written, users and items in targets;
+    ``settings`` become further columns. Both tables are aggregated, never collected."""
+    before = samples.groupBy("split").agg(
+        F.count(F.lit(1)).alias("total_samples_before_chunk_drop"),
+        F.countDistinct("user_idx").alias("num_users"),
+        F.countDistinct("target").alias("num_items"),
+    )
+    kept = written.groupBy("split").agg(F.count(F.lit(1)).alias("total_samples_written"), F.countDistinct("chunk_id").alias("num_chunks_written"))
+    both = before.join(kept, "split", "left").fillna(0, ["total_samples_written", "num_chunks_written"])
+    dropped = (F.col("total_samples_before_chunk_drop") - F.col("total_samples_written")).alias("dropped_tail_samples")
+    return both.select("*", dropped, *[F.lit(v).alias(k) for k, v in settings.items()])

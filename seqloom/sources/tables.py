@@ -29,10 +29,31 @@ def dummy_vectors(item_map: DataFrame, dim: int = 128, seed: int = 0) -> DataFra
     return item_map.select("item_idx", vec.alias("vec"))
 
 
+def split_root(spark: SparkSession, root: str, split: str) -> str:
+    """Where the samples of a split are: ``<root>/<split>``, else ``<root>/split=<split>``, else
+    ``<root>`` itself; the first of them that holds Parquet files, directly or in chunk folders."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    for folder in (f"{root}/{split}", f"{root}/split={split}", root):
+        files = Path(f"{folder}/{{*.parquet,chunk_*/*.parquet}}")
+        if files.getFileSystem(conf).globStatus(files):
+            return folder
+    raise ValueError(f"no samples for split {split!r} under {root}")
+
+
 def read_samples(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """Stored samples of one split (pruned by folder); unsplit tables are read whole."""
-    samples = spark.read.parquet(path)
-    if split is None or "split" not in samples.columns:
+    """Stored samples, whole or of one split (pruned by folder).
+
+    A split is read from its ``split_root``; where that is ``path`` itself, the rows of the split are
+    taken, or all rows when the table has no column ``split``.
+    """
+    if split is None:
+        return spark.read.parquet(path)
+    root = split_root(spark, path, split)
+    if root == f"{path}/split={split}":  # read from the top, so that the folder's value becomes a column
+        return spark.read.parquet(path).filter(F.col("split") == split)
+    samples = spark.read.option("recursiveFileLookup", True).parquet(root)
+    if root == f"{path}/{split}" or "split" not in samples.columns:
         return samples
     chosen = samples.filter(F.col("split") == split)
     if chosen.isEmpty():

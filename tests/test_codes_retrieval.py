@@ -231,3 +231,25 @@ def test_group_summary_keeps_names(spark):
     freq = spark.createDataFrame([(0, 1), (1, 2), (2, 9)], "item_idx int, freq bigint")
     out = sorted(map(tuple, P.group_summary(P.popularity_groups(freq)).collect()))
     assert out == [(0, "cold", 1, 1, 1, 1.0), (1, "mid", 1, 2, 2, 2.0), (2, "hot", 1, 9, 9, 9.0)]
+
+
+def test_attached_branches(spark):
+    samples = spark.createDataFrame(
+        [(0, [-1, 1, 0], [False, True, True], 1), (1, [-1, -1, -1], [False] * 3, -1), (2, [1, 1, 1], [True, True, False], 0), (3, [], [], 0)],
+        "id int, history_item_ids array<int>, history_mask array<boolean>, target_item_ids int",
+    )
+    text = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 6.0])], "item_idx int, vec array<double>")
+    cf = spark.createDataFrame([(0, [5.0]), (1, [7.0])], "item_idx int, vec array<double>")
+    out = B.attach_branches(samples, {"text": text, "cf": cf}, ["id"], latents=text)
+    assert out.columns == [*samples.columns, *[c for c in B.OPTIONAL_COLUMNS if "image" not in c]]
+    got = {r.id: r for r in out.collect()}
+    assert got[0].history_text_embeds == [[0, 0], [3, 6], [1, 2]] and got[0].pooled_text_embed == [2, 4] and got[0].pooled_cf_embed == [6]
+    assert got[1].history_cf_embeds == [[0]] * 3 and got[1].target_text_embed == got[1].pooled_text_embed == got[1].target_item_latent == [0, 0]
+    assert got[2].history_cf_embeds == [[7], [7], [0]] and got[2].target_cf_embed == [5] and got[2].target_item_latent == [1, 2]
+    assert got[3].history_text_embeds == [] and got[3].pooled_text_embed == [0, 0]
+    assert B.attach_branches(samples.limit(0), {"text": text}, ["id"]).count() == 0
+    assert B.attach_branches(samples, {}, ["id"]).columns == samples.columns
+    with pytest.raises(Exception, match="no text vector"):
+        B.attach_branches(samples, {"text": text.filter("item_idx = 0")}, ["id"]).collect()
+    with pytest.raises(ValueError, match="audio"):
+        B.attach_branches(samples, {"audio": text}, ["id"])

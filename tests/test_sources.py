@@ -215,3 +215,39 @@ def test_json_maps_of_any_layout_in_small_byte_ranges(spark, rows, tmp_path, lay
                 Tb.read_id_map_json(spark, str(tmp_path / f"wrong{len(text)}")).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_split_roots(spark, tmp_path):
+    one = lambda n, split=None: spark.range(n).withColumn("split", F.lit(split)) if split else spark.range(n)
+    own, parts, flat, chunks = (str(tmp_path / n) for n in ("own", "parts", "flat", "chunks"))
+    one(3).write.parquet(f"{own}/train")
+    one(5).write.parquet(f"{own}/val")
+    one(2, "train").union(one(4, "val")).write.partitionBy("split").parquet(parts)
+    one(7).write.parquet(flat)
+    for n in (0, 1):
+        one(3).write.parquet(f"{chunks}/test/chunk_{n}")
+    assert [Tb.read_samples(spark, own, s).count() for s in ("train", "val")] == [3, 5]
+    assert [Tb.read_samples(spark, parts, s).count() for s in ("train", "val")] == [2, 4]
+    assert Tb.split_root(spark, flat, "train") == flat and Tb.read_samples(spark, flat, "train").count() == 7
+    assert Tb.read_samples(spark, chunks, "test").count() == 6
+    for root, split in ((own, "test"), (parts, "test"), (str(tmp_path / "none"), "train")):
+        with pytest.raises(ValueError, match="no samples"):
+            Tb.read_samples(spark, root, split)
+
+
+def test_stage_manifests(spark, rows):
+    vecs = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.0, 1.0])], "item_idx int, vec array<double>")
+    entry = S.vector_stage(vecs, "titles", "text", "/v", model="hashed")
+    assert entry == {"source_name": "titles", "source_type": "text", "matrix_path": "/v", "dim": 2, "item_count": 2, "metadata": {"model": "hashed"}}
+    raw = dict(dataset_name="d", dataset_root="/r", reviews_path="/a", meta_path="/b", image_root="/c")
+    pre = dict(output_root="/o", split_mode="split", history_len=50, chunk_size=1000)
+    whole = S.pipeline_manifest(raw, pre, [entry])
+    assert whole["raw_data"]["item_embeddings_path"] is None and whole["fusion"] is None and whole["embeddings"] == [entry]
+    assert json.loads(S.manifest_row(spark, "pipeline", whole).first()["payload"]) == whole
+    for stage, given in (("embeddings", {**entry, "source_type": "audio"}), ("fusion", {"enabled": True}), ("raw_data", {**raw, "more": 1}), ("other", {})):
+        with pytest.raises(ValueError):
+            S.stage_entry(stage, **given)
+    samples = spark.createDataFrame([("train", u, u % 2) for u in range(5)] + [("val", 1, 1)], "split string, user_idx int, target int")
+    written = samples.filter("split = 'train' and user_idx < 4").withColumn("chunk_id", F.expr("user_idx div 2"))
+    got = rows(S.stats_row(samples, written, {"k_core": 5}), "split", "total_samples_before_chunk_drop", "total_samples_written", "dropped_tail_samples", "num_chunks_written", "k_core")
+    assert got == [("train", 5, 4, 1, 2, 5), ("val", 1, 0, 1, 0, 5)]
