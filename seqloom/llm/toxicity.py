@@ -1,15 +1,16 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms of a text are its distinct words and the beginnings of its longer words, hashed to 2^40
+Terms of a text are its distinct words and the beginnings of its longer words, hashed to 2^22
 buckets. The machine adds to linear weights the products of low-rank vectors of every two terms
 that occur together, so that a pair can count for more than its parts. It is fitted on a bounded
-sample of labelled rows (``fit_rows``, the ones with the smallest hashes of their ids): term counts
-by class are summed on the cluster, the ``terms`` buckets that tell the classes apart best (by
-chi-square) are kept, and mini-batch gradient steps run over the sample's rows of kept buckets.
+sample of labelled rows (``fit_rows``, the ones with the smallest hashes of their ids), over all
+buckets of their whole texts that tell the classes apart by more than chance (``false_share``), however
+many or rare these are. Other buckets weigh nothing. A model has at most 2^22 rows of 40 bytes.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,65 +22,69 @@ from seqloom.llm.common import id_remainder, text_of, utf8_slices
 from seqloom.llm.words import LETTERS, find_words
 from seqloom.session import materialize
 
-_BITS = 40
+_BITS = 22
 _BEGINNINGS = (4, 5)
 
 
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows; no run is empty."""
+    return np.add.reduceat(values, starts, axis=0) if len(starts) else values[:0]
+
+
 @dataclass
 class FactorizationMachine:
-    terms: np.ndarray  # sorted buckets
+    """Buckets in order; of each, its linear weight and then its factors."""
+
+    terms: np.ndarray
     bias: float
-    weights: np.ndarray
-    factors: np.ndarray
+    table: np.ndarray
+
+    def places(self) -> np.ndarray:
+        """Place of every bucket among the terms; -1 where the model has none."""
+        where = np.full(1 << _BITS, -1, np.int32)
+        where[self.terms] = np.arange(len(self.terms), dtype=np.int32)
+        return where
 
     def score(self, rows: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
-        """Probabilities of n texts from (row, place of term) pairs, each of which occurs once."""
-        linear = np.bincount(rows, self.weights[places], n)
-        pairs = np.zeros(n)
-        for f in self.factors.T:
-            v = f[places]
-            pairs += np.bincount(rows, v, n) ** 2 - np.bincount(rows, v * v, n)
-        return 1 / (1 + np.exp(-np.clip(self.bias + linear + pairs / 2, -50, 50)))
+        """Probabilities of n texts from (row, place of term) pairs in order, each of which occurs once."""
+        x = self.table[places].astype(np.float64)
+        starts = np.flatnonzero(np.diff(rows, prepend=-1))
+        z = np.full(n, self.bias)
+        z[rows[starts]] += _margins(x, starts)[0]
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def _margins(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linear part and pair products of each run of terms, and the sums they come from."""
+    total = _sums(x, starts)
+    own = _sums(np.einsum("ij,ij->i", x[:, 1:], x[:, 1:]), starts)
+    return total[:, 0] + (np.einsum("ij,ij->i", total[:, 1:], total[:, 1:]) - own) / 2, total
 
 
-def _term_pairs(buf: np.ndarray, offsets: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, bucket) pairs of a run of texts, in order; of the buckets in ``only`` if given."""
+def _term_pairs(buf: np.ndarray, offsets: np.ndarray, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, bucket) pairs of a run of texts, in order; with ``places``, the places of known buckets."""
     words = find_words(buf, offsets, LETTERS, _BEGINNINGS)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(words.first))
-    rows, buckets = [], []
+    pairs = []
     for k, h in enumerate((words.hashes, *words.starts)):
         bucket = (h >> np.uint64(64 - _BITS)).astype(np.int64)
-        here = row
-        if k:
-            bucket, here = bucket[h != 0], here[h != 0]
-        if only is not None:
-            coarse = np.zeros(1 << 20, bool)
-            coarse[only >> (_BITS - 20)] = True
-            maybe = coarse[bucket >> (_BITS - 20)]
-            bucket, here = bucket[maybe], here[maybe]
-            sure = only[np.minimum(np.searchsorted(only, bucket), len(only) - 1)] == bucket if len(only) else bucket < 0
-            bucket, here = bucket[sure], here[sure]
-        rows.append(here)
-        buckets.append(bucket)
-    rows, buckets = np.concatenate(rows), np.concatenate(buckets)
-    order = np.lexsort((buckets, rows))
-    rows, buckets = rows[order], buckets[order]
-    first = np.ones(len(rows), bool)
-    first[1:] = (rows[1:] != rows[:-1]) | (buckets[1:] != buckets[:-1])
-    return rows[first], buckets[first]
-
-
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """label, text -> bucket, texts, marked (texts with label 1)."""
+        known = h != 0 if k else np.ones(len(h), bool)
+        if places is not None:
+            bucket = places[bucket].astype(np.int64)
+            known &= bucket >= 0
+        pairs.append((row[known] << _BITS) | bucket[known])
+    found = np.unique(np.concatenate(pairs))
+    return found >> _BITS, found & ((1 << _BITS) - 1)
+
+
+def _labelled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """label, text -> label, buckets of the whole text."""
     for batch in batches:
-        label = batch.column(0).to_numpy(zero_copy_only=False)
         for lo, hi, buf, offsets in utf8_slices(batch.column(1)):
             rows, buckets = _term_pairs(buf, offsets)
-            found, where, texts = np.unique(buckets, return_inverse=True, return_counts=True)
-            marked = np.bincount(where, label[lo:hi][rows], len(found)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found), pa.array(texts.astype(np.int64)), pa.array(marked)], names=["bucket", "texts", "marked"]
-            )
+            ends = pa.array(np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(buckets.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["label", "buckets"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, held_out: int = 5) -> DataFrame:
@@ -96,72 +101,91 @@ def fit(
     labels: DataFrame,
     label: str = "toxic",
     fit_rows: int = 24_000,
-    terms: int = 256,
     rank: int = 8,
-    epochs: int = 15,
+    epochs: int = 12,
     rate: float = 0.02,
     decay: float = 1e-4,
     seed: int = 7,
+    false_share: float = 0.5,
 ) -> FactorizationMachine:
-    """Without labelled rows every text scores one half; with one class only, near its label."""
+    """Without labelled rows every text scores one half; with one class only, near its label.
+
+    Null and empty texts have no terms and teach only the bias. ``false_share`` is the part of the
+    terms that may have been chosen by chance.
+    """
     sample = labelled_sample(docs, labels, label, fit_rows)
-    n, ones = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    none = np.zeros(0, np.int64)
+    # Bounded by fit_rows: a list of buckets for each of these texts.
+    rows = sample.mapInArrow(_labelled_terms, "label int, buckets array<int>").toArrow().combine_chunks()
+    marks = rows["label"].to_numpy().astype(np.float32)
+    n, ones = len(marks), float(marks.sum())
     bias = float(np.log((ones + 0.5) / (n - ones + 0.5)))
     if n == 0 or ones in (0, n):
-        return FactorizationMachine(none, bias, np.zeros(0), np.zeros((0, rank)))
-    counts = sample.mapInArrow(_count_terms, "bucket bigint, texts bigint, marked bigint").groupBy("bucket").agg(
-        F.sum("texts").alias("texts"), F.sum("marked").alias("marked")
-    )
-    expected = F.col("texts") * F.lit(ones / n)
-    chi = (F.col("marked") - expected) ** 2 / (expected * F.lit(1 - ones / n) * (1 - F.col("texts") / F.lit(n + 1.0)))
-    best = counts.filter("texts >= 5").orderBy(chi.desc(), "bucket").limit(terms).select("bucket").collect()
-    kept = np.sort(np.array([r[0] for r in best], np.int64))
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, buf, offsets in utf8_slices(batch.column(1)):
-                rows, buckets = _term_pairs(buf, offsets, kept)
-                ends = np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int32)
-                places = pa.array(np.searchsorted(kept, buckets).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), places)], names=["label", "places"]
-                )
+        return FactorizationMachine(np.zeros(0, np.int32), bias, np.zeros((0, rank + 1), np.float32))
+    lists = rows["buckets"].combine_chunks()
+    return _train(lists.offsets.to_numpy(), lists.values.to_numpy(), marks, bias, rank, epochs, rate, decay, seed, false_share)
 
-    rows = sample.mapInArrow(known, "label int, places array<int>").collect()
-    return _train(kept, [r[1] for r in rows], np.array([r[0] for r in rows], float), bias, rank, epochs, rate, decay, seed)
 
+def _telling(first, buckets, label, false_share) -> np.ndarray:
+    """Buckets whose texts' classes differ from all texts' by more than chance, however many there are.
 
-def _train(kept, places, label, bias, rank, epochs, rate, decay, seed) -> FactorizationMachine:
-    """Adam on the mean log-loss, over mini-batches."""
+    A bucket's chance is bounded by its relative entropy (exact where all its texts are of one class).
+    The bound on it is the largest at which chance would bring ``false_share`` of the chosen ones, or
+    fewer. Buckets of one text are not asked: their text can be told by nothing but itself.
+    """
+    texts = np.bincount(buckets, minlength=1 << _BITS)
+    marked = np.bincount(buckets, np.repeat(label, np.diff(first)), 1 << _BITS)
+    found = np.flatnonzero(texts >= 2)
+    n, k, share = texts[found], marked[found], float(label.mean())
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chance = np.exp(-np.nan_to_num(k * np.log(k / (n * share))) - np.nan_to_num((n - k) * np.log((n - k) / (n * (1 - share)))))
+    rank = np.arange(1, len(found) + 1)
+    passed = np.flatnonzero(np.sort(chance) * len(found) <= false_share * rank)
+    least = np.sort(chance)[passed[-1]] if len(passed) else 0
+    return found[chance <= least].astype(np.int32)
+
+
+def _train(first, buckets, label, bias, rank, epochs, rate, decay, seed, false_share, batch_rows=256) -> FactorizationMachine:
+    """Adam on the mean log-loss over mini-batches, which are dealt once and visited in another order each epoch."""
     rng = np.random.default_rng(seed)
-    order = sorted(range(len(places)), key=lambda i: (places[i], label[i]))  # whatever order rows came in
-    places, label = [np.array(places[i], np.int64) for i in order], label[order]
-    m = len(kept)
-    theta = np.concatenate([np.zeros((m, 1)), rng.normal(0, 0.05, (m, rank))], 1)
-    first, second, t = np.zeros_like(theta), np.zeros_like(theta), 0
+    terms = _telling(first, buckets, label, false_share)
+    place = FactorizationMachine(terms, bias, np.zeros((0, 0))).places()
+    known = place[buckets] >= 0
+    first, buckets = np.concatenate([[0], np.cumsum(known)])[first], buckets[known]
+    # The rows' order comes from their content, not from the order they arrived in.
+    digest = [zlib.crc32(buckets[lo:hi].tobytes()) for lo, hi in zip(first[:-1], first[1:])]
+    order = np.lexsort((label, digest, np.diff(first)))
+    order = order[rng.permutation(len(order))]
+    theta = np.concatenate([np.zeros((len(terms), 1)), rng.normal(0, 0.05, (len(terms), rank))], 1).astype(np.float32)
+    mean, square, t = np.zeros_like(theta), np.zeros_like(theta), 0
+    batches = [order[at : at + batch_rows] for at in range(0, len(order), batch_rows)]
     for _ in range(epochs):
-        shuffled = rng.permutation(len(places))
-        for at in range(0, len(shuffled), 256):
-            batch = shuffled[at : at + 256]
-            idx = np.concatenate([places[i] for i in batch])
-            if len(idx) == 0:
+        for b in rng.permutation(len(batches)):
+            some = batches[b][first[batches[b] + 1] > first[batches[b]]]
+            size = first[some + 1] - first[some]
+            z, total = np.full(len(batches[b]), bias, np.float32), None
+            if len(some):
+                idx = place[np.concatenate([buckets[first[i] : first[i + 1]] for i in some])]
+                x = theta[idx]
+                margin, total = _margins(x, np.cumsum(size) - size)
+                z = np.concatenate([bias + margin, z[len(some) :]])
+            goal = np.concatenate([label[some], label[batches[b][first[batches[b] + 1] == first[batches[b]]]]])
+            error = ((1 / (1 + np.exp(-np.clip(z, -50, 50))) - goal) / len(goal)).astype(np.float32)
+            bias -= rate * float(error.sum())
+            if not len(some):
                 continue
-            row = np.repeat(np.arange(len(batch)), [len(places[i]) for i in batch])
-            x = theta[idx]
-            total = np.stack([np.bincount(row, x[:, c], len(batch)) for c in range(rank + 1)], 1)
-            own = np.stack([np.bincount(row, x[:, c] ** 2, len(batch)) for c in range(1, rank + 1)], 1)
-            z = bias + total[:, 0] + ((total[:, 1:] ** 2) - own).sum(1) / 2
-            error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - label[batch]) / len(batch)
-            grad_x = np.concatenate([np.ones((len(idx), 1)), total[row][:, 1:] - x[:, 1:]], 1) * error[row][:, None]
-            used, where = np.unique(idx, return_inverse=True)
-            grad = np.stack([np.bincount(where, grad_x[:, c], len(used)) for c in range(rank + 1)], 1) + decay * theta[used]
-            bias -= rate * error.sum()
+            grad = np.repeat(total, size, axis=0)
+            grad -= x
+            grad[:, 0] = 1
+            grad *= np.repeat(error[: len(some)], size)[:, None]
+            by = np.argsort(idx, kind="stable")
+            starts = np.flatnonzero(np.diff(idx[by], prepend=-1))
+            used = idx[by][starts]
+            grad = _sums(grad[by], starts) + np.float32(decay) * theta[used]
             t += 1
-            first[used] = 0.9 * first[used] + 0.1 * grad
-            second[used] = 0.999 * second[used] + 0.001 * grad**2
-            theta[used] -= rate * (first[used] / (1 - 0.9**t)) / (np.sqrt(second[used] / (1 - 0.999**t)) + 1e-8)
-    return FactorizationMachine(kept, float(bias), theta[:, 0].copy(), theta[:, 1:].copy())
+            m, v = 0.9 * mean[used] + 0.1 * grad, 0.999 * square[used] + 0.001 * grad**2
+            mean[used], square[used] = m, v
+            theta[used] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return FactorizationMachine(terms, float(bias), theta)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
@@ -177,10 +201,10 @@ def score(docs: DataFrame, model: FactorizationMachine, keep: list[str], text: s
     schema = kept.drop("whole_text").withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = model.places()
         for batch in batches:
             for lo, hi, buf, offsets in utf8_slices(batch.column(len(own))):
-                rows, buckets = _term_pairs(buf, offsets, model.terms)
-                p = model.score(rows, np.searchsorted(model.terms, buckets), hi - lo)
+                p = model.score(*_term_pairs(buf, offsets, places), hi - lo)
                 columns = [batch.column(i).slice(lo, hi - lo) for i in range(len(own))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(p)], names=[*own, "score"])
 

@@ -262,6 +262,36 @@ def test_op7_pairs_and_prefixes(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0)), ["doc_id"]).filter("score != 0.5").count() == 0
 
 
+def test_op7_rare_terms(spark):
+    rng = np.random.default_rng(9)
+    names = ["".join(chr(97 + c) for c in rng.integers(0, 26, 8)) for _ in range(300)]
+    which = rng.integers(0, 600, 3000)  # half of the texts hold one of 300 rare words, about five times each
+    docs = make(spark, [prose(i, 20, 60) + (f" {names[w]}." if w < 300 else "") for i, w in enumerate(which)])
+    labels = spark.createDataFrame([(i, int(w < 300)) for i, w in enumerate(which)], "doc_id bigint, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id"]).collect()}
+    held = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5 == 0]
+    learned = {w for i, w in enumerate(which) if i not in set(held)}
+    assert np.mean([got[i] >= 0.5 for i in held if which[i] < 300 and which[i] in learned]) > 0.9
+    assert np.mean([got[i] >= 0.5 for i in held if which[i] >= 300]) < 0.03
+
+
+def test_op7_scores_like_all_pairs(spark):
+    rng = np.random.default_rng(10)
+    docs = make(spark, [prose(i, 12, 40) for i in range(40)] + ["", None, "same same", "same same"])
+    buckets = []
+    for row in docs.orderBy("doc_id").collect():
+        text = (row.text or "").encode()
+        buckets.append(toxicity._term_pairs(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[1])
+    terms = np.unique(np.concatenate(buckets))[::2]
+    table = rng.normal(0, 0.3, (len(terms), 4)).astype(np.float32)
+    model = toxicity.FactorizationMachine(terms.astype(np.int32), 0.2, table)
+    got = [r.score for r in toxicity.score(docs, model, ["doc_id"]).orderBy("doc_id").collect()]
+    for own, score in zip(buckets, got, strict=True):
+        x = table[np.isin(terms, own)].astype(float)
+        z = 0.2 + x[:, 0].sum() + sum(x[i, 1:] @ x[j, 1:] for i in range(len(x)) for j in range(i))
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-6
+
+
 def test_op8_matches_brute_force(spark):
     import regex
 
