@@ -77,14 +77,16 @@ def _term_pairs(buf: np.ndarray, offsets: np.ndarray, places: np.ndarray | None
     return found >> _BITS, found & ((1 << _BITS) - 1)
 
 
-def _labelled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """label, text -> label, buckets of the whole text."""
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """label, text -> bucket, texts, marked (texts with label 1)."""
     for batch in batches:
+        label = batch.column(0).to_numpy(zero_copy_only=False)
         for lo, hi, buf, offsets in utf8_slices(batch.column(1)):
             rows, buckets = _term_pairs(buf, offsets)
-            ends = pa.array(np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int32))
-            lists = pa.ListArray.from_arrays(ends, pa.array(buckets.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["label", "buckets"])
+            found, where, texts = np.unique(buckets, return_inverse=True, return_counts=True)
+            marked = np.bincount(where, label[lo:hi][rows], len(found))
+            columns = [pa.array(v.astype(np.int32)) for v in (found, texts, marked)]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "texts", "marked"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, held_out: int = 5) -> DataFrame:
@@ -114,45 +116,55 @@ def fit(
     terms that may have been chosen by chance.
     """
     sample = labelled_sample(docs, labels, label, fit_rows)
-    # Bounded by fit_rows: a list of buckets for each of these texts.
-    rows = sample.mapInArrow(_labelled_terms, "label int, buckets array<int>").toArrow().combine_chunks()
-    marks = rows["label"].to_numpy().astype(np.float32)
-    n, ones = len(marks), float(marks.sum())
+    n, ones = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     bias = float(np.log((ones + 0.5) / (n - ones + 0.5)))
+    model = FactorizationMachine(np.zeros(0, np.int32), bias, np.zeros((0, rank + 1), np.float32))
     if n == 0 or ones in (0, n):
-        return FactorizationMachine(np.zeros(0, np.int32), bias, np.zeros((0, rank + 1), np.float32))
-    lists = rows["buckets"].combine_chunks()
-    return _train(lists.offsets.to_numpy(), lists.values.to_numpy(), marks, bias, rank, epochs, rate, decay, seed, false_share)
+        return model
+    counts = sample.mapInArrow(_count_terms, "bucket int, texts int, marked int").groupBy("bucket").agg(
+        F.sum("texts").cast("int").alias("texts"), F.sum("marked").cast("int").alias("marked")
+    )
+    # At most 2^22 rows of 12 bytes; a bucket of one text can be told by nothing but that text.
+    model.terms = _telling(counts.filter("texts >= 2").toArrow(), ones / n, false_share)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = model.places()
+        for batch in batches:
+            for lo, hi, buf, offsets in utf8_slices(batch.column(1)):
+                rows, found = _term_pairs(buf, offsets, places)
+                ends = pa.array(np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(found.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["label", "places"])
+
+    # Bounded by fit_rows: of each of these texts the terms that tell something.
+    rows = sample.mapInArrow(known, "label int, places array<int>").toArrow().combine_chunks()
+    lists = rows["places"].combine_chunks()
+    label_of = rows["label"].to_numpy().astype(np.float32)
+    return _train(model, lists.offsets.to_numpy(), lists.values.to_numpy(), label_of, rank, epochs, rate, decay, seed)
 
 
-def _telling(first, buckets, label, false_share) -> np.ndarray:
+def _telling(counts: pa.Table, share: float, false_share: float) -> np.ndarray:
     """Buckets whose texts' classes differ from all texts' by more than chance, however many there are.
 
     A bucket's chance is bounded by its relative entropy (exact where all its texts are of one class).
     The bound on it is the largest at which chance would bring ``false_share`` of the chosen ones, or
-    fewer. Buckets of one text are not asked: their text can be told by nothing but itself.
+    fewer.
     """
-    texts = np.bincount(buckets, minlength=1 << _BITS)
-    marked = np.bincount(buckets, np.repeat(label, np.diff(first)), 1 << _BITS)
-    found = np.flatnonzero(texts >= 2)
-    n, k, share = texts[found], marked[found], float(label.mean())
+    n, k = (counts[c].to_numpy().astype(float) for c in ("texts", "marked"))
     with np.errstate(divide="ignore", invalid="ignore"):
         chance = np.exp(-np.nan_to_num(k * np.log(k / (n * share))) - np.nan_to_num((n - k) * np.log((n - k) / (n * (1 - share)))))
-    rank = np.arange(1, len(found) + 1)
-    passed = np.flatnonzero(np.sort(chance) * len(found) <= false_share * rank)
-    least = np.sort(chance)[passed[-1]] if len(passed) else 0
-    return found[chance <= least].astype(np.int32)
+    ascending = np.sort(chance)
+    passed = np.flatnonzero(ascending * len(n) <= false_share * np.arange(1, len(n) + 1))
+    least = ascending[passed[-1]] if len(passed) else -1
+    return np.sort(counts["bucket"].to_numpy()[chance <= least])
 
 
-def _train(first, buckets, label, bias, rank, epochs, rate, decay, seed, false_share, batch_rows=256) -> FactorizationMachine:
+def _train(model, first, places, label, rank, epochs, rate, decay, seed, batch_rows=256) -> FactorizationMachine:
     """Adam on the mean log-loss over mini-batches, which are dealt once and visited in another order each epoch."""
     rng = np.random.default_rng(seed)
-    terms = _telling(first, buckets, label, false_share)
-    place = FactorizationMachine(terms, bias, np.zeros((0, 0))).places()
-    known = place[buckets] >= 0
-    first, buckets = np.concatenate([[0], np.cumsum(known)])[first], buckets[known]
+    terms, bias = model.terms, model.bias
     # The rows' order comes from their content, not from the order they arrived in.
-    digest = [zlib.crc32(buckets[lo:hi].tobytes()) for lo, hi in zip(first[:-1], first[1:])]
+    digest = [zlib.crc32(places[lo:hi].tobytes()) for lo, hi in zip(first[:-1], first[1:])]
     order = np.lexsort((label, digest, np.diff(first)))
     order = order[rng.permutation(len(order))]
     theta = np.concatenate([np.zeros((len(terms), 1)), rng.normal(0, 0.05, (len(terms), rank))], 1).astype(np.float32)
@@ -164,7 +176,7 @@ def _train(first, buckets, label, bias, rank, epochs, rate, decay, seed, false_s
             size = first[some + 1] - first[some]
             z, total = np.full(len(batches[b]), bias, np.float32), None
             if len(some):
-                idx = place[np.concatenate([buckets[first[i] : first[i + 1]] for i in some])]
+                idx = np.concatenate([places[first[i] : first[i + 1]] for i in some])
                 x = theta[idx]
                 margin, total = _margins(x, np.cumsum(size) - size)
                 z = np.concatenate([bias + margin, z[len(some) :]])
