@@ -2,12 +2,11 @@
 
 Texts are cut only where they are longer than a sequence: into full pieces, of which the first may
 be shorter. A full piece is a sequence. The others are dealt into bounded groups by a hash, and
-each group is packed by itself, longest piece first: a piece goes where the sum over all gaps of
-the squared number of open sequences with that gap becomes smallest (equal sums: the fuller
-sequence). Sequences that became exactly full stay; the pieces of the others are dealt into new,
-fewer groups, until one group holds them all or hardly any more become full. In these last groups
-the pieces of sequences still open are placed once more, each into the fullest sequence that has
-room, if that saves sequences. Only short rows of lengths move; texts never do.
+each group is packed by itself, longest piece first: of the sequences with room, a piece goes where
+the sum over all gaps of the squared number of open sequences with that gap becomes smallest (equal
+sums: the fuller sequence); a sequence is begun where none has room. Sequences that became exactly
+full stay; the pieces of the others are dealt into new, fewer groups and packed so again, until one
+group holds them all or hardly any more become full. Only short rows of lengths move; texts never do.
 """
 
 from __future__ import annotations
@@ -55,38 +54,12 @@ def token_pieces(
 
 def pack_group(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of every item of one group, by least sum of squares, longest first."""
-    count = np.zeros(capacity + 1, np.int64)
-    never = np.iinfo(np.int64).max
-
-    def level_for(size: int) -> int:
-        last = capacity - size
-        change = 2 * (count[size:capacity] - count[:last]) + 2 if last else np.zeros(0, np.int64)
-        change = np.append(change, 1 - 2 * count[last])  # an exact fit closes its sequence
-        change[count[: last + 1] == 0] = never
-        change[0] = 2 * count[size] + 1 if last else 1  # a new sequence
-        return last - int(np.argmin(change[::-1]))
-
-    return _place(lengths, capacity, count, level_for)
-
-
-def best_fit_group(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same with every item in the fullest sequence that has room for it."""
-    count = np.zeros(capacity + 1, np.int64)
-
-    def level_for(size: int) -> int:
-        fitting = np.flatnonzero(count[: capacity - size + 1])
-        return int(fitting[-1]) if len(fitting) else 0
-
-    return _place(lengths, capacity, count, level_for)
-
-
-def _place(lengths: np.ndarray, capacity: int, count: np.ndarray, level_for) -> tuple[np.ndarray, np.ndarray]:
-    """``count`` holds the number of open sequences by their fill."""
+    count = np.zeros(capacity + 1, np.int64)  # open sequences by their fill
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets, n_bins = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
     for i in np.argsort(-lengths, kind="stable"):
         size = int(lengths[i])
-        level = level_for(size)
+        level = _least_squares(count, size, capacity)
         if level:
             bins[i] = open_bins[level].pop()
             count[level] -= 1
@@ -100,17 +73,15 @@ def _place(lengths: np.ndarray, capacity: int, count: np.ndarray, level_for) ->
     return bins, offsets
 
 
-def finish_group(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place the items of open sequences once more by best fit; kept only if it saves sequences."""
-    still = np.bincount(bins, lengths)[bins] < capacity
-    if not still.any():
-        return bins, offsets
-    again, at = best_fit_group(lengths[still], capacity)
-    if again.max() + 1 >= len(np.unique(bins[still])):
-        return bins, offsets
-    bins, offsets = bins.copy(), offsets.copy()
-    bins[still], offsets[still] = bins.max() + 1 + again, at
-    return bins, offsets
+def _least_squares(count: np.ndarray, size: int, capacity: int) -> int:
+    """Fill of the open sequence to take; 0 (a new one) where none has room."""
+    levels = np.flatnonzero(count[: capacity - size + 1])[::-1]
+    if len(levels) == 0:
+        return 0
+    after = np.append(count, 0)[levels + size]
+    # Leaving a gap with c sequences saves 2c - 1, joining one with c costs 2c + 1; an exact fit joins none.
+    change = np.where(levels + size < capacity, 2 * (after - count[levels]) + 2, 1 - 2 * count[levels])
+    return int(levels[np.argmin(change)])
 
 
 def _pack_round(items: DataFrame, capacity: int, groups: int, round_no: int, last: bool) -> DataFrame:
@@ -120,8 +91,6 @@ def _pack_round(items: DataFrame, capacity: int, groups: int, round_no: int, las
         rows = rows.sort_values(["size", "item"], ascending=[False, True])
         sizes = rows["size"].to_numpy()
         bins, at = pack_group(sizes, capacity)
-        if last:
-            bins, at = finish_group(sizes, bins, at, capacity)
         full = np.bincount(bins, sizes)[bins] == capacity
         number = -((np.int64(round_no) << 56) | (np.int64(rows["grp"].iloc[0]) << 24) | bins) - 1
         return pd.DataFrame({"item": rows["item"].to_numpy(), "size": sizes, "seq": number, "at": at, "full": full | last})

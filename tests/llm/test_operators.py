@@ -406,13 +406,52 @@ def test_op9_packs_without_gaps(spark):
     assert packing.pack_pieces(pieces.limit(0), 64).count() == 0
 
 
+def plain_sum_of_squares(lengths, capacity):
+    """Fills in order of opening, trying every open sequence and counting all gaps anew."""
+    fills, chosen = [], []
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        best = None
+        for b, fill in enumerate(fills):
+            if fill + lengths[i] <= capacity and fill < capacity:
+                after = fills[:b] + [fill + lengths[i]] + fills[b + 1 :]
+                squares = sum(c * c for c in Counter(capacity - f for f in after if f < capacity).values())
+                if best is None or (squares, -fill) < best[:2]:
+                    best = (squares, -fill, b)
+        if best is None:
+            fills.append(0)
+            best = (0, 0, len(fills) - 1)
+        chosen.append(-best[1])
+        fills[best[2]] += lengths[i]
+    return sorted(fills), chosen
+
+
 def test_op9_least_squares_group():
-    lengths = np.random.default_rng(1).integers(1, 65, 500)
-    alone, at = packing.pack_group(lengths, 64)
-    bins, at = packing.finish_group(lengths, alone, at, 64)
-    assert np.bincount(bins, lengths).max() <= 64 and np.bincount(alone, lengths).max() <= 64
-    lower = math.ceil(lengths.sum() / 64)
-    assert lower <= len(np.unique(bins)) <= len(np.unique(alone)) <= 1.1 * lower
+    for seed, most, n in ((1, 64, 120), (2, 12, 150), (3, 3, 60)):
+        lengths = np.random.default_rng(seed).integers(1, most + 1, n)
+        bins, at = packing.pack_group(lengths, 64)
+        fills, chosen = plain_sum_of_squares(lengths.tolist(), 64)
+        assert sorted(np.bincount(bins, lengths).astype(int)) == fills
+        assert at[np.argsort(-lengths, kind="stable")].tolist() == chosen
+    lengths = np.random.default_rng(4).integers(1, 2049, 4000)
+    bins, _ = packing.pack_group(lengths, 2048)
+    lower = max(math.ceil(lengths.sum() / 2048), int((lengths > 1024).sum()))  # no two of the larger half share one
+    assert lower <= bins.max() + 1 <= 1.01 * lower
+    assert packing.pack_group(np.zeros(0, np.int64), 64)[0].tolist() == []
+
+
+def test_op9_crc_of_pieces(spark):
+    from tokenizers import Tokenizer
+
+    texts = [*ODD, *[prose(i, 30 + 9 * i) for i in range(30)]]
+    path = tokens.tokenizer_path(queries.BYTE_TOKENIZER)
+    tokenizer = Tokenizer.from_file(path)
+    expected = []
+    for i, text in enumerate(texts):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        cuts = [0, *range((len(ids) - 1) % 64 + 1, len(ids) + 1, 64)]
+        expected += [(p, lo, hi - lo, zlib.crc32(np.array(ids[lo:hi], "<u4").tobytes())) for p, (lo, hi) in enumerate(zip(cuts, cuts[1:]))]
+    rows = packing.pack_pieces(packing.token_pieces(make(spark, texts), path, True, 0, 64), 64).collect()
+    assert sorted((r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(expected)
 
 
 @pytest.mark.parametrize("part_bytes", [1 << 20, 8])
