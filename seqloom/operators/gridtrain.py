@@ -79,6 +79,10 @@ class _Side:
         sorted_rows = rows[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
         total, own = np.add.reduceat(gradient[order], first, axis=0), sorted_rows[first]
+        self.step_all(own, total, rate)
+
+    def step_all(self, own: np.ndarray, total: np.ndarray, rate: float) -> None:
+        """``step`` with the gradients of distinct rows, added up already."""
         self.moved[own] += (total**2).mean(axis=1)
         self.vec[own] += rate * total / np.sqrt(self.moved[own] + 1e-10)[:, None]
 
@@ -169,6 +173,19 @@ def _ranking(t: Training, left: _Side, right: _Side, u_of, p_of, rng):
     return step
 
 
+def _counted(visits: int, n_left: int, n_right: int) -> bool:
+    """Whether a batch visits its pairs of rows so often that each of them is worth computing once."""
+    return n_left * n_right <= visits
+
+
+def _numbered(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and a table from an id to its place among them."""
+    own = np.flatnonzero(np.bincount(ids, minlength=n))
+    place = np.zeros(n, np.int64)
+    place[own] = np.arange(len(own))
+    return own, place
+
+
 def _skipgram(t: Training, left: _Side, right: _Side, u_of, p_of, rng):
     mass = np.cumsum(right.table["mass"].to_numpy())
 
@@ -176,6 +193,11 @@ def _skipgram(t: Training, left: _Side, right: _Side, u_of, p_of, rng):
         u, p = u_of[rows], p_of[rows]
         drawn = np.searchsorted(mass, rng.random((len(u), t.negatives)) * mass[-1], "right")
         others = np.concatenate([p[:, None], np.minimum(drawn, len(mass) - 1)], axis=1)
+        lefts, left_at = _numbered(u, len(left.vec))
+        rights, right_at = _numbered(others.reshape(-1), len(right.vec))
+        if _counted(others.size, len(lefts), len(rights)):
+            by_count(left_at[u], right_at[others], lefts, rights)
+            return
         x, y = left.vec[u], right.vec[others]
         pull = -_sigmoid(np.einsum("bd,bkd->bk", x, y))
         pull[:, 0] += 1.0
@@ -183,6 +205,17 @@ def _skipgram(t: Training, left: _Side, right: _Side, u_of, p_of, rng):
         left.step(u, np.einsum("bk,bkd->bd", pull, y) - t.reg * x, t.rate)
         right.step(others.reshape(-1), on_right.reshape(-1, x.shape[1]) - t.reg * y.reshape(-1, x.shape[1]), t.rate)
 
+    def by_count(u: np.ndarray, others: np.ndarray, lefts: np.ndarray, rights: np.ndarray) -> None:
+        """The same step, each pair of rows weighing its visits."""
+        shape = len(lefts), len(rights)
+        cell = u[:, None] * shape[1] + others
+        observed = np.bincount(cell[:, 0], minlength=shape[0] * shape[1]).reshape(shape)
+        visits = np.bincount(cell.reshape(-1), minlength=shape[0] * shape[1]).reshape(shape)
+        x, y = left.vec[lefts], right.vec[rights]
+        pull = observed - visits * _sigmoid(x @ y.T)
+        left.step_all(lefts, pull @ y - t.reg * observed.sum(axis=1)[:, None] * x, t.rate)
+        right.step_all(rights, pull.T @ x - t.reg * visits.sum(axis=0)[:, None] * y, t.rate)
+
     return step
 
 

@@ -5,8 +5,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import losses as L, retrieval as R
-from seqloom.operators.gather import as_lists
+from seqloom.operators import gridtrain as G, losses as L, retrieval as R
+from seqloom.operators.gather import as_lists, as_matrix
 
 
 def test_ranking_holds_few_scores_at_once_and_rounds_as_a_whole():
@@ -60,3 +60,29 @@ def test_losses_of_arrays_equal_those_of_rows_without_a_shuffle(spark):
     assert "Exchange" not in probs._jdf.queryExecution().executedPlan().toString()
     got = {r["id"]: r["log_probs"] for r in probs.collect()}
     np.testing.assert_allclose(np.array(got[3]).reshape(2, 7), logits[3] - np.log(np.exp(logits[3]).sum(1, keepdims=True)))
+
+
+def _cell(n_left, n_right, seed=2):
+    rng = np.random.default_rng(seed)
+    width = 6
+    side = lambda kind, n: [(kind, i, 0, rng.normal(size=width).tolist(), 0.0, float(i + 1), None, None) for i in range(n)]
+    pairs = [(2, u, 0, None, None, None, p, int(rng.integers(1, 40))) for u in range(n_left) for p in range(n_right) if rng.random() < 0.7]
+    names = ["kind", "id", "part", "vec", "moved", "mass", "other", "n"]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+    columns = zip(*(side(0, n_left) + side(1, n_right) + pairs))
+    return pa.table([pa.array(list(c), kind) for c, kind in zip(columns, types)], names)
+
+
+def test_skipgram_step_of_a_small_block_computes_each_pair_once(monkeypatch):
+    """Same draws and sums as pair by pair, without a row of floats for every visit."""
+    table, t = _cell(5, 7), G.Training("skipgram", 6, negatives=3, batch=32, reg=0.01)
+    key = (pa.scalar(1),)
+    seen = []
+    monkeypatch.setattr(G._Side, "step", lambda self, rows, gradient, rate: seen.append(len(rows)))
+    dense = G._train_cell(t, (0, 0), 1)(key, table)
+    assert not seen
+    monkeypatch.undo()
+    monkeypatch.setattr(G, "_counted", lambda *a: False)
+    rows = G._train_cell(t, (0, 0), 1)(key, table)
+    np.testing.assert_allclose(as_matrix(dense["vec"]), as_matrix(rows["vec"]), rtol=1e-8, atol=1e-10)
+    np.testing.assert_allclose(dense["moved"].to_numpy(), rows["moved"].to_numpy(), rtol=1e-8)
