@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from seqloom.llm.common import id_remainder, text_of, utf8_slices
 from seqloom.llm.words import LETTERS, find_words
@@ -209,13 +210,17 @@ def score(docs: DataFrame, model: FactorizationMachine, keep: list[str], text: s
     if name in keep:
         raise ValueError(f"the result would have two columns {name!r}")
     own = [f"column_{i}" for i in range(len(keep))]
-    kept = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(keep, own)], text_of(text).alias("whole_text"))
-    schema = kept.drop("whole_text").withColumn("score", F.lit(0.0)).schema
+    kept = [F.col(f"`{c}`").alias(o) for c, o in zip(keep, own)]
+    # A string column that is kept is read where it is: no text goes to the tasks' Python twice.
+    twice = text in keep and docs.schema[text].dataType == StringType()
+    at = keep.index(text) if twice else len(own)
+    kept = docs.select(*kept) if twice else docs.select(*kept, text_of(text).alias("whole_text"))
+    schema = kept.select(*own).withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = model.places()
         for batch in batches:
-            for lo, hi, buf, offsets in utf8_slices(batch.column(len(own))):
+            for lo, hi, buf, offsets in utf8_slices(batch.column(at)):
                 p = model.score(*_term_pairs(buf, offsets, places), hi - lo)
                 columns = [batch.column(i).slice(lo, hi - lo) for i in range(len(own))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(p)], names=[*own, "score"])

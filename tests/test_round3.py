@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.llm import toxicity
 from seqloom.operators import gridtrain as G, losses as L, retrieval as R
 from seqloom.operators.gather import as_lists, as_matrix
 
@@ -86,3 +87,13 @@ def test_skipgram_step_of_a_small_block_computes_each_pair_once(monkeypatch):
     rows = G._train_cell(t, (0, 0), 1)(key, table)
     np.testing.assert_allclose(as_matrix(dense["vec"]), as_matrix(rows["vec"]), rtol=1e-8, atol=1e-10)
     np.testing.assert_allclose(dense["moved"].to_numpy(), rows["moved"].to_numpy(), rtol=1e-8)
+
+
+def test_scored_texts_that_are_kept_go_to_python_once(spark):
+    model = toxicity.FactorizationMachine(np.zeros(0, np.int32), -1.0, np.zeros((0, 9), np.float32))
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string")
+    both = toxicity.score(docs, model, ["doc_id", "text"])
+    assert "whole_text" not in both._jdf.queryExecution().analyzed().toString()
+    rows = {r["doc_id"]: (r["text"], r["score"]) for r in both.collect()}
+    alone = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    assert rows == {1: ("a b", alone[1]), 2: (None, alone[2]), 3: ("", alone[3])}
