@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from seqloom.operators.kcore import KCoreResult, k_core
 from seqloom.operators.ordering import dense_index
 from seqloom.operators.samples import assign_chunks, user_sizes
-from seqloom.operators.sequences import build_samples, index_interactions, number_positions
+from seqloom.operators.sequences import build_samples, index_interactions, number_positions, past_items
 from seqloom.session import materialize
 
 
@@ -25,6 +25,16 @@ class Prepared:
     def samples(self, history_len: int = 50, mode: str = "leave_last_two") -> DataFrame:
         return build_samples(self.positions, history_len, mode)
 
+    def history_names(self, history_len: int = 50) -> DataFrame:
+        """(user_idx, pos, history_items): item ids of the histories, in order.
+
+        A row meets its item's id once, before histories are framed, instead of once for every history
+        it is in. Indexes ascend with ids, so that both order equal times alike.
+        """
+        named = self.indexed.join(self.item_map.select("item_idx", "item_id"), "item_idx").select("user_idx", "item_id", "ts")
+        positions = number_positions(named, item="item_id", longest=self.core.max_user_rows)
+        return past_items(positions, history_len, item="item_id").select("user_idx", "pos", F.col("past").alias("history_items"))
+
     def chunks(
         self, history_len: int = 50, chunk_size: int = 1000, max_samples: int = 0, mode: str = "leave_last_two", drop_tail: bool = False
     ) -> DataFrame:
