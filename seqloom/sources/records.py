@@ -15,6 +15,7 @@ from seqloom.session import materialize
 
 RECORD = "record"
 ORDER = "line_order"
+_IS_JSON = "_is_json"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -83,12 +84,14 @@ class ParsedLines:
 def split_records(lines: DataFrame) -> ParsedLines:
     """Every line goes to ``records`` (strict JSON, else a Python literal) or to ``rejected``.
 
-    Lines that are no JSON objects are written apart; only these are handed to Python. Non-finite
-    numbers become null, sets and tuples lists.
+    Lines that are no JSON objects are written apart; of these, only lines that are no JSON at all are
+    handed to Python. Non-finite numbers become null, sets and tuples lists.
     """
     strict = lines.withColumn(RECORD, F.try_parse_json("value"))
     is_object = F.coalesce(F.schema_of_variant(RECORD).startswith("OBJECT"), F.lit(False))
-    failed = materialize(strict.filter(~is_object).drop(RECORD), "failed-lines")
+    other = strict.filter(~is_object).select(*lines.columns, F.col(RECORD).isNotNull().alias(_IS_JSON))
+    other = materialize(other, "failed-lines")
+    failed = other.filter(~F.col(_IS_JSON)).drop(_IS_JSON)
     schema = StructType([*failed.schema.fields, StructField("again", StringType()), StructField("reason", StringType())])
     tried = materialize(failed.filter(F.col("value").isNotNull()).mapInPandas(_repair, schema), "repaired-lines")
     again = tried.withColumn(RECORD, F.try_parse_json("again"))
@@ -96,7 +99,8 @@ def split_records(lines: DataFrame) -> ParsedLines:
     reason = F.coalesce("reason", F.lit("no JSON value can hold the record"))
     rejected = again.filter(F.col(RECORD).isNull()).select(*lines.columns, reason.alias("reason"))
     missing = failed.filter(F.col("value").isNull()).select(*lines.columns, F.lit("no line").alias("reason"))
-    return ParsedLines(strict.filter(is_object).unionByName(repaired), rejected.unionByName(missing))
+    plain = other.filter(_IS_JSON).select(*lines.columns, F.lit("not a record").alias("reason"))
+    return ParsedLines(strict.filter(is_object).unionByName(repaired), rejected.unionByName(missing).unionByName(plain))
 
 
 def parse_records(lines: DataFrame) -> DataFrame:

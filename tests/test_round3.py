@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import toxicity
 from seqloom.operators import gridtrain as G, losses as L, retrieval as R
-from seqloom.operators.gather import as_lists, as_matrix
+from seqloom.operators.gather import as_lists, as_matrix, item_names
+from seqloom.plans.prepare import prepare
+from seqloom.sources import records as Rc
 
 
 def test_ranking_holds_few_scores_at_once_and_rounds_as_a_whole():
@@ -97,3 +99,28 @@ def test_scored_texts_that_are_kept_go_to_python_once(spark):
     rows = {r["doc_id"]: (r["text"], r["score"]) for r in both.collect()}
     alone = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, ["doc_id"]).collect()}
     assert rows == {1: ("a b", alone[1]), 2: (None, alone[2]), 3: ("", alone[3])}
+
+
+def test_history_names_meet_a_row_once(spark):
+    rows = [(f"u{u}", f"i{(u * 7 + n * n) % 5}", n // 2) for u in range(6) for n in range(8)]
+    p = prepare(spark.createDataFrame(rows, "user_id string, item_id string, ts long"), 2)
+    got = p.history_names(3)
+    want = item_names(p.samples(3), p.item_map, ["user_idx", "pos"])
+    key = lambda df: sorted((r["user_idx"], r["pos"], tuple(r["history_items"])) for r in df.collect())
+    assert key(got) == key(want)
+    assert "posexplode" not in got._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_json_that_is_no_record_is_not_handed_to_python(spark, monkeypatch):
+    kept = []
+    real = Rc.materialize
+    monkeypatch.setattr(Rc, "materialize", lambda df, label, *a: kept.append((label, real(df, label, *a))) or kept[-1][1])
+    values = ["[1, 2]", "3", "null", '"x"', "{'a': 1}", "{broken", '{"a": 1}', None]
+    lines = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "value string, line_order int")
+    parsed = Rc.split_records(lines)
+    assert {r["line_order"] for r in parsed.records.collect()} == {4, 6}
+    assert {r["line_order"]: r["reason"] for r in parsed.rejected.collect()} == {
+        0: "not a record", 1: "not a record", 2: "not a record", 3: "not a record", 5: "neither JSON nor a literal", 7: "no line"
+    }
+    tried = dict(kept)["repaired-lines"]
+    assert {r["line_order"] for r in tried.collect()} == {4, 5}
