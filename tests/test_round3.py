@@ -124,3 +124,18 @@ def test_json_that_is_no_record_is_not_handed_to_python(spark, monkeypatch):
     }
     tried = dict(kept)["repaired-lines"]
     assert {r["line_order"] for r in tried.collect()} == {4, 5}
+
+
+def test_ranks_alone_hold_no_best_items_and_return_no_vectors(spark):
+    rng = np.random.default_rng(7)
+    items = spark.createDataFrame([(i, np.round(v, 1).tolist()) for i, v in enumerate(rng.normal(size=(40, 3)))], "item_idx int, vec array<double>")
+    data = [(i, np.round(rng.normal(size=3), 1).tolist(), int(rng.integers(40)), rng.integers(0, 40, 4).tolist(), [False, True, True, True]) for i in range(30)]
+    queries = spark.createDataFrame(data, "id int, vec array<double>, target int, history array<int>, mask array<boolean>")
+    for more in ({}, {"block_bytes": 400}):  # one block; many
+        whole, alone = (R.rank_catalogue(queries, items, ["id"], k, temperature=0.5, **more) for k in (5, 0))
+        seen = ["id", "target", "target_score", "rank", "log_sum_exp"]
+        assert sorted(alone.select(*seen).collect()) == sorted(whole.select(*seen).collect())
+        assert {len(r["top"]) for r in alone.collect()} == {0} and {len(r["top"]) for r in whole.collect()} == {5}
+    ranked = R.rank_catalogue(queries, items, ["id"], 0)
+    told = ranked._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1].split("\n")[0]
+    assert "better" in told and "vec" not in told.split("[", 1)[1] and "seen" not in told.split("[", 1)[1], told
