@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.functions import vector as V
 from seqloom.operators.checks import TOKENIZED_COLUMNS, require_columns, vector_shape
+from seqloom.operators.gather import MAX_BROADCAST_BYTES, as_lists, as_matrix
 from seqloom.session import materialize
 
+_SLOT_BYTES = 16 << 20  # of history vectors put together at once inside a task
+
 # Accepted spellings of a column, and the optional vector columns of a batch.
 ALIASES = {
     "target_item_ids": ("target_item_ids", "target_item_id"),
@@ -63,6 +68,60 @@ def _by_slot(history: str, branch: str, dim: int) -> Column:
     return F.when(F.size(history) > 0, slots).otherwise(F.array().cast("array<array<float>>"))
 
 
+def _gather_in_batches(samples: DataFrame, wide: DataFrame, dims: dict[str, int], history: str, mask: str) -> DataFrame:
+    """Add the history columns of the branches named in ``dims`` from a small table that travels with the tasks."""
+    held = wide.select("item_idx", *dims).toArrow().sort_by("item_idx")
+    known = held["item_idx"].to_numpy().astype(np.int64)
+    tables = {}
+    for name, dim in dims.items():
+        column = held[name].combine_chunks()
+        has = np.append(column.is_valid().to_numpy(zero_copy_only=False), True)
+        table = np.zeros((len(known) + 1, dim), np.float32)  # the last row answers slots without an item
+        table[np.flatnonzero(has[:-1])] = as_matrix(column.drop_null(), np.float32).reshape(-1, dim)
+        tables[name] = (table, has)
+    shared = samples.sparkSession.sparkContext.broadcast((known, tables))
+    wanted = F.transform(history, lambda x, i: F.when(F.get(mask, i).cast("boolean") & (x >= 0), x).otherwise(-1).cast("bigint"))
+    rows = samples.withColumn("_slots", F.coalesce(wanted, F.array().cast("array<bigint>")))
+    added = {f"history_{b}_embeds": "array<array<float>>" for b in dims} | {f"pooled_{b}_embed": "array<double>" for b in dims}
+    schema = samples.withColumns({name: F.lit(None).cast(kind) for name, kind in added.items()}).schema
+
+    def places(items: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(ids, items)
+        lost = (items >= 0) & (ids[np.minimum(at, len(ids) - 1)] != items)
+        if lost.any():
+            raise ValueError(f"item {items[lost][0]} has no {' or '.join(dims)} vector")
+        return np.where(items >= 0, at, len(ids))
+
+    def gathered(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, by_branch = shared.value
+        slots = batch.column("_slots")
+        items, ends = slots.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(slots.value_lengths().to_numpy())])
+        at, sizes = places(items, ids), np.diff(ends)
+        used = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[items >= 0], minlength=len(sizes))
+        columns = {}
+        for name, (table, has) in by_branch.items():
+            if not has[at].all():
+                raise ValueError(f"item {items[~has[at]][0]} has no {name} vector")
+            vecs = table[at]
+            total = np.zeros((len(sizes), table.shape[1]))
+            for step in range(sizes.max(initial=0)):
+                own = np.flatnonzero(sizes > step)
+                total[own] += vecs[ends[own] + step]
+            columns[f"history_{name}_embeds"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), as_lists(vecs))
+            columns[f"pooled_{name}_embed"] = as_lists(total * (1.0 / np.maximum(used, 1))[:, None])
+        kept = [c for c in batch.schema.names if c != "_slots"]
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[columns[c] for c in added]], [*kept, *added])
+
+    def run(batches):
+        for batch in batches:
+            longest = max((n for n in batch.column("_slots").value_lengths().to_pylist()), default=0)
+            step = max(1, _SLOT_BYTES // max(1, longest * sum(dims.values()) * 4))
+            for lo in range(0, batch.num_rows, step):
+                yield gathered(batch.slice(lo, step))
+
+    return rows.mapInArrow(run, schema)
+
+
 def attach_branches(
     samples: DataFrame,
     branches: dict[str, DataFrame],
@@ -71,6 +130,7 @@ def attach_branches(
     history: str = "history_item_ids",
     mask: str = "history_mask",
     target: str = "target_item_ids",
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Add, for every branch (text, image, cf), ``history_<b>_embeds``, ``target_<b>_embed`` and
     ``pooled_<b>_embed``, and ``target_item_latent`` when ``latents`` are given.
@@ -79,8 +139,9 @@ def attach_branches(
     zeros; the pooled vector is the mean over the others, zeros when there are none. A negative target
     has zeros. An item that is used but has no vector is an error.
 
-    The vectors of all branches are put side by side first and written once, so that histories pass one join by item
-    and one exchange by ``key`` (the samples' own, whatever the number of branches); only valid slots move.
+    The vectors of all branches are put side by side first and written once. Up to ``max_broadcast_bytes`` they travel
+    with the tasks and no sample moves; beyond, histories pass one join by item and one exchange by ``key`` (the
+    samples' own, whatever the number of branches), and only valid slots move.
     """
     unknown = set(branches) - {"text", "image", "cf"}
     if unknown:
@@ -88,7 +149,9 @@ def attach_branches(
     tables = {**branches, **({"latent": latents} if latents is not None else {})}
     if not tables:
         return samples
-    dims = {name: vector_shape(vectors).dim for name, vectors in tables.items()}
+    shapes = {name: vector_shape(vectors) for name, vectors in tables.items()}
+    dims = {name: shape.dim for name, shape in shapes.items()}
+    small = sum(shape.rows * (shape.dim * 4 + 8) for shape in shapes.values()) <= max_broadcast_bytes
     wide = None
     for name, vectors in tables.items():
         one = vectors.select("item_idx", F.col("vec").cast("array<float>").alias(name))
@@ -96,7 +159,9 @@ def attach_branches(
     wide = materialize(wide, "branch-vectors")  # read twice: for histories and for targets
 
     out = samples
-    if branches:
+    if branches and small:
+        out = _gather_in_batches(samples, wide, {b: dims[b] for b in branches}, history, mask)
+    elif branches:
         slots = F.arrays_zip(F.col(history).alias("item"), F.col(mask).alias("ok"))
         steps = samples.select(*key, F.posexplode(slots).alias("step", "slot")).select(*key, "step", "slot.item", F.col("slot.ok").cast("boolean").alias("ok"))
         found = (
@@ -113,7 +178,7 @@ def attach_branches(
             out = out.withColumns({f"history_{b}_embeds": _by_slot(history, b, dims[b]), f"pooled_{b}_embed": pooled})
         out = out.drop("_found")
     renamed = wide.select(F.col("item_idx").alias(target), *[F.col(n).alias(f"_target_{n}") for n in tables])
-    out = out.join(renamed, target, "left")
+    out = out.join(F.broadcast(renamed) if small else renamed, target, "left")
     wanted = {("target_item_latent" if n == "latent" else f"target_{n}_embed"): _vector_or_zeros(target, f"_target_{n}", n, d) for n, d in dims.items()}
     out = out.withColumns(wanted)
     added = [c for c in OPTIONAL_COLUMNS if c in out.columns and c not in samples.columns]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.llm import toxicity
-from seqloom.operators import gridtrain as G, losses as L, retrieval as R
+from seqloom.operators import batches as B, gridtrain as G, losses as L, retrieval as R
 from seqloom.operators.gather import as_lists, as_matrix, item_names
 from seqloom.plans.prepare import prepare
 from seqloom.sources import records as Rc
@@ -139,3 +139,21 @@ def test_ranks_alone_hold_no_best_items_and_return_no_vectors(spark):
     ranked = R.rank_catalogue(queries, items, ["id"], 0)
     told = ranked._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1].split("\n")[0]
     assert "better" in told and "vec" not in told.split("[", 1)[1] and "seen" not in told.split("[", 1)[1], told
+
+
+def test_branches_of_a_small_catalogue_are_attached_without_moving_samples(spark):
+    rng = np.random.default_rng(8)
+    vecs = lambda dim: spark.createDataFrame([(i * 3, rng.normal(size=dim).tolist()) for i in range(9)], "item_idx int, vec array<double>")
+    text, cf = vecs(5), vecs(2)
+    data = [(i, [int(x) * 3 for x in rng.integers(0, 9, 4)], [bool(b) for b in rng.integers(0, 2, 4)], int(rng.integers(0, 9)) * 3) for i in range(40)]
+    data += [(40, [-1, 3], [True, True], -1), (41, [], [], 0), (42, [3, 4], [True, False], 3), (43, [3, None, 6], [None, True, True], 3)]
+    samples = spark.createDataFrame(data, "id int, h array<int>, m array<boolean>, target int")
+    attach = lambda rows, **kw: B.attach_branches(rows, {"text": text, "cf": cf}, ["id"], cf, "h", "m", "target", **kw)
+    got, want = attach(samples), attach(samples, max_broadcast_bytes=0)
+    assert got.columns == want.columns and [f.dataType.simpleString() for f in got.schema] == [f.dataType.simpleString() for f in want.schema]
+    assert sorted(got.collect()) == sorted(want.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange hashpartitioning" in want._jdf.queryExecution().executedPlan().toString()
+    for broken in ({"text": text.filter("item_idx > 0"), "cf": cf}, {"text": text.filter("item_idx > 0")}):
+        with pytest.raises(Exception, match="item 0 has no"):
+            B.attach_branches(samples.limit(41).select("id", "h", "m", F.lit(3).alias("target")), broken, ["id"], None, "h", "m", "target").collect()
