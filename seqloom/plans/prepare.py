@@ -32,7 +32,7 @@ class Prepared:
         it is in. Indexes ascend with ids, so that both order equal times alike.
         """
         named = self.indexed.join(self.item_map.select("item_idx", "item_id"), "item_idx").select("user_idx", "item_id", "ts")
-        positions = number_positions(named, item="item_id", longest=self.core.max_user_rows)
+        positions = number_positions(named, item="item_id", longest=self.core.max_user_rows, rows=self.core.trace[-1][2])
         return past_items(positions, history_len, item="item_id").select("user_idx", "pos", F.col("past").alias("history_items"))
 
     def chunks(
@@ -51,5 +51,5 @@ def prepare(interactions: DataFrame, k: int = 5) -> Prepared:
     user_map = dense_index(core.users, "user_id", "user_idx", distinct=True)
     item_map = dense_index(core.items, "item_id", "item_idx", distinct=True)
     indexed = materialize(index_interactions(core.source, user_map, item_map), "indexed")
-    positions = number_positions(indexed, longest=core.max_user_rows)
+    positions = number_positions(indexed, longest=core.max_user_rows, rows=core.trace[-1][2])
     return Prepared(core, user_map, item_map, indexed, positions, user_sizes(indexed))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.llm import toxicity
-from seqloom.operators import batches as B, gridtrain as G, losses as L, retrieval as R
+from seqloom.operators import batches as B, gridtrain as G, losses as L, retrieval as R, sequences as S
 from seqloom.operators.gather import as_lists, as_matrix, item_names
 from seqloom.plans.prepare import prepare
 from seqloom.sources import records as Rc
@@ -157,3 +157,15 @@ def test_branches_of_a_small_catalogue_are_attached_without_moving_samples(spark
     for broken in ({"text": text.filter("item_idx > 0"), "cf": cf}, {"text": text.filter("item_idx > 0")}):
         with pytest.raises(Exception, match="item 0 has no"):
             B.attach_branches(samples.limit(41).select("id", "h", "m", F.lit(3).alias("target")), broken, ["id"], None, "h", "m", "target").collect()
+
+
+def test_tasks_of_positions_grow_in_number_with_the_rows(spark, monkeypatch):
+    rows = [(f"u{u}", f"i{(u * 7 + n * n) % 5}", n // 2) for u in range(60) for n in range(8)]
+    frame = spark.createDataFrame(rows, "user_id string, item_id string, ts long")
+    plain = prepare(frame, 2)
+    want = sorted(plain.chunks(3, 50).collect())
+    monkeypatch.setattr(S, "TASK_ROWS", 20)
+    p = prepare(frame, 2)
+    assert sorted(p.chunks(3, 50).collect()) == want
+    tasks = -(-p.core.trace[-1][2] // 20)
+    assert p.positions.rdd.getNumPartitions() == p.samples(3).rdd.getNumPartitions() == tasks > plain.positions.rdd.getNumPartitions()
