@@ -30,7 +30,7 @@ from seqloom.operators.sampling import gaussian
 from seqloom.session import materialize, materialize_with
 
 LEAST_BLOCKS = 4
-CELL_PAIRS = 4_000_000  # distinct pairs of two blocks, on average
+CELL_PAIRS = 100_000  # distinct pairs of two blocks, on average: few enough for millions of pairs to keep many tasks busy
 BLOCK_BYTES = 64 << 20  # of one block's factors, on average
 _FACTORS = "kind int, id bigint, part int, vec array<double>, moved double, mass double"
 _EXACT_TRIES = 16
@@ -241,6 +241,11 @@ def _averaged(lefts: DataFrame, heavy: DataFrame) -> DataFrame:
     return lefts.join(F.broadcast(heavy.select("id")), "id", "left_anti").select("kind", "id", "part", "vec", "moved", "mass").unionByName(again)
 
 
+def _block_count(t: Training, pairs: int, largest: int) -> int:
+    """Blocks of either side, which is also how many tasks train at once."""
+    return t.blocks or max(LEAST_BLOCKS, ceil(sqrt(pairs / CELL_PAIRS)), ceil(largest * t.width * 8 / BLOCK_BYTES))
+
+
 def train_factors(pairs: DataFrame, lefts: DataFrame, rights: DataFrame, t: Training) -> tuple[DataFrame, DataFrame]:
     """Factors (id, vec) of all left and of all right ids.
 
@@ -253,7 +258,7 @@ def train_factors(pairs: DataFrame, lefts: DataFrame, rights: DataFrame, t: Trai
         "grid-pairs", {"rows": F.count(F.lit(1)), "observed": F.sum("n")},
     )
     largest = max(lefts.count(), rights.count())
-    blocks = t.blocks or max(LEAST_BLOCKS, ceil(sqrt(seen["rows"] / CELL_PAIRS)), ceil(largest * t.width * 8 / BLOCK_BYTES))
+    blocks = _block_count(t, seen["rows"], largest)
     share = max(1, (seen["observed"] or 0) // blocks)
     # Each heavy id has more than a block's share of the observations: there are fewer than blocks.
     heavy = pairs.groupBy(F.col("left").alias("id")).agg(F.sum("n").alias("n")).filter(F.col("n") > share)

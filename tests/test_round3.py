@@ -169,3 +169,9 @@ def test_tasks_of_positions_grow_in_number_with_the_rows(spark, monkeypatch):
     assert sorted(p.chunks(3, 50).collect()) == want
     tasks = -(-p.core.trace[-1][2] // 20)
     assert p.positions.rdd.getNumPartitions() == p.samples(3).rdd.getNumPartitions() == tasks > plain.positions.rdd.getNumPartitions()
+
+
+def test_more_pairs_are_trained_by_more_tasks():
+    t = G.Training("ranking", 128)
+    assert [G._block_count(t, n, 100_000) for n in (100_000, 4_900_000, 30_000_000)] == [4, 7, 18]
+    assert G._block_count(G.Training("ranking", 128, blocks=3), 30_000_000, 100_000) == 3
