@@ -4,7 +4,9 @@ Left ids (users, center items) and right ids (items, context items) are dealt in
 blocks, anew in every epoch. An epoch has one round per block: in round s each left block meets the
 right block s places on, so the tasks of a round share no factor row and train in parallel, in
 mini-batches, on the observed pairs of their two blocks. After all rounds every pair has been
-visited once for each time it was observed. Factors travel once a round, pairs once an epoch.
+visited once for each time it was observed. Factors travel once a round, in single precision, pairs
+once an epoch. The rounds of an epoch are one job whose shuffles hand factors on; they are written
+only after each epoch.
 
 Negatives come from the right block at hand. As blocks are dealt anew, any item can be a negative
 of any pair; and because all of a left id's pairs with a block are in one task, a task knows which of
@@ -16,11 +18,13 @@ share of the right blocks, and the parts' factors are averaged after each epoch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import ceil, gcd, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,9 +35,13 @@ from seqloom.session import materialize, materialize_with
 
 LEAST_BLOCKS = 4
 CELL_PAIRS = 100_000  # distinct pairs of two blocks, on average: few enough for millions of pairs to keep many tasks busy
-BLOCK_BYTES = 64 << 20  # of one block's factors, on average
-_FACTORS = "kind int, id bigint, part int, vec array<double>, moved double, mass double"
+CELL_VISITS = 1_000_000  # observations of two blocks, on average
+BLOCK_BYTES = 128 << 20  # of one block's factors, on average
+EPOCH_BYTES = 4 << 30  # of either side's factors that travel in an epoch
+_FACTORS = "kind int, id bigint, part int, vec array<float>, moved double, mass double"
+_DENSE = 48  # cells that cost no more than one visit by itself
 _EXACT_TRIES = 16
+_BATCH_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -174,27 +182,34 @@ def _ranking(t: Training, left: _Side, right: _Side, u_of, p_of, rng):
 
 
 def _counted(visits: int, n_left: int, n_right: int) -> bool:
-    """Whether a batch visits its pairs of rows so often that each of them is worth computing once."""
-    return n_left * n_right <= visits
+    """Whether all pairs of a batch's rows cost less as one matrix product than its visits one by one."""
+    return n_left * n_right <= _DENSE * visits
 
 
-def _numbered(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids, and a table from an id to its place among them."""
-    own = np.flatnonzero(np.bincount(ids, minlength=n))
-    place = np.zeros(n, np.int64)
-    place[own] = np.arange(len(own))
-    return own, place
+def _numbering(n: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A function to the distinct of some ids below ``n``, and a table from an id to its place among them (for these ids)."""
+    met, place = np.zeros(n, bool), np.zeros(n, np.int64)
+
+    def numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        met[ids] = True
+        own = np.flatnonzero(met)
+        met[own] = False
+        place[own] = np.arange(len(own))
+        return own, place
+
+    return numbered
 
 
 def _skipgram(t: Training, left: _Side, right: _Side, u_of, p_of, rng):
     mass = np.cumsum(right.table["mass"].to_numpy())
+    of_left, of_right = _numbering(len(left.vec)), _numbering(len(right.vec))
 
     def step(rows: np.ndarray) -> None:
         u, p = u_of[rows], p_of[rows]
         drawn = np.searchsorted(mass, rng.random((len(u), t.negatives)) * mass[-1], "right")
         others = np.concatenate([p[:, None], np.minimum(drawn, len(mass) - 1)], axis=1)
-        lefts, left_at = _numbered(u, len(left.vec))
-        rights, right_at = _numbered(others.reshape(-1), len(right.vec))
+        lefts, left_at = of_left(u)
+        rights, right_at = of_right(others.reshape(-1))
         if _counted(others.size, len(lefts), len(rights)):
             by_count(left_at[u], right_at[others], lefts, rights)
             return
@@ -228,22 +243,41 @@ def _initial(ids: DataFrame, kind: int, t: Training, zero: bool) -> DataFrame:
     drawn = F.transform(places, lambda d: F.lit(0.0) if zero else gaussian(t.seed + kind, F.col("id"), d) * 0.02)
     if t.loss == "ranking":
         drawn = F.concat(drawn, F.array(F.lit(1.0 - kind)))
-    return ids.select(F.lit(kind).alias("kind"), "id", "part", drawn.alias("vec"), F.lit(0.0).alias("moved"), "mass")
+    return ids.select(F.lit(kind).alias("kind"), "id", "part", drawn.cast("array<float>").alias("vec"), F.lit(0.0).alias("moved"), "mass")
 
 
 def _averaged(lefts: DataFrame, heavy: DataFrame) -> DataFrame:
     """Parts of a split id start the next epoch from their common mean."""
     split = lefts.join(F.broadcast(heavy.select("id")), "id", "left_semi")
     means = split.groupBy("id").agg(
-        vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias("vec"), F.avg("moved").alias("moved")
+        vector_to_array(Summarizer.mean(array_to_vector(F.col("vec").cast("array<double>")))).cast("array<float>").alias("vec"), F.avg("moved").alias("moved")
     )
     again = split.drop("vec", "moved").join(means, "id").select("kind", "id", "part", "vec", "moved", "mass")
     return lefts.join(F.broadcast(heavy.select("id")), "id", "left_anti").select("kind", "id", "part", "vec", "moved", "mass").unionByName(again)
 
 
-def _block_count(t: Training, pairs: int, largest: int) -> int:
-    """Blocks of either side, which is also how many tasks train at once."""
-    return t.blocks or max(LEAST_BLOCKS, ceil(sqrt(pairs / CELL_PAIRS)), ceil(largest * t.width * 8 / BLOCK_BYTES))
+def _block_count(t: Training, pairs: int, largest: int, observed: int = 0) -> int:
+    """Blocks of either side, which is also how many tasks train at once and how often factors travel in an epoch."""
+    wanted = max(ceil(sqrt(pairs / CELL_PAIRS)), ceil(sqrt(observed / CELL_VISITS)))
+    affordable = EPOCH_BYTES // max(1, largest * t.width * 4)
+    return t.blocks or max(LEAST_BLOCKS, min(wanted, affordable), ceil(largest * t.width * 8 / BLOCK_BYTES))
+
+
+def _round(rows: DataFrame, blocks: int, train: Callable[[tuple, pa.Table], pa.Table]) -> DataFrame:
+    """The factors after one round; ``rows`` hold the cells they belong to, one task a cell."""
+
+    def run(batches):
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        held.clear()
+        for cell in pc.unique(table["cell"]):
+            out = train((cell,), table.filter(pc.equal(table["cell"], cell)).drop_columns("cell"))
+            vec = out.schema.get_field_index("vec")
+            yield from out.set_column(vec, "vec", out["vec"].cast(pa.list_(pa.float32()))).to_batches(_BATCH_ROWS)
+
+    return rows.repartitionById(blocks, "cell").mapInArrow(run, _FACTORS)
 
 
 def train_factors(pairs: DataFrame, lefts: DataFrame, rights: DataFrame, t: Training) -> tuple[DataFrame, DataFrame]:
@@ -258,7 +292,7 @@ def train_factors(pairs: DataFrame, lefts: DataFrame, rights: DataFrame, t: Trai
         "grid-pairs", {"rows": F.count(F.lit(1)), "observed": F.sum("n")},
     )
     largest = max(lefts.count(), rights.count())
-    blocks = _block_count(t, seen["rows"], largest)
+    blocks = _block_count(t, seen["rows"], largest, seen["observed"] or 0)
     share = max(1, (seen["observed"] or 0) // blocks)
     # Each heavy id has more than a block's share of the observations: there are fewer than blocks.
     heavy = pairs.groupBy(F.col("left").alias("id")).agg(F.sum("n").alias("n")).filter(F.col("n") > share)
@@ -266,9 +300,8 @@ def train_factors(pairs: DataFrame, lefts: DataFrame, rights: DataFrame, t: Trai
     any_heavy = not heavy.isEmpty()
     parted = lefts.select(F.col("id").cast("bigint")).join(F.broadcast(heavy), "id", "left")
     parted = parted.select("id", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(0.0).alias("mass"))
-    left = _initial(parted, 0, t, False)
     right = rights.select(F.col("id").cast("bigint"), F.lit(0).alias("part"), F.col("mass").cast("double").alias("mass"))
-    right = _initial(right, 1, t, t.loss == "skipgram")
+    factors = _initial(parted, 0, t, False).unionByName(_initial(right, 1, t, t.loss == "skipgram"))
     for epoch in range(t.epochs):
         deal = (t.seed, epoch)
         met = pairs.join(F.broadcast(heavy), F.col("left") == F.col("id"), "left").withColumn("to", _block((*deal, 1), blocks, "right"))
@@ -276,16 +309,15 @@ def train_factors(pairs: DataFrame, lefts: DataFrame, rights: DataFrame, t: Trai
         met = met.withColumn("cell", _block((*deal, 0), blocks, "id", "part")).withColumn("round", F.pmod(F.col("to") - F.col("cell"), F.lit(blocks)))
         met = materialize(met.drop("to"), "grid-epoch", partition_by=["round"])
         for turn in range(blocks):
+            on_right = F.pmod(_block((*deal, 1), blocks, "id") - F.lit(turn), F.lit(blocks))
+            cell = F.when(F.col("kind") == 0, _block((*deal, 0), blocks, "id", "part")).otherwise(on_right)
             nothing = [F.lit(None).cast("bigint").alias("other"), F.lit(None).cast("bigint").alias("n")]
-            rows = left.select(_block((*deal, 0), blocks, "id", "part").alias("cell"), "*", *nothing)
-            rows = rows.unionByName(
-                right.select(F.pmod(_block((*deal, 1), blocks, "id") - F.lit(turn), F.lit(blocks)).alias("cell"), "*", *nothing)
-            )
+            rows = factors.select(cell.alias("cell"), "*", *nothing)
             rows = rows.unionByName(met.filter(F.col("round") == turn).select("cell", F.lit(2).alias("kind"), "id", "part", "other", "n"), True)
-            trained = rows.groupBy("cell").applyInArrow(_train_cell(t, (*deal, turn), blocks), _FACTORS)
-            trained = materialize(trained, "grid-factors")
-            left, right = trained.filter("kind = 0"), trained.filter("kind = 1")
+            factors = _round(rows, blocks, _train_cell(t, (*deal, turn), blocks))
+        factors = materialize(factors, "grid-factors")
         if any_heavy:
-            left = materialize(_averaged(left, heavy), "grid-averaged")
-    vec = F.slice("vec", 1, t.dim).alias("vec")
+            factors = materialize(_averaged(factors.filter("kind = 0"), heavy).unionByName(factors.filter("kind = 1")), "grid-averaged")
+    left, right = factors.filter("kind = 0"), factors.filter("kind = 1")
+    vec = F.slice("vec", 1, t.dim).cast("array<double>").alias("vec")
     return left.filter("part = 0").select("id", vec), right.select("id", vec)

@@ -5,8 +5,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import retrieval as R
-from seqloom.operators.gather import as_lists
+from seqloom.operators import gridtrain as G, retrieval as R
+from seqloom.operators.gather import as_lists, as_matrix
 from seqloom.plans.evaluate import pooled_queries
 
 
@@ -116,3 +116,40 @@ def test_few_bytes_of_queries_are_dealt_to_many_tasks(spark):
     sizes = [r["count"] for r in queries.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 4 * spark.sparkContext.defaultParallelism and max(sizes) <= 2 * min(sizes)
     assert {r["user_idx"]: r["vec"] for r in queries.collect()} == {u: [u % 5, 1.0] for u in range(640)}
+
+
+def test_many_idle_items_of_a_block_leave_a_skipgram_step_dense(monkeypatch):
+    """Drawn negatives beside a few frequent items: no row of floats for every visit."""
+    rng = np.random.default_rng(2)
+    width, idle = 6, 400
+    side = lambda kind, n, mass: [(kind, i, 0, rng.normal(size=width).tolist(), 0.0, mass[i], None, None) for i in range(n)]
+    pairs = [(2, u, 0, None, None, None, p, 50) for u in range(5) for p in range(7)]
+    names = ["kind", "id", "part", "vec", "moved", "mass", "other", "n"]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+    rows = side(0, 5, [0.0] * 5) + side(1, 7 + idle, [100.0] * 7 + [1.0] * idle) + pairs
+    table = pa.table([pa.array(list(c), kind) for c, kind in zip(zip(*rows), types)], names)
+    t, seen = G.Training("skipgram", width, negatives=10, batch=64, reg=0.01), []
+    monkeypatch.setattr(G._Side, "step", lambda self, rows, gradient, rate: seen.append(len(rows)))
+    dense = G._train_cell(t, (0, 0), 1)((pa.scalar(1),), table)
+    assert not seen
+    monkeypatch.undo()
+    monkeypatch.setattr(G, "_counted", lambda *a: False)
+    one_by_one = G._train_cell(t, (0, 0), 1)((pa.scalar(1),), table)
+    np.testing.assert_allclose(as_matrix(dense["vec"]), as_matrix(one_by_one["vec"]), rtol=1e-8, atol=1e-10)
+
+
+def test_factors_are_written_once_an_epoch_and_travel_as_floats(spark, monkeypatch):
+    written = []
+    plain = G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, label, *a, **kw: written.append((label, dict(df.dtypes).get("vec"))) or plain(df, label, *a, **kw))
+    pairs = spark.createDataFrame([(u, (u * 5 + n) % 9, 2) for u in range(12) for n in range(4)], "left bigint, right bigint, n bigint")
+    ids = lambda n: spark.range(n).select("id", F.lit(1.0).alias("mass"))
+    left, right = G.train_factors(pairs, ids(12), ids(9), G.Training("ranking", 4, epochs=3, blocks=5))
+    assert [kind for label, kind in written if label == "grid-factors"] == ["array<float>"] * 3
+    assert left.count() == 12 and right.count() == 9 and dict(right.dtypes)["vec"] == "array<double>"
+
+
+def test_large_factors_travel_less_often():
+    t = G.Training("ranking", 128)
+    assert G._block_count(t, 26_400_000, 720_000, 36_000_000) == 11 and G._block_count(t, 26_400_000, 100_000, 36_000_000) == 17
+    assert [G._block_count(G.Training("skipgram", 128), 10_000, 100_000, n) for n in (6_000_000, 60_000_000)] == [4, 8]
