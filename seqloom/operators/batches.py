@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seqloom.functions import vector as V
 from seqloom.operators.checks import TOKENIZED_COLUMNS, require_columns, vector_shape
 from seqloom.operators.gather import MAX_BROADCAST_BYTES, as_lists, as_matrix
 from seqloom.session import materialize
 
+_TASK_ROWS = 1_000_000  # samples that share one copy of the vectors they use, on average
+_LEAST_ROWS = 10_000
 _SLOT_BYTES = 16 << 20  # of history vectors put together at once inside a task
 
 # Accepted spellings of a column, and the optional vector columns of a batch.
@@ -59,67 +62,133 @@ def _vector_or_zeros(item: str, vec: str, name: str, dim: int) -> Column:
     return F.when(F.col(item) < 0, F.array_repeat(F.lit(0.0).cast("float"), dim)).otherwise(F.coalesce(F.col(vec), unknown))
 
 
-def _by_slot(history: str, branch: str, dim: int) -> Column:
-    """The vectors found, at their slots of the history; zeros at the others."""
-    by_step = F.map_from_arrays(F.col("_found.step"), F.col(f"_found.{branch}"))
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    numbers = F.sequence(F.lit(0), F.size(history) - 1)
-    slots = F.transform(numbers, lambda n: F.coalesce(F.try_element_at(by_step, n), zeros))
-    return F.when(F.size(history) > 0, slots).otherwise(F.array().cast("array<array<float>>"))
-
-
 def _gather_in_batches(samples: DataFrame, wide: DataFrame, dims: dict[str, int], history: str, mask: str) -> DataFrame:
     """Add the history columns of the branches named in ``dims`` from a small table that travels with the tasks."""
-    held = wide.select("item_idx", *dims).toArrow().sort_by("item_idx")
-    known = held["item_idx"].to_numpy().astype(np.int64)
-    tables = {}
-    for name, dim in dims.items():
-        column = held[name].combine_chunks()
-        has = np.append(column.is_valid().to_numpy(zero_copy_only=False), True)
-        table = np.zeros((len(known) + 1, dim), np.float32)  # the last row answers slots without an item
-        table[np.flatnonzero(has[:-1])] = as_matrix(column.drop_null(), np.float32).reshape(-1, dim)
-        tables[name] = (table, has)
-    shared = samples.sparkSession.sparkContext.broadcast((known, tables))
+    table = _BranchTable.of(wide.select("item_idx", *dims).toArrow(), dims)
+    shared = samples.sparkSession.sparkContext.broadcast(table)
+    rows, schema = _slotted(samples, dims, history, mask)
+
+    def run(batches):
+        for batch in batches:
+            yield from _gathered(batch, shared.value, dims, schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _slotted(samples: DataFrame, dims: dict[str, int], history: str, mask: str, targets: tuple[str, ...] = ()):
+    """Samples with the items of their history slots, -1 where a slot has none, and the schema of what ``_gathered`` makes of them."""
     wanted = F.transform(history, lambda x, i: F.when(F.get(mask, i).cast("boolean") & (x >= 0), x).otherwise(-1).cast("bigint"))
     rows = samples.withColumn("_slots", F.coalesce(wanted, F.array().cast("array<bigint>")))
     added = {f"history_{b}_embeds": "array<array<float>>" for b in dims} | {f"pooled_{b}_embed": "array<double>" for b in dims}
-    schema = samples.withColumns({name: F.lit(None).cast(kind) for name, kind in added.items()}).schema
-
-    def places(items: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(ids, items)
-        lost = (items >= 0) & (ids[np.minimum(at, len(ids) - 1)] != items)
+    added |= {_target_column(name): "array<float>" for name in targets}
+    return rows, samples.withColumns({name: F.lit(None).cast(kind) for name, kind in added.items()}).schema
+
+
+@dataclass(frozen=True)
+class _BranchTable:
+    """Ids in ascending order and, by branch, their vectors and who has one; the last row answers slots without an item."""
+
+    ids: np.ndarray
+    branches: dict[str, tuple[np.ndarray, np.ndarray]]
+
+    @staticmethod
+    def of(held: pa.Table, dims: dict[str, int]) -> "_BranchTable":
+        ids = held["item_idx"].to_numpy()
+        if (ids[1:] < ids[:-1]).any():
+            held = held.sort_by("item_idx")
+        branches = {}
+        for name, dim in dims.items():
+            column = held[name].combine_chunks()
+            has = np.append(column.is_valid().to_numpy(zero_copy_only=False), True)
+            table = np.zeros((held.num_rows + 1, dim), np.float32)
+            table[np.flatnonzero(has[:-1])] = as_matrix(column.drop_null(), np.float32).reshape(-1, dim)
+            branches[name] = (table, has)
+        return _BranchTable(held["item_idx"].to_numpy().astype(np.int64), branches)
+
+    def places(self, items: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.ids, items)
+        lost = items >= 0
+        if len(self.ids):
+            lost &= self.ids[np.minimum(at, len(self.ids) - 1)] != items
         if lost.any():
-            raise ValueError(f"item {items[lost][0]} has no {' or '.join(dims)} vector")
-        return np.where(items >= 0, at, len(ids))
+            raise ValueError(f"item {items[lost][0]} has no {' or '.join(self.branches)} vector")
+        return np.where(items >= 0, at, len(self.ids))
+
+
+def _target_column(name: str) -> str:
+    return "target_item_latent" if name == "latent" else f"target_{name}_embed"
+
 
-    def gathered(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, by_branch = shared.value
-        slots = batch.column("_slots")
+def _gathered(batch: pa.RecordBatch, table: _BranchTable, dims: dict[str, int], names: list[str], target: str | None = None):
+    """A batch with ``_slots`` in pieces that carry their history vectors and pooled ones, and with ``target`` those of their targets."""
+    longest = max((n for n in batch.column("_slots").value_lengths().to_pylist()), default=0)
+    step = max(1, _SLOT_BYTES // max(1, longest * sum(dims.values()) * 4))
+    for lo in range(0, batch.num_rows, step):
+        part = batch.slice(lo, step)
+        slots = part.column("_slots")
         items, ends = slots.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(slots.value_lengths().to_numpy())])
-        at, sizes = places(items, ids), np.diff(ends)
+        at, sizes = table.places(items), np.diff(ends)
         used = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[items >= 0], minlength=len(sizes))
         columns = {}
-        for name, (table, has) in by_branch.items():
+        if target is not None:
+            goals = part.column(target)
+            if goals.null_count:
+                raise ValueError("a sample has no target")
+            goals = goals.to_numpy().astype(np.int64)
+            goal_at = table.places(np.maximum(goals, -1))
+            for name, (vectors, has) in table.branches.items():
+                if not has[goal_at].all():
+                    raise ValueError(f"item {goals[~has[goal_at]][0]} has no {name} vector")
+                columns[_target_column(name)] = as_lists(vectors[goal_at])
+        for name in dims:
+            vectors, has = table.branches[name]
             if not has[at].all():
                 raise ValueError(f"item {items[~has[at]][0]} has no {name} vector")
-            vecs = table[at]
-            total = np.zeros((len(sizes), table.shape[1]))
-            for step in range(sizes.max(initial=0)):
-                own = np.flatnonzero(sizes > step)
-                total[own] += vecs[ends[own] + step]
+            vecs = vectors[at]
+            total = np.zeros((len(sizes), vectors.shape[1]))
+            for step_at in range(sizes.max(initial=0)):
+                own = np.flatnonzero(sizes > step_at)
+                total[own] += vecs[ends[own] + step_at]
             columns[f"history_{name}_embeds"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), as_lists(vecs))
             columns[f"pooled_{name}_embed"] = as_lists(total * (1.0 / np.maximum(used, 1))[:, None])
-        kept = [c for c in batch.schema.names if c != "_slots"]
-        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[columns[c] for c in added]], [*kept, *added])
+        yield pa.RecordBatch.from_arrays([columns[n] if n in columns else part.column(n) for n in names], names)
+
+
+def _gather_by_task(
+    samples: DataFrame, wide: DataFrame, dims: dict[str, int], branches: list[str], key: list[str], history: str, mask: str, target: str, task_rows: int
+) -> DataFrame:
+    """All columns of all tables in ``dims`` from a large table: each task of samples is sent the items it uses, each once, ahead of its samples."""
+    own = {b: dims[b] for b in branches}
+    rows, schema = _slotted(samples, own, history, mask, tuple(dims))
+    rows = materialize(rows, "branch-samples")  # narrow; read twice
+    n = rows.count()
+    # However many tasks, no more items travel than slots are filled.
+    tasks = max(1, -(-n // task_rows), min(2 * rows.sparkSession.sparkContext.defaultParallelism, n // _LEAST_ROWS))
+    names = rows.columns
+    dealt = rows.withColumn("_task", F.pmod(F.xxhash64(*key), F.lit(tasks)).cast("int"))
+    items = F.concat("_slots", F.array(F.col(target).cast("bigint")))
+    used = dealt.select("_task", F.explode(items).alias("item_idx")).filter("item_idx >= 0").distinct()
+    vectors = used.join(wide.select(F.col("item_idx").cast("bigint").alias("item_idx"), *dims), "item_idx")
+    # In every task vectors come first (kind 0), by item.
+    one = vectors.select("_task", F.lit(0).alias("_kind"), F.struct("item_idx", *dims).alias("_vector"))
+    two = dealt.select("_task", F.lit(1).alias("_kind"), F.struct(*names).alias("_row"))
+    both = one.unionByName(two, True).repartitionById(tasks, "_task").sortWithinPartitions("_kind", "_vector.item_idx")
 
     def run(batches):
+        held, table = [], None
         for batch in batches:
-            longest = max((n for n in batch.column("_slots").value_lengths().to_pylist()), default=0)
-            step = max(1, _SLOT_BYTES // max(1, longest * sum(dims.values()) * 4))
-            for lo in range(0, batch.num_rows, step):
-                yield gathered(batch.slice(lo, step))
+            kind = batch.column("_kind").to_numpy()
+            n = int(np.searchsorted(kind, 1))
+            if n:
+                held.append(pa.RecordBatch.from_struct_array(batch.slice(0, n).column("_vector")))
+            if n < batch.num_rows:
+                if table is None:
+                    empty = pa.schema([("item_idx", pa.int64()), *[(d, pa.list_(pa.float32())) for d in dims]])
+                    table = _BranchTable.of(pa.Table.from_batches(held) if held else empty.empty_table(), dims)
+                    held.clear()
+                yield from _gathered(pa.RecordBatch.from_struct_array(batch.slice(n).column("_row")), table, own, schema.names, target)
 
-    return rows.mapInArrow(run, schema)
+    return both.mapInArrow(run, schema)
 
 
 def attach_branches(
@@ -131,6 +200,7 @@ def attach_branches(
     mask: str = "history_mask",
     target: str = "target_item_ids",
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    task_rows: int = _TASK_ROWS,
 ) -> DataFrame:
     """Add, for every branch (text, image, cf), ``history_<b>_embeds``, ``target_<b>_embed`` and
     ``pooled_<b>_embed``, and ``target_item_latent`` when ``latents`` are given.
@@ -140,8 +210,8 @@ def attach_branches(
     has zeros. An item that is used but has no vector is an error.
 
     The vectors of all branches are put side by side first and written once. Up to ``max_broadcast_bytes`` they travel
-    with the tasks and no sample moves; beyond, histories pass one join by item and one exchange by ``key`` (the
-    samples' own, whatever the number of branches), and only valid slots move.
+    with the tasks and no sample moves; beyond, samples are dealt to tasks of ``task_rows`` on average, and each task
+    is sent every item it uses once, however many slots hold it. Vectors reach the samples in the tasks only.
     """
     unknown = set(branches) - {"text", "image", "cf"}
     if unknown:
@@ -162,24 +232,11 @@ def attach_branches(
     if branches and small:
         out = _gather_in_batches(samples, wide, {b: dims[b] for b in branches}, history, mask)
     elif branches:
-        slots = F.arrays_zip(F.col(history).alias("item"), F.col(mask).alias("ok"))
-        steps = samples.select(*key, F.posexplode(slots).alias("step", "slot")).select(*key, "step", "slot.item", F.col("slot.ok").cast("boolean").alias("ok"))
-        found = (
-            steps.filter(F.col("ok") & (F.col("item") >= 0))
-            .join(wide.select(F.col("item_idx").alias("item"), *branches), "item", "left")
-            .select(*key, F.struct("step", *[_vector_or_zeros("item", b, b, dims[b]).alias(b) for b in branches]).alias("found"))
-            .groupBy(*key)
-            .agg(F.sort_array(F.collect_list("found")).alias("_found"))
-        )
-        out = out.join(found, key, "left")
-        for b in branches:
-            total = F.aggregate(f"_found.{b}", F.array_repeat(F.lit(0.0), dims[b]), lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
-            pooled = F.coalesce(V.scale(total, 1.0 / F.size("_found")), F.array_repeat(F.lit(0.0), dims[b]))
-            out = out.withColumns({f"history_{b}_embeds": _by_slot(history, b, dims[b]), f"pooled_{b}_embed": pooled})
-        out = out.drop("_found")
+        out = _gather_by_task(samples, wide, dims, list(branches), key, history, mask, target, task_rows)
+        return out.select(*samples.columns, *[c for c in OPTIONAL_COLUMNS if c in out.columns and c not in samples.columns])
     renamed = wide.select(F.col("item_idx").alias(target), *[F.col(n).alias(f"_target_{n}") for n in tables])
     out = out.join(F.broadcast(renamed) if small else renamed, target, "left")
-    wanted = {("target_item_latent" if n == "latent" else f"target_{n}_embed"): _vector_or_zeros(target, f"_target_{n}", n, d) for n, d in dims.items()}
+    wanted = {_target_column(n): _vector_or_zeros(target, f"_target_{n}", n, d) for n, d in dims.items()}
     out = out.withColumns(wanted)
     added = [c for c in OPTIONAL_COLUMNS if c in out.columns and c not in samples.columns]
     return out.select(*samples.columns, *added)

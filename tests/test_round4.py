@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import gridtrain as G, retrieval as R
+from seqloom.operators import batches as B, codes as K, gridtrain as G, retrieval as R
 from seqloom.operators.gather import as_lists, as_matrix
 from seqloom.plans.evaluate import pooled_queries
 
@@ -153,3 +153,47 @@ def test_large_factors_travel_less_often():
     t = G.Training("ranking", 128)
     assert G._block_count(t, 26_400_000, 720_000, 36_000_000) == 11 and G._block_count(t, 26_400_000, 100_000, 36_000_000) == 17
     assert [G._block_count(G.Training("skipgram", 128), 10_000, 100_000, n) for n in (6_000_000, 60_000_000)] == [4, 8]
+
+
+def test_codes_are_decoded_by_a_tree_that_travels(spark):
+    """Null, NaN, short and equal logits, unknown prefixes and free decoding: as by joins, without moving a sample."""
+    rng = np.random.default_rng(9)
+    layout = K.TokenLayout((3, 4, 2))
+    codes = spark.createDataFrame([(i, [int(x) for x in c]) for i, c in enumerate(rng.integers(0, [3, 4, 2], (9, 3)))], "item_idx int, code array<int>")
+    logits = np.round(rng.normal(size=(60, 3, layout.vocab_size)), 0).tolist()
+    logits[0][0][6], logits[1][1][9], logits[2][0][5], logits[3][2] = None, float("nan"), -0.0, logits[3][2][:12]
+    logits[4][0][5:8], logits[5] = [float("-inf")] * 3, None
+    samples = spark.createDataFrame([(i, x) for i, x in enumerate(logits)], "id int, logits array<array<double>>")
+    table = K.prefix_table(codes)
+    cut = table.filter("size(prefix) < 2")  # nothing is known of the last step
+    odd = table.unionByName(spark.createDataFrame([([2, 3], [1], False), ([7], [], False)], table.schema)).dropDuplicates(["prefix"])
+    answers = lambda df: [(r["id"], r["code"]) for r in df.orderBy("id").collect()]
+    for prefixes in (table, cut, odd):
+        got, want = K.greedy_decode(samples, layout, prefixes), K.greedy_decode(samples, layout, prefixes, max_trie_entries=-1)
+        assert got.columns == want.columns == ["id", "logits", "code"]
+        assert answers(got) == answers(want)
+    free = K.greedy_decode(samples, layout)
+    step = lambda state, i: state.withColumn("step_logits", F.col("logits")[i])
+    assert answers(free) == answers(K.greedy_decode(samples, layout, None, step))
+    for plan in (K.greedy_decode(samples, layout, table), free):
+        assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_catalogue_reaches_each_task_once(spark):
+    """No history slot and no sample with vectors is shuffled: only narrow samples and the items that a task uses."""
+    rng = np.random.default_rng(8)
+    vecs = lambda dim: spark.createDataFrame([(i * 3, rng.normal(size=dim).tolist()) for i in range(9)], "item_idx int, vec array<double>")
+    text, cf = vecs(5), vecs(2)
+    data = [(i, [int(x) * 3 for x in rng.integers(0, 9, 4)], [bool(b) for b in rng.integers(0, 2, 4)], int(rng.integers(0, 9)) * 3) for i in range(200)]
+    data += [(200, [-1, 3], [True, True], -1), (201, [], [], 0), (202, [3, 4], [True, False], 3), (203, [3, None, 6], [None, True, True], 3)]
+    samples = spark.createDataFrame(data, "id int, h array<int>, m array<boolean>, target int")
+    attach = lambda rows, **kw: B.attach_branches(rows, {"text": text, "cf": cf}, ["id"], cf, "h", "m", "target", **kw)
+    got, want = attach(samples, max_broadcast_bytes=0, task_rows=30), attach(samples)
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+    assert got.rdd.getNumPartitions() == 7
+    plan = got._jdf.queryExecution().analyzed().toString()
+    above = plan[: plan.index("MapInArrow")]  # what is done to samples that have their vectors
+    assert "Join" not in above and "Aggregate" not in above and "Repartition" not in above
+    for broken, match in (((500, [5], [True], 0), "item 5 has no"), ((500, [3], [True], 5), "item 5 has no"), ((500, [3], [True], None), "no target")):
+        with pytest.raises(Exception, match=match):
+            attach(spark.createDataFrame([broken], samples.schema), max_broadcast_bytes=0).collect()
